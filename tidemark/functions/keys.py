@@ -1,9 +1,8 @@
-"""Key building and repeatable pseudo-random values."""
+"""Key building and repeatable pseudo-random values, as SQL expression text."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from tidemark.functions.text import quoted
 
 # The twenty asset codes of the test key space.
 ASSETS = (
@@ -14,37 +13,33 @@ ASSETS = (
 HASH_BITS = 60
 
 
-def account_code(n: Column) -> Column:
+def account_code(n: str) -> str:
     """`ACC` and the number padded to three digits; longer numbers just grow."""
-    return F.format_string("ACC%03d", n)
+    return f"format_string('ACC%03d', {n})"
 
 
-def pick(values: list[str], index: Column) -> Column:
+def pick(values: list[str], index: str) -> str:
     """The element of a fixed list at a 0-based index."""
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
+    items = ", ".join(quoted(v) for v in values)
+    return f"element_at(array({items}), cast({index} + 1 as int))"
 
 
-def days_before(anchor: Column, days: Column) -> Column:
-    return F.date_sub(anchor, days.cast("int"))
-
-
-def date_series(anchor: Column, days_back: int = 30) -> Column:
+def date_series(anchor: str, days_back: int = 30) -> str:
     """The dates from `days_back` days before `anchor` up to `anchor`."""
-    return F.sequence(F.date_sub(anchor, days_back), anchor)
+    return f"sequence(date_sub({anchor}, {days_back}), {anchor})"
 
 
-def stable_hash(*parts: Column, seed: int = 0) -> Column:
+def stable_hash(*parts: str, seed: int = 0) -> str:
     """A non-negative 60-bit number that depends on the values only.
 
     Taken from MD5 so that any SQL engine can repeat it.
     """
-    text = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text), 1, HASH_BITS // 4), 16, 10).cast("long")
+    text = "concat_ws('|', " + ", ".join([f"'{seed}'", *[f"cast({p} as string)" for p in parts]]) + ")"
+    return f"cast(conv(substring(md5({text}), 1, {HASH_BITS // 4}), 16, 10) as bigint)"
 
 
-def stable_uniform(low: int, high: int, decimals: int, *parts: Column, seed: int = 0) -> Column:
+def stable_uniform(low: int, high: int, decimals: int, *parts: str, seed: int = 0) -> str:
     """An even value in `low .. high` with the given number of decimals, as double."""
-    steps = (high - low) * 10**decimals + 1
-    return (F.lit(low * 10**decimals) + F.pmod(stable_hash(*parts, seed=seed), F.lit(steps))) / F.lit(
-        10**decimals
-    ).cast("double")
+    unit = 10**decimals
+    steps = (high - low) * unit + 1
+    return f"(({low * unit} + pmod({stable_hash(*parts, seed=seed)}, {steps}L)) / {float(unit)}D)"

@@ -4,62 +4,52 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 from tidemark.functions.text import float_text, is_blank
 from tidemark.schemas import AMOUNT, QUANTITY
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A row is rejected with `message` where `broken` is true."""
+    """A row is rejected with `message` where `broken` is true; both are SQL text."""
 
     name: str
-    broken: Column
-    message: Column
+    broken: str
+    message: str
 
 
-def _not_a_size(c: Column) -> Column:
+def _not_a_size(c: str) -> str:
     """Null, NaN or negative; zero is a valid size."""
-    return c.isNull() | F.isnan(c) | (c < 0)
-
-
-def default_rules() -> list[Rule]:
-    account, asset = F.col("account_id"), F.col("asset_id")
-    rules = [
-        Rule("account_id", is_blank(account), F.lit("account_id is empty")),
-        Rule("asset_id", is_blank(asset), F.lit("asset_id is empty")),
-        Rule("reference_date", F.col("reference_date").isNull(), F.lit("reference_date is null")),
-    ]
-    for name, kind in (("quantity", QUANTITY), ("amount", AMOUNT)):
-        size = F.col(name).cast("double")
-        invalid = _not_a_size(size)
-        too_big = ~invalid & size.try_cast(kind).isNull()
-        rules.append(
-            Rule(
-                name,
-                invalid | too_big,
-                F.when(invalid, F.concat(F.lit(f"{name} is invalid: "), float_text(size))).otherwise(
-                    F.concat(F.lit(f"{name} is out of range: "), float_text(size))
-                ),
-            )
-        )
-    return rules
-
-
-def broken_any(rules: list[Rule]) -> Column:
-    result = rules[0].broken
-    for rule in rules[1:]:
-        result = result | rule.broken
-    return result
-
-
-def reasons(rules: list[Rule]) -> Column:
+    x = f"cast({c} as double)"
+    return f"({c} is null or isnan({x}) or {x} < 0)"
+
+
+def _size_rule(name: str, kind: str) -> Rule:
+    invalid = _not_a_size(name)
+    return Rule(
+        name,
+        f"({invalid} or try_cast({name} as {kind}) is null)",
+        f"concat(if({invalid}, '{name} is invalid: ', '{name} is out of range: '), {float_text(name)})",
+    )
+
+
+DEFAULT_RULES = [
+    Rule("account_id", is_blank("account_id"), "'account_id is empty'"),
+    Rule("asset_id", is_blank("asset_id"), "'asset_id is empty'"),
+    Rule("reference_date", "reference_date is null", "'reference_date is null'"),
+    _size_rule("quantity", QUANTITY.simpleString()),
+    _size_rule("amount", AMOUNT.simpleString()),
+]
+
+
+def any_broken(rules: list[Rule]) -> str:
+    return "(" + " or ".join(r.broken for r in rules) + ")"
+
+
+def reasons(rules: list[Rule]) -> str:
     """All messages in rule order, joined by `; `; empty text for a good row."""
-    return F.concat_ws("; ", *[F.when(r.broken, r.message) for r in rules])
+    return "concat_ws('; ', " + ", ".join(f"if({r.broken}, {r.message}, null)" for r in rules) + ")"
 
 
-def broken_names(rules: list[Rule]) -> Column:
+def broken_names(rules: list[Rule]) -> str:
     """Names of the broken rules as an array."""
-    return F.array_compact(F.array(*[F.when(r.broken, F.lit(r.name)) for r in rules]))
+    return "array_compact(array(" + ", ".join(f"if({r.broken}, '{r.name}', null)" for r in rules) + "))"

@@ -1,9 +1,10 @@
-"""Text forms: blank test, float text, record hash, row payload."""
+"""Text forms: blank test, float text, record hash, row payload.
 
-from __future__ import annotations
+The functions take and return SQL expression text: one parse on the JVM side
+instead of a Python call per operation. Use them with `F.expr`.
+"""
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+from __future__ import annotations
 
 from tidemark.schemas import AMOUNT, QUANTITY
 
@@ -16,102 +17,99 @@ WHITESPACE = (
 )
 
 
-def is_blank(c: Column) -> Column:
+def quoted(text: str) -> str:
+    """A SQL string literal."""
+    escaped = "".join(ch if ch.isalnum() and ch.isascii() else f"\\u{ord(ch):04x}" for ch in text)
+    return f"'{escaped}'"
+
+
+def is_blank(c: str) -> str:
     """True for null, empty and white-space-only text.
 
     `btrim` with a character list stops at the first other character, so a
     normal id costs two comparisons.
     """
-    return F.coalesce(F.btrim(c, F.lit(WHITESPACE)) == "", F.lit(True))
+    return f"coalesce(btrim({c}, {quoted(WHITESPACE)}) = '', true)"
 
 
-def float_text(c: Column) -> Column:
+def float_text(c: str) -> str:
     """A double printed with the shortest digits: fixed notation from 1e-4 up
-    to 1e16, otherwise `1.5e+20`; `nan`, `inf` and `None` spelled out."""
-    x = c.cast("double")
-    size = F.abs(x)
-    shortest = x.cast("string")
-    # Outside 1e-3 .. 1e7 the JVM prints 1.5E7. Reading that text as a wide
-    # decimal keeps its digits, none are invented.
-    wide = shortest.try_cast("decimal(38,21)").cast("string")
-    trimmed = F.regexp_replace(wide, "0+$", "")
-    fixed = F.when(trimmed.endswith("."), F.concat(trimmed, F.lit("0"))).otherwise(trimmed)
-    mantissa = F.regexp_replace(F.substring_index(shortest, "E", 1), r"\.0$", "")
-    exponent = F.substring_index(shortest, "E", -1).try_cast("int")
-    scientific = F.concat(
-        mantissa,
-        F.when(exponent < 0, F.lit("e-")).otherwise(F.lit("e+")),
-        F.format_string("%02d", F.abs(exponent)),
-    )
-    return (
-        F.when(x.isNull(), F.lit("None"))
-        .when(F.isnan(x), F.lit("nan"))
-        .when(size == float("inf"), F.when(x > 0, F.lit("inf")).otherwise(F.lit("-inf")))
-        .when((size == 0) | ((size >= 1e-3) & (size < 1e7)), shortest)
-        .when((size >= 1e-4) & (size < 1e16), fixed)
-        .otherwise(scientific)
-    )
-
-
-def date_text(c: Column) -> Column:
+    to 1e16, otherwise `1.5e+20`; `nan`, `inf` and `None` spelled out.
+
+    Outside 1e-3 .. 1e7 the JVM prints 1.5E7. Reading that text as a wide
+    decimal keeps its digits, none are invented.
+    """
+    x = f"cast({c} as double)"
+    shortest = f"cast({x} as string)"
+    trimmed = f"regexp_replace(cast(try_cast({shortest} as decimal(38,21)) as string), '0+$', '')"
+    exponent = f"try_cast(substring_index({shortest}, 'E', -1) as int)"
+    return f"""
+        case when {c} is null then 'None'
+             when isnan({x}) then 'nan'
+             when abs({x}) = double('inf') then if({x} > 0, 'inf', '-inf')
+             when {x} = 0 or abs({x}) >= 1e-3 and abs({x}) < 1e7 then {shortest}
+             when abs({x}) >= 1e-4 and abs({x}) < 1e16
+             then regexp_replace({trimmed}, '[.]$', '.0')
+             else concat(regexp_replace(substring_index({shortest}, 'E', 1), '[.]0$', ''),
+                         if({exponent} < 0, 'e-', 'e+'), format_string('%02d', abs({exponent})))
+        end"""
+
+
+def date_text(c: str) -> str:
     """`yyyy-MM-dd HH:mm:ss`, with a fraction only where there is one.
 
-    A plain cast prints a timestamp that way; unlike `date_format` it does not
-    depend on the session time zone for a zone-free timestamp.
+    A cast does not depend on the session time zone for a zone-free timestamp.
     """
-    return c.cast("timestamp_ntz").cast("string")
+    return f"cast(cast({c} as timestamp_ntz) as string)"
 
 
 def record_hash(
-    account_id: Column,
-    asset_id: Column,
-    reference_date: Column,
-    quantity: Column,
-    amount: Column,
+    account_id: str = "account_id",
+    asset_id: str = "asset_id",
+    reference_date: str = "reference_date",
+    quantity: str = "quantity",
+    amount: str = "amount",
     hash_text: str = "decimal",
-) -> Column:
+) -> str:
     """SHA-256 hex of the five fields joined by `|`.
 
     `hash_text="decimal"` prints the numbers as stored, `"repr"` as the shortest
     float text of the file's doubles.
     """
     if hash_text == "decimal":
-        numbers = [
-            quantity.try_cast(QUANTITY).cast("string"),
-            amount.try_cast(AMOUNT).cast("string"),
-        ]
+        numbers = (
+            f"cast(try_cast({quantity} as {QUANTITY.simpleString()}) as string), "
+            f"cast(try_cast({amount} as {AMOUNT.simpleString()}) as string)"
+        )
     elif hash_text == "repr":
-        numbers = [float_text(quantity), float_text(amount)]
+        numbers = f"{float_text(quantity)}, {float_text(amount)}"
     else:
         raise ValueError(f"unknown hash_text {hash_text!r}")
-    return F.sha2(
-        F.concat_ws("|", account_id, asset_id, date_text(reference_date), *numbers), 256
-    )
+    return f"sha2(concat_ws('|', {account_id}, {asset_id}, {date_text(reference_date)}, {numbers}), 256)"
 
 
 def row_payload(
-    account_id: Column,
-    asset_id: Column,
-    reference_date: Column,
-    quantity: Column,
-    amount: Column,
-) -> Column:
+    account_id: str = "account_id",
+    asset_id: str = "asset_id",
+    reference_date: str = "reference_date",
+    quantity: str = "quantity",
+    amount: str = "amount",
+) -> str:
     """The rejected row as JSON: ids and date as text, numbers as numbers.
 
-    NaN and infinities become null: JSON has no such number.
+    NaN and infinities become null: JSON has no such number. The others are
+    printed like everywhere else, so they are put after the text fields by hand.
     """
 
-    def number(c: Column) -> Column:
-        x = c.cast("double")
-        return F.when(F.isnan(x) | (F.abs(x) == float("inf")), None).otherwise(x)
-
-    return F.to_json(
-        F.struct(
-            account_id.cast("string").alias("account_id"),
-            asset_id.cast("string").alias("asset_id"),
-            date_text(reference_date).alias("reference_date"),
-            number(quantity).alias("quantity"),
-            number(amount).alias("amount"),
-        ),
-        {"ignoreNullFields": "false"},
-    )
+    def number(c: str) -> str:
+        x = f"cast({c} as double)"
+        return f"if({c} is null or isnan({x}) or abs({x}) = double('inf'), 'null', {float_text(c)})"
+
+    texts = f"""
+        to_json(named_struct(
+            'account_id', cast({account_id} as string),
+            'asset_id', cast({asset_id} as string),
+            'reference_date', {date_text(reference_date)}), map('ignoreNullFields', 'false'))"""
+    return f"""
+        concat(regexp_replace({texts}, '}}$', ''),
+               ',"quantity":', {number(quantity)}, ',"amount":', {number(amount)}, '}}')"""

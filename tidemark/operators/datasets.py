@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import (
     ASSETS,
     account_code,
-    days_before,
     pick,
     stable_hash,
     stable_uniform,
@@ -18,47 +17,34 @@ from tidemark.operators.ordering import sample_rows
 from tidemark.schemas import KEY
 
 
-def key_at(position: Column, anchor: Column, days_back: int = 30) -> dict[str, Column]:
+def key_at(position: str, anchor: str, days_back: int = 30) -> list[str]:
     """The key at a 0-based position of accounts x assets x dates.
 
     The product is never joined: a position is split into its three digits.
     """
-    days = days_back + 1
-    return {
-        "account_id": account_code(F.floor(position / F.lit(len(ASSETS) * days)) + 1),
-        "asset_id": pick(ASSETS, F.pmod(F.floor(position / F.lit(days)), F.lit(len(ASSETS)))),
-        "reference_date": days_before(anchor, F.pmod(position, F.lit(days))),
-    }
+    days, assets = days_back + 1, len(ASSETS)
+    return [
+        f"{account_code(f'{position} div {assets * days} + 1')} as account_id",
+        f"{pick(ASSETS, f'{position} div {days} % {assets}')} as asset_id",
+        f"date_sub({anchor}, cast({position} % {days} as int)) as reference_date",
+    ]
 
 
-def key_space(
-    spark: SparkSession, accounts: int, anchor: Column, days_back: int = 30
-) -> DataFrame:
+def key_space(spark: SparkSession, accounts: int, anchor: str, days_back: int = 30) -> DataFrame:
     """All keys of the first `accounts` accounts with their `position`."""
     total = accounts * len(ASSETS) * (days_back + 1)
-    return spark.range(total).select(
-        F.col("id").alias("position"), *_columns(key_at(F.col("id"), anchor, days_back))
-    )
+    return spark.range(total).selectExpr("id as position", *key_at("id", anchor, days_back))
 
 
-def account_keys(accounts: DataFrame, index: str, anchor: Column, days_back: int = 30) -> DataFrame:
+def account_keys(accounts: DataFrame, index: str, anchor: str, days_back: int = 30) -> DataFrame:
     """The key space of the accounts in a table; `index` counts them from 0.
 
     Every account row becomes a fixed number of keys, in its own task.
     """
     per_account = len(ASSETS) * (days_back + 1)
-    positions = accounts.select(
-        F.explode(
-            F.sequence(
-                F.col(index) * per_account, F.col(index) * per_account + (per_account - 1)
-            )
-        ).alias("position")
-    )
-    return positions.select("position", *_columns(key_at(F.col("position"), anchor, days_back)))
-
-
-def _columns(named: dict[str, Column]) -> list[Column]:
-    return [c.alias(name) for name, c in named.items()]
+    first = f"{index} * {per_account}"
+    positions = accounts.selectExpr(f"explode(sequence({first}, {first} + {per_account - 1})) as position")
+    return positions.selectExpr("position", *key_at("position", anchor, days_back))
 
 
 def allocate_files(keys: DataFrame, rows_per_file: int) -> DataFrame:
@@ -70,7 +56,7 @@ def allocated_records(
     spark: SparkSession,
     files: int,
     rows_per_file: int,
-    anchor: Column,
+    anchor: str,
     accounts: int = 10_000,
     days_back: int = 30,
     seed: int = 0,
@@ -80,44 +66,39 @@ def allocated_records(
     wanted = files * rows_per_file
     if wanted > available:
         raise ValueError(f"requested {wanted} unique records but only {available} available")
-    keys = spark.range(wanted).select(
-        F.col("id").alias("position"), *_columns(key_at(F.col("id"), anchor, days_back))
-    )
+    keys = spark.range(wanted).selectExpr("id as position", *key_at("id", anchor, days_back))
     return allocate_files(with_new_values(keys, seed), rows_per_file)
 
 
 def with_new_values(keys: DataFrame, seed: int = 0) -> DataFrame:
     """Adds a quantity in 10 .. 10,000 and an amount in 100 .. 1,000,000."""
-    key = [F.col(k) for k in KEY]
-    return keys.withColumns(
-        {
-            "quantity": stable_uniform(10, 10_000, 4, *key, seed=2 * seed + 1),
-            "amount": stable_uniform(100, 1_000_000, 2, *key, seed=2 * seed + 2),
-        }
+    return keys.selectExpr(
+        "*",
+        f"{stable_uniform(10, 10_000, 4, *KEY, seed=2 * seed + 1)} as quantity",
+        f"{stable_uniform(100, 1_000_000, 2, *KEY, seed=2 * seed + 2)} as amount",
     )
 
 
-def random_key(seed_column: Column, anchor: Column, accounts: int, days_back: int, seed: int):
+def random_key(row_id: str, anchor: str, accounts: int, days_back: int, seed: int) -> list[str]:
     """A key at an even random position; the same position may come up again."""
     total = accounts * len(ASSETS) * (days_back + 1)
-    return key_at(F.pmod(stable_hash(seed_column, seed=seed), F.lit(total)), anchor, days_back)
+    return key_at(f"pmod({stable_hash(row_id, seed=seed)}, {total}L)", anchor, days_back)
 
 
 def random_records(
     rows: DataFrame,
     row_id: str,
-    anchor: Column,
+    anchor: str,
     accounts: int = 10_000,
     days_back: int = 30,
     seed: int = 0,
 ) -> DataFrame:
     """One random record per input row; keys may repeat, values differ by row."""
-    row = F.col(row_id)
-    return rows.select(
-        F.col(row_id),
-        *_columns(random_key(row, anchor, accounts, days_back, seed)),
-        stable_uniform(10, 10_000, 4, row, seed=seed + 1).alias("quantity"),
-        stable_uniform(100, 1_000_000, 2, row, seed=seed + 2).alias("amount"),
+    return rows.selectExpr(
+        row_id,
+        *random_key(row_id, anchor, accounts, days_back, seed),
+        f"{stable_uniform(10, 10_000, 4, row_id, seed=seed + 1)} as quantity",
+        f"{stable_uniform(100, 1_000_000, 2, row_id, seed=seed + 2)} as amount",
     )
 
 
@@ -125,7 +106,7 @@ def unique_records(
     rows: DataFrame,
     row_id: str,
     count: int,
-    anchor: Column,
+    anchor: str,
     accounts: int = 10_000,
     days_back: int = 30,
     seed: int = 0,
@@ -135,9 +116,7 @@ def unique_records(
     `rows` should hold about three times `count` rows: each is one attempt.
     Fewer records come back if the attempts hit too few different keys.
     """
-    keys = rows.select(
-        *_columns(random_key(F.col(row_id), anchor, accounts, days_back, seed))
-    ).distinct()
+    keys = rows.selectExpr(*random_key(row_id, anchor, accounts, days_back, seed)).distinct()
     return with_new_values(sample_rows(keys, KEY, count, seed), seed)
 
 

@@ -80,7 +80,7 @@ def sample_rows(rows: DataFrame, key: list[str], count: int, seed: int = 0) -> D
     a table of range counts, whose size is fixed; only the range in which the
     limit falls is ordered.
     """
-    hashed = rows.withColumn("_hash", stable_hash(*[F.col(k) for k in key], seed=seed)).withColumn(
+    hashed = rows.withColumn("_hash", F.expr(stable_hash(*key, seed=seed))).withColumn(
         "_range", F.shiftright("_hash", HASH_BITS - SAMPLE_BITS)
     )
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
@@ -106,5 +106,4 @@ def hash_order(rows: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
 
     Use right before a write; the order lives in the files only.
     """
-    mixed = stable_hash(*[F.col(k) for k in key], seed=seed)
-    return rows.orderBy(mixed, *key)
+    return rows.orderBy(F.expr(stable_hash(*key, seed=seed)), *key)

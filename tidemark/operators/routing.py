@@ -23,15 +23,12 @@ def annotate(
     One projection over the scan. Reason and payload are built for bad rows
     only, the hash for good rows only.
     """
-    rules = rules or R.default_rules()
-    fields = [F.col(name) for name in FIELDS]
-    checked = rows.withColumn("is_valid", ~R.broken_any(rules))
-    return checked.withColumns(
-        {
-            "error_reason": F.when(~F.col("is_valid"), R.reasons(rules)),
-            "payload": F.when(~F.col("is_valid"), row_payload(*fields)),
-            "record_hash": F.when(F.col("is_valid"), record_hash(*fields, hash_text=hash_text)),
-        }
+    rules = rules or R.DEFAULT_RULES
+    return rows.withColumn("is_valid", F.expr(f"not {R.any_broken(rules)}")).selectExpr(
+        "*",
+        f"if(not is_valid, {R.reasons(rules)}, null) as error_reason",
+        f"if(not is_valid, {row_payload()}, null) as payload",
+        f"if(is_valid, {record_hash(hash_text=hash_text)}, null) as record_hash",
     )
 
 

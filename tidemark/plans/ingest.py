@@ -12,7 +12,6 @@ from tidemark.functions.rules import Rule
 from tidemark.operators.dedup import mark_repeats, piece_of, repeated_pieces
 from tidemark.operators.routing import (
     DUPLICATE_REASON,
-    FIELDS,
     REJECTED,
     STAGED,
     annotate,
@@ -133,9 +132,8 @@ def _with_manifest(rows: DataFrame, manifest: DataFrame, manifest_bytes: int) ->
 
 def _landed(marked: DataFrame, batch_id: str, run_ts: dt.datetime) -> DataFrame:
     good = F.col("is_valid") & ~F.col("is_repeat")
-    fields = [F.col(name) for name in FIELDS]
     reason = F.when(F.col("is_repeat"), F.lit(DUPLICATE_REASON)).otherwise(F.col("error_reason"))
-    payload = F.when(F.col("is_repeat"), row_payload(*fields)).otherwise(F.col("payload"))
+    payload = F.when(F.col("is_repeat"), F.expr(row_payload())).otherwise(F.col("payload"))
     routed = typed(
         marked.withColumns(
             {

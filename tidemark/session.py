@@ -10,6 +10,8 @@ from pyspark.sql import SparkSession
 # 128 MB splits and shuffle partitions of about the same size: AQE merges small
 # ones and splits skewed ones, so the initial count may be generous.
 SETTINGS = {
+    # Call sites for error messages cost milliseconds per column expression.
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",

@@ -6,6 +6,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def int_div(a: Column, b: Column | int) -> Column:
+    """Integer division; no detour over doubles."""
+    return F.call_function("div", a, b if isinstance(b, Column) else F.lit(b))
+
+
 def safe_div(numerator: Column, denominator: Column) -> Column:
     """The quotient as double, 0 where the denominator is not positive or null."""
     return F.when(denominator > 0, numerator.cast("double") / denominator).otherwise(F.lit(0.0))
@@ -22,12 +27,12 @@ def share_rounded(part: Column, rest: Column) -> Column:
 
 def batch_count(rows: Column, batch_size: int) -> Column:
     """Number of batches of `batch_size` that hold `rows` rows."""
-    return F.ceil(rows / F.lit(batch_size)).cast("long")
+    return int_div(rows + (batch_size - 1), batch_size)
 
 
 def batch_number(position: Column, batch_size: int) -> Column:
     """1-based batch of a 1-based position."""
-    return (F.floor((position - 1) / F.lit(batch_size)) + 1).cast("long")
+    return int_div(position - 1, batch_size) + 1
 
 
 def update_share(rows: int, ratio_percent: int) -> tuple[int, int]:
@@ -37,7 +42,7 @@ def update_share(rows: int, ratio_percent: int) -> tuple[int, int]:
 
 
 def update_share_column(rows: Column, ratio_percent: int) -> Column:
-    return F.floor(rows * F.lit(ratio_percent) / F.lit(100)).cast("long")
+    return int_div(rows * ratio_percent, 100)
 
 
 def format_value(value: Column, kind: str, unit: str = "") -> Column:

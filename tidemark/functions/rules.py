@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from tidemark.functions.text import float_text, is_blank
+from tidemark.functions.text import is_blank
 from tidemark.schemas import AMOUNT, QUANTITY
 
 
 @dataclass(frozen=True)
 class Rule:
-    """A row is rejected with `message` where `broken` is true; both are SQL text."""
+    """A row is rejected with `message` where `broken` is true; both are SQL text.
+
+    A message may use `quantity_text` and `amount_text`.
+    """
 
     name: str
     broken: str
@@ -28,7 +31,7 @@ def _size_rule(name: str, kind: str) -> Rule:
     return Rule(
         name,
         f"({invalid} or try_cast({name} as {kind}) is null)",
-        f"concat(if({invalid}, '{name} is invalid: ', '{name} is out of range: '), {float_text(name)})",
+        f"concat(if({invalid}, '{name} is invalid: ', '{name} is out of range: '), {name}_text)",
     )
 
 

@@ -55,6 +55,16 @@ def float_text(c: str) -> str:
         end"""
 
 
+def float_texts(*columns: str) -> str:
+    """The float texts of several columns as an array.
+
+    One lambda for all of them: the expression is large, and copies of it would
+    make the generated code of a projection too large for the JIT compiler.
+    """
+    items = ", ".join(f"cast({c} as double)" for c in columns)
+    return f"transform(array({items}), x -> {float_text('x')})"
+
+
 def date_text(c: str) -> str:
     """`yyyy-MM-dd HH:mm:ss`, with a fraction only where there is one.
 
@@ -82,7 +92,7 @@ def record_hash(
             f"cast(try_cast({amount} as {AMOUNT.simpleString()}) as string)"
         )
     elif hash_text == "repr":
-        numbers = f"{float_text(quantity)}, {float_text(amount)}"
+        numbers = float_texts(quantity, amount)
     else:
         raise ValueError(f"unknown hash_text {hash_text!r}")
     return f"sha2(concat_ws('|', {account_id}, {asset_id}, {date_text(reference_date)}, {numbers}), 256)"
@@ -92,18 +102,17 @@ def row_payload(
     account_id: str = "account_id",
     asset_id: str = "asset_id",
     reference_date: str = "reference_date",
-    quantity: str = "quantity",
-    amount: str = "amount",
+    quantity_text: str = "quantity_text",
+    amount_text: str = "amount_text",
 ) -> str:
     """The rejected row as JSON: ids and date as text, numbers as numbers.
 
-    NaN and infinities become null: JSON has no such number. The others are
-    printed like everywhere else, so they are put after the text fields by hand.
+    The numbers come as float texts and are put after the text fields by hand.
+    NaN and infinities become null: JSON has no such number.
     """
 
-    def number(c: str) -> str:
-        x = f"cast({c} as double)"
-        return f"if({c} is null or isnan({x}) or abs({x}) = double('inf'), 'null', {float_text(c)})"
+    def number(text: str) -> str:
+        return f"if({text} in ('None', 'nan', 'inf', '-inf'), 'null', {text})"
 
     texts = f"""
         to_json(named_struct(
@@ -112,4 +121,4 @@ def row_payload(
             'reference_date', {date_text(reference_date)}), map('ignoreNullFields', 'false'))"""
     return f"""
         concat(regexp_replace({texts}, '}}$', ''),
-               ',"quantity":', {number(quantity)}, ',"amount":', {number(amount)}, '}}')"""
+               ',"quantity":', {number(quantity_text)}, ',"amount":', {number(amount_text)}, '}}')"""

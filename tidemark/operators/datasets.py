@@ -12,7 +12,7 @@ from tidemark.functions.keys import (
     stable_hash,
     stable_uniform,
 )
-from tidemark.functions.numbers import update_share
+from tidemark.functions.numbers import int_div, update_share
 from tidemark.operators.ordering import sample_rows
 from tidemark.schemas import KEY
 
@@ -49,7 +49,7 @@ def account_keys(accounts: DataFrame, index: str, anchor: str, days_back: int =
 
 def allocate_files(keys: DataFrame, rows_per_file: int) -> DataFrame:
     """Adds `file_number`; keys of one file are successive positions."""
-    return keys.withColumn("file_number", F.floor(F.col("position") / F.lit(rows_per_file)))
+    return keys.withColumn("file_number", int_div(F.col("position"), rows_per_file))
 
 
 def allocated_records(

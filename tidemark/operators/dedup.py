@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # A hot group is cut into pieces of this many consecutive positions, so that
@@ -31,22 +31,43 @@ def distinct_keys(rows: DataFrame, key: list[str]) -> DataFrame:
     return rows.select(*key).distinct()
 
 
+def possible_repeats(rows: DataFrame, content: list[str]) -> DataFrame:
+    """64-bit digests of `content` that occur more than once.
+
+    The first, cheap pass over a large table: nine bytes per row are shuffled
+    instead of paths and hashes. Different contents may share a digest, so this
+    only narrows down what `repeated_pieces` then decides.
+    """
+    return (
+        rows.groupBy(F.xxhash64(*content).alias("_digest"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+        .filter("_rows > 1")
+        .select("_digest")
+    )
+
+
+def with_digest_in(rows: DataFrame, digests: DataFrame, content: list[str]) -> DataFrame:
+    """The rows whose digest is listed; a skewed digest is split by the adaptive join."""
+    return rows.withColumn("_digest", F.xxhash64(*content)).join(digests, "_digest", "left_semi").drop("_digest")
+
+
 def repeated_pieces(rows: DataFrame, group: list[str], position: str) -> DataFrame:
-    """Per piece of every group with more than one row: the group's first position.
+    """The pieces that hold a repeat, with the first position of their group.
 
-    Counts are combined per piece first and per group after, so a hot group
-    reaches the second step as one row per piece.
+    Rows are counted per piece first, with map-side combine. The window then
+    sees a group as one row per piece: a group of a billion rows as a thousand.
     """
     pieces = rows.groupBy(*group, piece_of(F.col(position)).alias("_piece")).agg(
         F.min(position).alias("_first"), F.count(F.lit(1)).alias("_rows")
     )
-    groups = (
-        pieces.groupBy(*group)
-        .agg(F.min("_first").alias("first_position"), F.sum("_rows").alias("_rows"))
-        .filter("_rows > 1")
-        .drop("_rows")
+    in_group = Window.partitionBy(*group)
+    first = F.min("_first").over(in_group)
+    only_first = (F.col("_rows") == 1) & (F.col("_first") == F.col("first_position"))
+    return (
+        pieces.withColumn("first_position", first)
+        .filter(~only_first)
+        .select(*group, "_piece", "first_position")
     )
-    return pieces.join(groups, group).select(*group, "_piece", "first_position")
 
 
 def mark_repeats(rows: DataFrame, pieces: DataFrame, group: list[str], position: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import batch_count, percent
+from tidemark.functions.numbers import batch_count, int_div, percent
 from tidemark.operators.merging import INSERTED, UNCHANGED, UPDATED, differs
 from tidemark.operators.ordering import running_sums, with_batches
 from tidemark.schemas import KEY, VALUES
@@ -26,64 +26,53 @@ def version_actions(
 
     Each version is compared with the one before it, the first with the target.
     A key present in every batch would make one endless window, so the window
-    covers a span of batches and the last version of the span before comes in
-    by a join.
+    covers a span of batches. Only the first version of a span looks further
+    back: to the end of the span before, which is one row per key and span.
     """
-    batched = with_batches(staged, order, batch_size)
     versions = (
-        batched.groupBy(*key, "batch")
+        with_batches(staged, order, batch_size)
+        .groupBy(*key, "batch")
         .agg(*[F.max_by(v, order).alias(v) for v in values], F.count(F.lit(1)).alias("rows"))
-        .withColumn("_span", F.floor(F.col("batch") / F.lit(SPAN)))
+        .withColumn("_span", int_div(F.col("batch"), SPAN))
     )
-    inside = Window.partitionBy(*key, "_span").orderBy("batch")
-    previous = {v: f"_previous_{v}" for v in values}
-    compared = versions.withColumns(
+    in_order = Window.partitionBy(*key, "_span").orderBy("batch")
+    whole_span = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    before = {v: f"_before_{v}" for v in values}
+    seen = versions.withColumns(
         {
-            **{n: F.lag(v).over(inside) for v, n in previous.items()},
-            "_first_in_span": F.row_number().over(inside) == 1,
+            **{n: F.lag(v).over(in_order) for v, n in before.items()},
+            **{f"_end_{v}": F.last(v).over(whole_span) for v in values},
+            "_nth": F.row_number().over(in_order),
         }
     )
-    # Last version of every span, moved to the next span in which the key appears.
-    span_ends = versions.groupBy(*key, "_span").agg(
-        *[F.max_by(v, "batch").alias(f"_end_{v}") for v in values]
+    changed = differs([F.col(v) for v in values], [F.col(n) for n in before.values()])
+    columns = [*key, "batch", *values, "rows"]
+    later = seen.filter("_nth > 1").select(
+        *columns, F.when(changed, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias("action")
     )
+
     across = Window.partitionBy(*key).orderBy("_span")
-    carried = span_ends.select(
-        *key,
-        "_span",
-        *[F.lag(f"_end_{v}").over(across).alias(f"_carried_{v}") for v in values],
-        (F.row_number().over(across) == 1).alias("_first_span"),
+    starts = seen.filter("_nth = 1").withColumns(
+        {
+            **{n: F.lag(f"_end_{v}").over(across) for v, n in before.items()},
+            "_nth": F.row_number().over(across),
+        }
     )
     current = target.select(
         *key, *[F.col(v).alias(f"_target_{v}") for v in values], F.lit(True).alias("_present")
     )
-    starts = carried.join(current, key, "left").select(
-        *key,
-        "_span",
-        *[
-            F.when(F.col("_first_span"), F.col(f"_target_{v}"))
-            .otherwise(F.col(f"_carried_{v}"))
-            .alias(f"_start_{v}")
-            for v in values
-        ],
-        (F.col("_first_span") & F.col("_present").isNull()).alias("_new_key"),
+    is_first = F.col("_nth") == 1
+    resolved = starts.join(current, key, "left").withColumns(
+        {n: F.when(is_first, F.col(f"_target_{v}")).otherwise(F.col(n)) for v, n in before.items()}
     )
-    joined = compared.join(starts, [*key, "_span"])
-    before = [
-        F.when(F.col("_first_in_span"), F.col(f"_start_{v}")).otherwise(F.col(n))
-        for v, n in previous.items()
-    ]
-    changed = differs([F.col(v) for v in values], before)
-    return joined.select(
-        *key,
-        "batch",
-        *values,
-        "rows",
-        F.when(F.col("_first_in_span") & F.col("_new_key"), F.lit(INSERTED))
+    first = resolved.select(
+        *columns,
+        F.when(is_first & F.col("_present").isNull(), F.lit(INSERTED))
         .when(changed, F.lit(UPDATED))
         .otherwise(F.lit(UNCHANGED))
         .alias("action"),
     )
+    return later.unionByName(first)
 
 
 def batch_metrics(actions: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import HASH_BITS, stable_hash
-from tidemark.functions.numbers import batch_number
+from tidemark.functions.numbers import batch_number, int_div
 
 WIDTH = 1 << 20
 SAMPLE_BITS = 16
@@ -30,7 +30,7 @@ def running_sums(
     offsets, so the rows are shuffled and sorted once.
     """
     within = within or []
-    cut = rows.withColumn("_range", F.floor(F.col(order) / F.lit(width)))
+    cut = rows.withColumn("_range", int_div(F.col(order), width))
     totals = cut.groupBy(*within, "_range").agg(
         *[F.sum(c).alias(f"_total_{name}") for name, c in sums.items()]
     )

@@ -50,7 +50,7 @@ def custody_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def half(events: DataFrame) -> Column:
     """Half of the highest `seq`, as a scalar subquery."""
-    return F.floor(events.agg(F.max("seq").alias("m")).scalar() / F.lit(2)).cast("long")
+    return F.shiftright(events.agg(F.max("seq").alias("m")).scalar(), 1)
 
 
 def events_until_half(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +76,7 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Staged rows: everything after the first quarter, so half of the target is
     staged once more."""
     events = custody_events(spark, sf_dir)
-    return events.filter(F.col("seq") > F.floor(half(events) / F.lit(2)))
+    return events.filter(F.col("seq") > F.shiftright(half(events), 1))
 
 
 def collapsed(spark: SparkSession, sf_dir: str, key: list[str] = KEY) -> DataFrame:

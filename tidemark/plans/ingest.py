@@ -8,16 +8,23 @@ import uuid
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.rules import Rule
-from tidemark.operators.dedup import mark_repeats, piece_of, repeated_pieces
+from tidemark.functions.rules import DEFAULT_RULES, Rule
+from tidemark.operators.dedup import (
+    mark_repeats,
+    piece_of,
+    possible_repeats,
+    repeated_pieces,
+    with_digest_in,
+)
 from tidemark.operators.routing import (
     DUPLICATE_REASON,
+    FIELDS,
     REJECTED,
     STAGED,
-    annotate,
+    explain,
+    flag,
     typed,
 )
-from tidemark.functions.text import row_payload
 from tidemark.plans.store import LEDGER, Store
 from tidemark.schemas import STAGING
 
@@ -31,7 +38,7 @@ def ingest_files(
     rows: DataFrame,
     batch_id: str | None = None,
     run_ts: dt.datetime | None = None,
-    rules: list[Rule] | None = None,
+    rules: list[Rule] = DEFAULT_RULES,
     hash_text: str = "decimal",
     check_duplicates: bool = True,
 ) -> int:
@@ -59,26 +66,19 @@ def ingest_files(
         F.coalesce(F.max(F.col("file_start") + F.col("file_rows")), F.lit(next_seq)).alias("next_seq"),
     ).first()
 
-    # 2. Repeats inside a file, also written first. There are usually none, and
-    #    then the large pass has no shuffle at all.
+    # 2. Repeats inside a file. There are usually none, and then the large pass
+    #    below has no shuffle at all.
     new = _with_manifest(rows, manifest, size["bytes"])
-    checked = annotate(new, rules, hash_text)
-    if check_duplicates:
-        repeats_path = store.path("work", ingest_batch=batch)
-        repeated_pieces(checked.filter("is_valid"), DUPLICATE_KEY, "row_number").write.mode(
-            "overwrite"
-        ).parquet(repeats_path)
-        repeats = spark.read.parquet(repeats_path)
-        if repeats.isEmpty():
-            marked = checked.withColumn("is_repeat", F.lit(False))
-        else:
-            marked = mark_repeats(checked, repeats, DUPLICATE_KEY, "row_number")
-    else:
+    checked = flag(new, rules, hash_text)
+    repeats = _repeats(store, checked, batch) if check_duplicates else None
+    if repeats is None:
         marked = checked.withColumn("is_repeat", F.lit(False))
+    else:
+        marked = mark_repeats(checked, repeats, DUPLICATE_KEY, "row_number")
 
     # 3. One pass over the data lands good and bad rows together.
     landed_path = store.path("landed", ingest_batch=batch)
-    _landed(marked, batch_id, run_ts).write.mode("overwrite").partitionBy("outcome").parquet(landed_path)
+    _landed(marked, rules, batch_id, run_ts).write.mode("overwrite").partitionBy("outcome").parquet(landed_path)
 
     # 4. Counters from what was landed, in one row: the commit.
     _commit_row(store, landed_path, batch_id, size).coalesce(1).write.mode("overwrite").parquet(
@@ -130,20 +130,35 @@ def _with_manifest(rows: DataFrame, manifest: DataFrame, manifest_bytes: int) ->
     )
 
 
-def _landed(marked: DataFrame, batch_id: str, run_ts: dt.datetime) -> DataFrame:
+def _repeats(store: Store, checked: DataFrame, batch: int) -> DataFrame | None:
+    """Pieces with repeats, or None. Both steps are written, so that the next
+    one knows whether its smaller side may be broadcast."""
+    good = checked.filter("is_valid")
+    content = ["source_file", *FIELDS]
+    digests_path = store.path("work", ingest_batch=batch, step="digests")
+    possible_repeats(typed(good), content).write.mode("overwrite").parquet(digests_path)
+    digests = store.spark.read.parquet(digests_path)
+    if digests.isEmpty():
+        return None
+    candidates = good.select(*DUPLICATE_KEY, "row_number", *FIELDS)
+    narrowed = with_digest_in(typed(candidates), digests, content)
+    pieces_path = store.path("work", ingest_batch=batch, step="pieces")
+    repeated_pieces(narrowed, DUPLICATE_KEY, "row_number").write.mode("overwrite").parquet(pieces_path)
+    return store.spark.read.parquet(pieces_path)
+
+
+def _landed(marked: DataFrame, rules: list[Rule], batch_id: str, run_ts: dt.datetime) -> DataFrame:
+    explained = explain(marked, rules, rejected="(not is_valid or is_repeat)")
     good = F.col("is_valid") & ~F.col("is_repeat")
-    reason = F.when(F.col("is_repeat"), F.lit(DUPLICATE_REASON)).otherwise(F.col("error_reason"))
-    payload = F.when(F.col("is_repeat"), F.expr(row_payload())).otherwise(F.col("payload"))
-    routed = typed(
-        marked.withColumns(
-            {
-                "outcome": F.when(good, F.lit(STAGED)).otherwise(F.lit(REJECTED)),
-                "error_reason": reason,
-                "payload": payload,
-                "batch_id": F.lit(batch_id),
-                "created_at": F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz"),
-            }
-        )
+    routed = typed(explained).withColumns(
+        {
+            "outcome": F.when(good, F.lit(STAGED)).otherwise(F.lit(REJECTED)),
+            "error_reason": F.when(F.col("is_repeat"), F.lit(DUPLICATE_REASON)).otherwise(
+                F.col("error_reason")
+            ),
+            "batch_id": F.lit(batch_id),
+            "created_at": F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz"),
+        }
     )
     # A rejected row lives in its payload; its typed columns stay empty.
     kept = {"batch_id", "source_file", "row_number", "created_at", "seq"}

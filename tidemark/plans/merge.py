@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import merging
-from tidemark.plans.store import Store
+from tidemark.plans.store import METRICS_FILES, Store
 from tidemark.schemas import KEY, PRINCIPAL, VALUES
 
 # A date is written anew instead of getting one more folder beyond this many.
@@ -154,21 +154,20 @@ def _write_metrics(store: Store, counts: MergeCounts, started: float) -> None:
         F.max("timestamp"), F.coalesce(F.max_by("total_processed", "batch"), F.lit(0))
     ).first()
     seconds = time.time() - started
-    row = (
-        (before[0] or 0.0) + seconds,
-        counts.snapshot,
-        seconds * 1000.0,
-        counts.inserted,
-        counts.updated,
-        before[1] + counts.inserted + counts.updated,
-        counts.unchanged,
-        counts.superseded,
-    )
-    store.spark.createDataFrame(
-        [row],
-        "timestamp double, batch long, batch_time_ms double, inserted long, updated long, "
-        "total_processed long, unchanged long, superseded long",
-    ).coalesce(1).write.mode("overwrite").parquet(store.path("metrics", snapshot=counts.snapshot))
+    row = {
+        "timestamp": (before[0] or 0.0) + seconds,
+        "batch": counts.snapshot,
+        "batch_time_ms": seconds * 1000.0,
+        "inserted": counts.inserted,
+        "updated": counts.updated,
+        "total_processed": before[1] + counts.inserted + counts.updated,
+        "unchanged": counts.unchanged,
+        "superseded": counts.superseded,
+    }
+    types = {f.name: f.dataType for f in METRICS_FILES}
+    store.spark.range(1).coalesce(1).select(
+        *[F.lit(value).cast(types[name]).alias(name) for name, value in row.items()]
+    ).write.mode("overwrite").parquet(store.path("metrics", snapshot=counts.snapshot))
 
 
 def seed_principal(store: Store, records: DataFrame, run_ts: dt.datetime | None = None) -> None:

@@ -475,6 +475,12 @@ ORACLES: dict[str, str] = {
         WITH {LINES} SELECT count(*) AS n_rows, true AS within_limit,
                             CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount FROM li""",
     "merge_store": LAST_OF_ALL,
+    "load_store": f"""
+        WITH {LINES}
+        SELECT account_id, asset_id, CAST(CAST(date_trunc('month', reference_date) AS DATE) AS VARCHAR) AS reference_date,
+               CAST(sum(CAST(quantity AS DECIMAL(18,2))) AS DOUBLE) AS quantity,
+               CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount
+        FROM li GROUP BY account_id, asset_id, date_trunc('month', reference_date)""",
     "stream_ingest": f"""
         WITH {EVENTS}, top AS (SELECT max(seq) + 1 AS m FROM ev),
         parts AS (SELECT ev.*, seq * 3 // m AS part FROM ev, top)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
 from tidemark.functions import text
+from tidemark.functions.numbers import int_div
 from tidemark.operators import (
     appending,
     datasets,
@@ -120,35 +121,33 @@ def validation_errors(spark, sf_dir):
 
 @registered
 def valid_rows(spark, sf_dir):
-    rows = routing.valid_rows(routing.annotate(X.custody_customers(spark, sf_dir)))
+    rows = routing.valid_rows(X.custody_customers(spark, sf_dir))
     return rows.select("source_file", "row_number", "record_hash", *KEY, *VALUES)
 
 
 @registered
 def error_rows(spark, sf_dir):
-    return routing.error_rows(routing.annotate(X.custody_customers(spark, sf_dir)))
+    return routing.error_rows(X.custody_customers(spark, sf_dir))
 
 
 @registered
 def ingest_summary(spark, sf_dir):
     """Rows read, valid, invalid per file."""
-    annotated = routing.annotate(X.custody_customers(spark, sf_dir))
-    return routing.ingest_counters(annotated, ["source_file"])
+    return routing.ingest_counters(X.custody_customers(spark, sf_dir), ["source_file"])
 
 
 @registered
 def consumer_totals(spark, sf_dir):
     """Files and rows of the whole run, from the per-file counters."""
-    annotated = routing.annotate(X.custody_customers(spark, sf_dir))
-    return routing.ingest_counters(annotated, ["source_file"]).agg(
+    return routing.ingest_counters(X.custody_customers(spark, sf_dir), ["source_file"]).agg(
         F.count(F.lit(1)).alias("files"),
         *[F.sum(c).alias(c) for c in ("rows", "valid", "invalid")],
     )
 
 
 def _customer_ratio(spark, sf_dir):
-    annotated = routing.annotate(X.custody_customers(spark, sf_dir))
-    return reporting.error_ratio(routing.ingest_counters(annotated, ["source_file"]))
+    counters = routing.ingest_counters(X.custody_customers(spark, sf_dir), ["source_file"])
+    return reporting.error_ratio(counters)
 
 
 @registered
@@ -477,7 +476,7 @@ def stagnation(spark, sf_dir):
         X.table(spark, sf_dir, "events")
         .selectExpr("cast(ts as date) as run_id", "cast(extract(hour from ts) as bigint) as elapsed")
         .groupBy("run_id", "elapsed")
-        .agg(F.floor(F.count(F.lit(1)) / F.lit(10)).alias("staging"))
+        .agg(int_div(F.count(F.lit(1)), 10).alias("staging"))
     )
     return reporting.stagnation(snapshots, limit=3)
 
@@ -487,7 +486,7 @@ def pipeline_counts(spark, sf_dir):
     tables = {
         "principal": X.target_values(spark, sf_dir),
         "staging": X.staged(spark, sf_dir),
-        "error": routing.error_rows(routing.annotate(X.custody_customers(spark, sf_dir))),
+        "error": routing.error_rows(X.custody_customers(spark, sf_dir)),
     }
     counts = [
         reporting.row_count(rows).select(F.lit(name).alias("table_name"), F.col("rows").alias("n_rows"))
@@ -504,7 +503,7 @@ def reconciliation(spark, sf_dir):
             "expected": X.staged(spark, sf_dir),
             "existing": before,
             "principal": merging.merge_result(X.collapsed(spark, sf_dir), before, X.run_ts()),
-            "errors": routing.error_rows(routing.annotate(X.custody_customers(spark, sf_dir))),
+            "errors": routing.error_rows(X.custody_customers(spark, sf_dir)),
         }
     )
 
@@ -553,7 +552,7 @@ def _drop(rows: DataFrame, path: str) -> None:
 def _third(events: DataFrame, part: int) -> DataFrame:
     """Last values per key within one third of the events."""
     top = events.agg((F.max("seq") + 1).alias("m")).scalar()
-    third = F.floor(F.col("seq") * 3 / top)
+    third = int_div(F.col("seq") * 3, top)
     return dedup.last_per_key(events.filter(third == part), KEY, VALUES, "seq")
 
 
@@ -569,6 +568,25 @@ def merge_store(spark, sf_dir):
     return store.principal().select(*KEY, *VALUES)
 
 
+@registered
+def load_store(spark, sf_dir):
+    """Monthly positions from the line items, landed and merged into a new table."""
+    root = scratch_dir(spark, "store")
+    store = Store(spark, f"{root}/tables")
+    positions = (
+        X.custody_lineitems(spark, sf_dir)
+        .withColumn("reference_date", F.expr("cast(trunc(reference_date, 'MM') as timestamp_ntz)"))
+        .groupBy(*KEY)
+        .agg(
+            *[F.sum(F.col(v).cast("decimal(18,2)")).cast("double").alias(v) for v in VALUES],
+        )
+    )
+    positions.write.parquet(f"{root}/in")
+    ingest_files(store, files.scan(spark, f"{root}/in"), run_ts=RUN_TIME)
+    merge_pending(store, RUN_TIME)
+    return store.principal().select(*KEY, *VALUES)
+
+
 @registered
 def stream_ingest(spark, sf_dir):
     """New files in two rounds, then all of them again with a lost checkpoint."""

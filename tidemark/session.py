@@ -18,6 +18,11 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.advisoryPartitionSizeInBytes": "128m",
     "spark.sql.files.maxPartitionBytes": "128m",
+    # The JIT compiler skips methods above this size; so does code generation then.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # A task that writes a handful of folders keeps them all open instead of
+    # sorting its rows by folder.
+    "spark.sql.maxConcurrentOutputFileWriters": "16",
 }
 
 

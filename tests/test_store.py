@@ -5,8 +5,11 @@ import json
 from decimal import Decimal
 
 import golden
+import pytest
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
+from tidemark.operators.appending import file_states
 from tidemark.plans.ingest import ingest_files
 from tidemark.plans.merge import merge_pending, seed_principal
 from tidemark.plans.store import Store
@@ -194,3 +197,19 @@ def test_watch_reports_a_stuck_table(spark, tmp_path):
     state, taken = watch(store, interval=0.0, limit=3)
     assert state == "stuck"
     assert [t[1:] for t in taken] == [(20, 0, 4)] * 4
+
+
+def test_unreadable_file_is_given_up_after_three_attempts(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    golden.write(spark, golden.FILE, tmp_path / "in")
+    (tmp_path / "in" / "bad x[1].parquet").write_bytes(b"PAR1 no parquet file PAR1")
+    for attempt in range(3):
+        query = ingest_stream(store, str(tmp_path / "in"), str(tmp_path / "cp"))
+        with pytest.raises(StreamingQueryException):
+            query.awaitTermination(120)
+        assert store.attempts().count() == attempt + 1
+        assert store.commits().count() == 0
+    ingest_stream(store, str(tmp_path / "in"), str(tmp_path / "cp")).awaitTermination(120)
+    assert store.commits().first().valid == 20
+    states = file_states(store.attempts()).collect()
+    assert [(r.source_file.split("/")[-1], r.status) for r in states] == [("bad x[1].parquet", "dead")]

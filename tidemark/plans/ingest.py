@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import DEFAULT_RULES, Rule
+from tidemark.operators.appending import file_states
 from tidemark.operators.dedup import (
     mark_repeats,
     piece_of,
@@ -27,6 +28,7 @@ from tidemark.operators.routing import (
 )
 from tidemark.plans.store import LEDGER, Store
 from tidemark.schemas import STAGING
+from tidemark.sources.files import literal_path, scan, unreadable_file
 
 # A file list is broadcast up to this many bytes of paths; see `_with_manifest`.
 BROADCAST_BYTES = 64 << 20
@@ -87,6 +89,37 @@ def ingest_files(
     return batch
 
 
+def ingest_listed(
+    store: Store,
+    listed: DataFrame,
+    max_attempts: int = 3,
+    run_ts: dt.datetime | None = None,
+    **options,
+) -> int | None:
+    """Lands the files of a list (column `path`), except those given up.
+
+    The list is that of one trigger or one notification load; only names reach
+    the driver, which needs them to plan the scan. A file that cannot be read
+    fails the run and is noted; after `max_attempts` failures it is left out.
+    """
+    run_ts = run_ts or dt.datetime.now()
+    dead = (
+        file_states(store.attempts(), max_attempts)
+        .filter("status = 'dead'")
+        .select(F.col("source_file").alias("path"))
+    )
+    paths = [r["path"] for r in listed.select("path").distinct().join(dead, "path", "left_anti").collect()]
+    if not paths:
+        return None
+    try:
+        return ingest_files(store, scan(store.spark, [literal_path(p) for p in paths]), run_ts=run_ts, **options)
+    except Exception as error:
+        unreadable = unreadable_file(str(error))
+        if unreadable:
+            store.record_failure(unreadable, str(error).split("\n", 1)[0], run_ts)
+        raise
+
+
 def _manifest(rows: DataFrame, ledger: DataFrame, next_seq: int) -> DataFrame:
     """Per file: rows, first row not landed before, and where its `seq` starts.
 

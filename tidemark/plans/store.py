@@ -5,6 +5,7 @@
     commits/ingest_batch=<n>/                            one row: the run is complete
     changes/snapshot=<r>/kind=<matched|fresh>/           what merge r decided per key
     principal/version=<r>/reference_date=<d>/            rows written by merge r
+    attempts/                                            files that could not be read
     snapshots/snapshot=<r>/                              which versions make up the table
     metrics/snapshot=<r>/                                counters of merge r
 
@@ -15,6 +16,8 @@ run overwrites what its failed attempt left behind.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,6 +87,16 @@ def _staged(landed: DataFrame) -> DataFrame:
     return good.select(*schemas.STAGING.names, "ingest_batch")
 
 
+ATTEMPTS = T.StructType(
+    [
+        T.StructField("source_file", T.StringType()),
+        T.StructField("ok", T.BooleanType()),
+        T.StructField("error", T.StringType()),
+        T.StructField("at", T.TimestampNTZType()),
+    ]
+)
+
+
 class Store:
     """Paths and readers below one root folder."""
 
@@ -156,6 +169,18 @@ class Store:
             .select(*schemas.ERROR.names, "ingest_batch")
         )
 
+    def attempts(self) -> DataFrame:
+        """Failed reads, one row each."""
+        return self.read("attempts", ATTEMPTS)
+
+    def record_failure(self, source_file: str, error: str, at: dt.datetime) -> None:
+        self.spark.range(1).select(
+            F.lit(source_file).alias("source_file"),
+            F.lit(False).alias("ok"),
+            F.lit(error).alias("error"),
+            F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz").alias("at"),
+        ).coalesce(1).write.mode("append").parquet(self.path("attempts"))
+
     # ---- merge side --------------------------------------------------------
 
     def head(self) -> tuple[int, int]:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +57,48 @@ def listed_files(spark: SparkSession, path: str, suffix: str = "*.parquet") -> D
     )
 
 
+LISTING = T.StructType(
+    [
+        T.StructField("path", T.StringType()),
+        T.StructField("modificationTime", T.TimestampType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("content", T.BinaryType()),
+    ]
+)
+
+
+def new_files(
+    spark: SparkSession, path: str, max_files: int | None = None, max_bytes: str | None = None
+) -> DataFrame:
+    """A stream of the names of new Parquet files; contents are not read.
+
+    A micro-batch frame is opaque to the optimizer. Streaming names instead of
+    rows leaves column pruning and splitting to an ordinary scan of the files.
+    """
+    reader = (
+        spark.readStream.format("binaryFile")
+        .schema(LISTING)
+        .option("pathGlobFilter", "*.parquet")
+        .option("recursiveFileLookup", "true")
+    )
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    if max_bytes:
+        reader = reader.option("maxBytesPerTrigger", max_bytes)
+    return reader.load(path).select("path")
+
+
+def literal_path(path: str) -> str:
+    """A file name as a reader path: pattern characters stand for themselves."""
+    return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
+
+
+def unreadable_file(message: str) -> str | None:
+    """The file named in a read error, written like a listed path."""
+    found = re.search(r"FAILED_READ_FILE\S* .*?reading file (\S+?)\.?\s", message)
+    return re.sub("^file:/+", "file:/", unquote(found.group(1))) if found else None
+
+
 def scan_nanoseconds(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files whose `reference_date` is stored in nanoseconds.
 

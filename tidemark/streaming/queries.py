@@ -13,11 +13,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
-from tidemark.plans.ingest import ingest_files
+from tidemark.plans.ingest import ingest_listed
 from tidemark.plans.merge import merge_pending
 from tidemark.plans.store import COMMITS, Store
-from tidemark.schemas import INPUT
-from tidemark.sources.files import with_lineage
+from tidemark.sources.files import new_files
 
 
 def _started(writer, checkpoint: str, every: str | None) -> StreamingQuery:
@@ -32,7 +31,7 @@ def ingest_stream(
     input_path: str,
     checkpoint: str,
     every: str | None = None,
-    max_files: int | None = None,
+    max_files: int | None = 100_000,
     max_bytes: str | None = None,
     clock: Callable[[], dt.datetime] = dt.datetime.now,
     **options,
@@ -42,22 +41,12 @@ def ingest_stream(
     A micro-batch that is replayed after its commit finds its rows in the
     ledger and adds nothing. An error stops the query; the next start replays.
     """
-    spark = store.spark
-    reader = (
-        spark.readStream.schema(INPUT)
-        .option("pathGlobFilter", "*.parquet")
-        .option("recursiveFileLookup", "true")
-    )
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    if max_bytes:
-        reader = reader.option("maxBytesPerTrigger", max_bytes)
-
-    def land(rows: DataFrame, epoch: int) -> None:
-        ingest_files(store, rows, run_ts=clock(), **options)
-
-    writer = with_lineage(reader.parquet(input_path)).writeStream.foreachBatch(land)
-    return _started(writer, checkpoint, every)
+
+    def land(listed: DataFrame, epoch: int) -> None:
+        ingest_listed(store, listed, run_ts=clock(), **options)
+
+    names = new_files(store.spark, input_path, max_files, max_bytes)
+    return _started(names.writeStream.foreachBatch(land), checkpoint, every)
 
 
 def merge_stream(

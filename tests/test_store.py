@@ -137,18 +137,19 @@ def test_failed_run_is_invisible_and_repeatable(spark, tmp_path):
     assert principal(store) == done
 
 
-def test_appended_and_rewritten_dates(spark, tmp_path):
+def test_appended_and_rewritten_dates(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr("tidemark.plans.merge.MAX_VERSIONS", 2)
     store = Store(spark, str(tmp_path / "store"))
-    for n in range(12):
+    for n in range(4):
         golden.write(spark, [(f"A{n}", "X", golden.DAY, 1.0, 1.0)], tmp_path / f"{n}")
         ingest_files(store, scan(spark, str(tmp_path / f"{n}")), run_ts=T0)
         merge_pending(store, T0)
-    assert len(principal(store)) == 12
-    # Eight folders, then one rewrite, then folders again.
-    assert [v for _, v in store.layout()] == [9, 10, 11, 12]
-    assert store.purge_versions() == [1, 2, 3, 4, 5, 6, 7, 8]
-    assert len(principal(store)) == 12
-    assert store.metrics().agg(F.max("total_processed")).first()[0] == 12
+    assert len(principal(store)) == 4
+    # Two folders, then one rewrite, then one folder more.
+    assert [v for _, v in store.layout()] == [3, 4]
+    assert store.purge_versions() == [1, 2]
+    assert len(principal(store)) == 4
+    assert store.metrics().agg(F.max("total_processed")).first()[0] == 4
 
 
 def test_large_manifest_path_gives_the_same_rows(spark, tmp_path, monkeypatch):

@@ -5,6 +5,9 @@ import json
 from decimal import Decimal
 
 import golden
+import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
@@ -13,7 +16,7 @@ from tidemark.operators.appending import file_states
 from tidemark.plans.ingest import ingest_files
 from tidemark.plans.merge import merge_pending, seed_principal
 from tidemark.plans.store import Store
-from tidemark.sources.files import scan
+from tidemark.sources.files import scan, scan_nanoseconds
 from tidemark.streaming.queries import await_staged, ingest_stream, merge_stream, watch
 
 T0 = dt.datetime(2025, 2, 1, 12, 0, 0)
@@ -209,8 +212,31 @@ def test_unreadable_file_is_given_up_after_three_attempts(spark, tmp_path):
         with pytest.raises(StreamingQueryException):
             query.awaitTermination(120)
         assert store.attempts().count() == attempt + 1
-        assert store.commits().count() == 0
+        assert store.last_commit() == 0
     ingest_stream(store, str(tmp_path / "in"), str(tmp_path / "cp")).awaitTermination(120)
     assert store.commits().first().valid == 20
     states = file_states(store.attempts()).collect()
     assert [(r.source_file.split("/")[-1], r.status) for r in states] == [("bad x[1].parquet", "dead")]
+
+
+def test_newest_number(spark, tmp_path):
+    for last in (0, 1, 2, 3, 7, 8, 13):
+        store = Store(spark, str(tmp_path / f"{last}"))
+        for n in range(1, last + 1):
+            folder = tmp_path / f"{last}" / "commits" / f"ingest_batch={n}"
+            folder.mkdir(parents=True)
+            (folder / "_SUCCESS").touch()
+            if n == last // 2:
+                assert store.newest("commits", "ingest_batch") == n
+        assert store.newest("commits", "ingest_batch") == last
+        assert store.newest("commits", "ingest_batch") == last
+
+
+def test_file_with_nanoseconds(spark, tmp_path):
+    stamps = pd.to_datetime(["2025-01-15 10:20:30.123456789", None]).as_unit("ns")
+    frame = pd.DataFrame(
+        {"account_id": ["A", "B"], "asset_id": ["X", "Y"], "reference_date": stamps, "quantity": 1.0, "amount": 2.0}
+    )
+    pq.write_table(pa.Table.from_pandas(frame), str(tmp_path / "n.parquet"), version="2.6")
+    rows = scan_nanoseconds(spark, str(tmp_path)).orderBy("row_number").collect()
+    assert [r.reference_date for r in rows] == [dt.datetime(2025, 1, 15, 10, 20, 30, 123456), None]

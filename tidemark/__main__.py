@@ -126,7 +126,7 @@ def _merge(spark, store, args) -> None:
 def _seed(spark, store, args) -> None:
     attempts = spark.range(3 * args.records)
     seed_principal(store, datasets.unique_records(attempts, "id", args.records, _today()))
-    store.counts().show()
+    print(store.counts())
 
 
 def _generate(spark, store, args) -> None:
@@ -166,7 +166,7 @@ def _report(spark, store, args) -> None:
 
 
 def _status(spark, store, args) -> None:
-    store.counts().show()
+    print(store.counts())
     store.commits().orderBy(F.desc("ingest_batch")).show(10, truncate=False)
     store.metrics().orderBy(F.desc("snapshot")).show(10, truncate=False)
     store.attempts().show(10, truncate=False)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import DEFAULT_RULES, Rule
@@ -53,8 +53,10 @@ def ingest_files(
     spark = store.spark
     batch_id = batch_id or str(uuid.uuid4())
     run_ts = run_ts or dt.datetime.now()
-    last_batch, next_seq = store.last_commit()
-    batch = last_batch + 1
+    last = store.last_commit()
+    before = store.commit(last)
+    next_seq = before["next_seq"]
+    batch = last + 1
 
     # 1. The files of this run, written first: the broadcast below may then rely
     #    on their real number, and the data is not needed for it.
@@ -83,7 +85,7 @@ def ingest_files(
     _landed(marked, rules, batch_id, run_ts).write.mode("overwrite").partitionBy("outcome").parquet(landed_path)
 
     # 4. Counters from what was landed, in one row: the commit.
-    _commit_row(store, landed_path, batch_id, size).coalesce(1).write.mode("overwrite").parquet(
+    _commit_row(store, landed_path, batch_id, size, before).coalesce(1).write.mode("overwrite").parquet(
         store.path("commits", ingest_batch=batch)
     )
     return batch
@@ -206,7 +208,7 @@ def _landed(marked: DataFrame, rules: list[Rule], batch_id: str, run_ts: dt.date
     )
 
 
-def _commit_row(store: Store, landed_path: str, batch_id: str, size) -> DataFrame:
+def _commit_row(store: Store, landed_path: str, batch_id: str, size: Row, before: Row) -> DataFrame:
     landed = store.spark.read.schema(
         "outcome string, error_reason string"
     ).parquet(landed_path)
@@ -220,4 +222,6 @@ def _commit_row(store: Store, landed_path: str, batch_id: str, size) -> DataFram
         F.count_if(~staged & ~repeated).alias("invalid"),
         F.count_if(repeated).alias("duplicate"),
         F.lit(size["next_seq"]).cast("long").alias("next_seq"),
+        (F.count_if(staged) + before["total_valid"]).alias("total_valid"),
+        (F.count_if(~staged) + before["total_rejected"]).alias("total_rejected"),
     )

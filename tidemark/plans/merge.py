@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import time
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import merging
-from tidemark.plans.store import METRICS_FILES, Store
+from tidemark.plans.store import METRICS_FILES, SNAPSHOTS, Head, Store
 from tidemark.schemas import KEY, PRINCIPAL, VALUES
 
 # A date is written anew instead of getting one more folder beyond this many.
@@ -40,24 +40,24 @@ def merge_pending(
     spark = store.spark
     started = time.time()
     run_ts = run_ts or dt.datetime.now()
-    current, last_merged = store.head()
-    last_commit = store.last_commit()[0]
+    head = store.head()
+    last_commit = store.last_commit()
     last = last_commit if up_to is None else min(up_to, last_commit)
-    if last <= last_merged:
+    if last <= head.last_ingest_batch:
         return None
-    snapshot = current + 1
+    snapshot = head.snapshot + 1
     stamp = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz")
 
     # 1. One row per staged key, written: the joins below see its real size and
     #    broadcast it only if it is small.
-    pending = store.staged_between(last_merged + 1, last)
+    pending = store.staged_between(head.last_ingest_batch + 1, last)
     collapsed_path = store.path("work", merge=snapshot)
     merging.collapse(pending).write.mode("overwrite").parquet(collapsed_path)
     collapsed = spark.read.parquet(collapsed_path)
 
     # 2. Compare with the target, reading only the dates that were staged. The
     #    keys found are written before the rest is derived from them.
-    layout = store.layout()
+    layout = head.layout
     staged_dates = {r[0] for r in collapsed.select("reference_date").distinct().collect()}
     target = store.partitions([(d, v) for d, v in layout if d in staged_dates])
     changes_path = store.path("changes", snapshot=snapshot)
@@ -97,8 +97,17 @@ def merge_pending(
             for a in (merging.INSERTED, merging.UPDATED, merging.UNCHANGED, merging.SUPERSEDED)
         ],
     )
-    _write_metrics(store, counts, started)
-    _write_snapshot(store, entries, last, snapshot)
+    seconds = time.time() - started
+    after = Head(
+        snapshot=snapshot,
+        last_ingest_batch=last,
+        table_rows=head.table_rows + counts.inserted,
+        total_processed=head.total_processed + counts.inserted + counts.updated,
+        total_seconds=head.total_seconds + seconds,
+        layout=tuple(sorted(entries)),
+    )
+    _write_metrics(store, counts, after, seconds)
+    _write_snapshot(store, after)
     return counts
 
 
@@ -142,25 +151,22 @@ def _write_version(store: Store, changes: DataFrame, layout, rewritten, snapshot
     rows.write.mode("overwrite").partitionBy("reference_date").parquet(path)
 
 
-def _write_snapshot(store: Store, entries, last: int, snapshot: int) -> None:
-    rows = [(d, v, last) for d, v in sorted(entries)] or [(None, None, last)]
-    store.spark.createDataFrame(
-        rows, "reference_date date, version long, last_ingest_batch long"
-    ).coalesce(1).write.mode("overwrite").parquet(store.path("snapshots", snapshot=snapshot))
+def _write_snapshot(store: Store, head: Head) -> None:
+    shared = (head.last_ingest_batch, head.table_rows, head.total_processed, head.total_seconds)
+    rows = [(d, v, *shared) for d, v in head.layout] or [(None, None, *shared)]
+    store.spark.createDataFrame(rows, SNAPSHOTS).coalesce(1).write.mode("overwrite").parquet(
+        store.path("snapshots", snapshot=head.snapshot)
+    )
 
 
-def _write_metrics(store: Store, counts: MergeCounts, started: float) -> None:
-    before = store.metrics().agg(
-        F.max("timestamp"), F.coalesce(F.max_by("total_processed", "batch"), F.lit(0))
-    ).first()
-    seconds = time.time() - started
+def _write_metrics(store: Store, counts: MergeCounts, after: Head, seconds: float) -> None:
     row = {
-        "timestamp": (before[0] or 0.0) + seconds,
+        "timestamp": after.total_seconds,
         "batch": counts.snapshot,
         "batch_time_ms": seconds * 1000.0,
         "inserted": counts.inserted,
         "updated": counts.updated,
-        "total_processed": before[1] + counts.inserted + counts.updated,
+        "total_processed": after.total_processed,
         "unchanged": counts.unchanged,
         "superseded": counts.superseded,
     }
@@ -177,7 +183,8 @@ def seed_principal(store: Store, records: DataFrame, run_ts: dt.datetime | None
     """
     run_ts = run_ts or dt.datetime.now()
     stamp = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz")
-    snapshot = store.last_snapshot() + 1
+    head = store.head()
+    snapshot = head.snapshot + 1
     path = store.path("principal", version=snapshot)
     rows = records
     for name in ("updated_at", "created_at"):
@@ -187,7 +194,14 @@ def seed_principal(store: Store, records: DataFrame, run_ts: dt.datetime | None
     shaped.hint("rebalance", "reference_date").write.mode("overwrite").partitionBy(
         "reference_date"
     ).parquet(path)
-    dates = (
-        store.spark.read.schema("reference_date date").parquet(path).distinct().collect()
+    written = store.spark.read.schema("reference_date date").parquet(path)
+    per_date = written.groupBy("reference_date").agg(F.count(F.lit(1)).alias("n")).collect()
+    _write_snapshot(
+        store,
+        replace(
+            head,
+            snapshot=snapshot,
+            table_rows=sum(r["n"] for r in per_date),
+            layout=tuple(sorted((r["reference_date"], snapshot) for r in per_date)),
+        ),
     )
-    _write_snapshot(store, [(r[0], snapshot) for r in dates], store.last_merged(), snapshot)

@@ -17,8 +17,9 @@ run overwrites what its failed attempt left behind.
 from __future__ import annotations
 
 import datetime as dt
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -54,19 +55,37 @@ COMMITS = T.StructType(
         T.StructField("invalid", T.LongType()),
         T.StructField("duplicate", T.LongType()),
         T.StructField("next_seq", T.LongType()),
+        T.StructField("total_valid", T.LongType()),
+        T.StructField("total_rejected", T.LongType()),
         T.StructField("ingest_batch", T.LongType()),
     ]
 )
 
+# One row per partition folder of the table; the other columns say the same in
+# every row. An empty table has one row without a date.
 SNAPSHOTS = T.StructType(
     [
         T.StructField("reference_date", T.DateType()),
         T.StructField("version", T.LongType()),
         T.StructField("last_ingest_batch", T.LongType()),
-        T.StructField("snapshot", T.LongType()),
+        T.StructField("table_rows", T.LongType()),
+        T.StructField("total_processed", T.LongType()),
+        T.StructField("total_seconds", T.DoubleType()),
     ]
 )
 
+
+@dataclass(frozen=True)
+class Head:
+    """The current snapshot."""
+
+    snapshot: int = 0
+    last_ingest_batch: int = 0
+    table_rows: int = 0
+    total_processed: int = 0
+    total_seconds: float = 0.0
+    layout: tuple[tuple[dt.date, int], ...] = ()
+
 PRINCIPAL_FILES = T.StructType(
     [f for f in schemas.PRINCIPAL.fields if f.name != "reference_date"]
     + [T.StructField("version", T.LongType()), T.StructField("reference_date", T.DateType())]
@@ -103,6 +122,8 @@ class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
         self.root = root.rstrip("/")
+        self._newest: dict[str, int] = {}
+        self._contents: dict[str, object] = {}
 
     def path(self, table: str, **partition: object) -> str:
         parts = [f"{name}={value}" for name, value in partition.items()]
@@ -128,22 +149,54 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).option("basePath", path).parquet(path)
 
+    def newest(self, table: str, partition: str) -> int:
+        """The highest complete number of a table that is numbered from 1.
+
+        Looks for success markers, doubling the step and then halving it: a few
+        file checks however long the history is, and no Spark job.
+        """
+
+        def complete(n: int) -> bool:
+            return self.exists(f"{self.path(table, **{partition: n})}/_SUCCESS")
+
+        low = self._newest.get(table, 0)
+        if low and not complete(low):
+            low = 0
+            self._contents.clear()
+        step = 1
+        while complete(low + step):
+            low, step = low + step, step * 2
+        while step > 1:
+            step //= 2
+            if complete(low + step):
+                low += step
+        self._newest[table] = low
+        return low
+
     # ---- ingest side -------------------------------------------------------
 
     def commits(self) -> DataFrame:
         return self.read("commits", COMMITS)
 
-    def last_commit(self) -> tuple[int, int]:
-        """Number of the last complete ingest run and the next free `seq`."""
-        row = self.commits().agg(F.max("ingest_batch"), F.max("next_seq")).first()
-        return (row[0] or 0, row[1] or 0)
+    def commit(self, batch: int) -> Row:
+        """The commit of a complete run; totals of 0 before the first."""
+        if not batch:
+            return Row(next_seq=0, total_valid=0, total_rejected=0)
+        path = self.path("commits", ingest_batch=batch)
+        if path not in self._contents:
+            self._contents[path] = self.spark.read.schema(COMMITS).parquet(path).first()
+        return self._contents[path]
+
+    def last_commit(self) -> int:
+        """Number of the last complete ingest run."""
+        return self.newest("commits", "ingest_batch")
 
     def ledger(self) -> DataFrame:
         """Files of complete runs."""
-        return self.read("ledger", LEDGER).filter(F.col("ingest_batch") <= self.last_commit()[0])
+        return self.read("ledger", LEDGER).filter(F.col("ingest_batch") <= self.last_commit())
 
     def landed(self) -> DataFrame:
-        return self.read("landed", LANDED).filter(F.col("ingest_batch") <= self.last_commit()[0])
+        return self.read("landed", LANDED).filter(F.col("ingest_batch") <= self.last_commit())
 
     def staging(self) -> DataFrame:
         """All good rows that were ever staged and not purged."""
@@ -160,7 +213,7 @@ class Store:
 
     def pending(self) -> DataFrame:
         """Staged rows that no merge has taken yet."""
-        return self.staged_between(self.last_merged() + 1, self.last_commit()[0])
+        return self.staged_between(self.last_merged() + 1, self.last_commit())
 
     def errors(self) -> DataFrame:
         return (
@@ -183,25 +236,28 @@ class Store:
 
     # ---- merge side --------------------------------------------------------
 
-    def head(self) -> tuple[int, int]:
-        """Number of the current snapshot and of the last ingest run merged in it."""
-        row = self.read("snapshots", SNAPSHOTS).agg(F.max("snapshot"), F.max("last_ingest_batch")).first()
-        return (row[0] or 0, row[1] or 0)
+    def head(self) -> Head:
+        snapshot = self.newest("snapshots", "snapshot")
+        if not snapshot:
+            return Head()
+        path = self.path("snapshots", snapshot=snapshot)
+        if path not in self._contents:
+            rows = self.spark.read.schema(SNAPSHOTS).parquet(path).collect()
+            layout = sorted((r["reference_date"], r["version"]) for r in rows if r["reference_date"])
+            first = rows[0].asDict()
+            shared = {n: first[n] for n in SNAPSHOTS.names if n not in ("reference_date", "version")}
+            self._contents[path] = Head(snapshot=snapshot, layout=tuple(layout), **shared)
+        return self._contents[path]
 
     def last_snapshot(self) -> int:
-        return self.head()[0]
+        return self.head().snapshot
 
     def last_merged(self) -> int:
-        return self.head()[1]
+        return self.head().last_ingest_batch
 
     def layout(self) -> list[tuple]:
         """(date, version) pairs of the current table: one per partition folder."""
-        snapshot = self.last_snapshot()
-        path = self.path("snapshots", snapshot=snapshot)
-        if not snapshot:
-            return []
-        rows = self.spark.read.schema(SNAPSHOTS).parquet(path).filter("reference_date is not null")
-        return sorted((r["reference_date"], r["version"]) for r in rows.collect())
+        return list(self.head().layout)
 
     def partitions(self, layout: list[tuple]) -> DataFrame:
         """The principal rows stored in the given partition folders."""
@@ -227,41 +283,35 @@ class Store:
     def metrics(self) -> DataFrame:
         return self.read("metrics", METRICS_FILES).filter(F.col("snapshot") <= self.last_snapshot())
 
-    def counts(self) -> DataFrame:
-        """One row: staging, principal and error counts."""
-        frames = {"staging": self.pending(), "principal": self.principal(), "errors": self.errors()}
-        stacked = None
-        for name, rows in frames.items():
-            one = rows.agg(F.count(F.lit(1)).alias("n")).withColumn("t", F.lit(name))
-            stacked = one if stacked is None else stacked.unionByName(one)
-        return stacked.agg(
-            *[F.max(F.when(F.col("t") == name, F.col("n"))).alias(name) for name in frames]
-        )
+    def counts(self) -> dict[str, int]:
+        """Staging, principal and error counts, from two commits and the snapshot."""
+        head = self.head()
+        newest = self.commit(self.last_commit())
+        merged = self.commit(head.last_ingest_batch)
+        return {
+            "staging": newest["total_valid"] - merged["total_valid"],
+            "principal": head.table_rows,
+            "errors": newest["total_rejected"],
+        }
 
     # ---- retention ---------------------------------------------------------
 
     def purge_consumed(self) -> list[int]:
-        """Deletes landed rows of merged runs. Their errors go too, unless copied;
-        the ledger stays and keeps the files from being taken again."""
+        """Deletes staged rows of merged runs. Their errors stay, and so does the
+        ledger, which keeps the files from being taken again."""
         merged = self.last_merged()
-        batches = [
-            r[0]
-            for r in self.commits()
-            .filter(F.col("ingest_batch") <= merged)
-            .select("ingest_batch")
-            .collect()
-        ]
-        for batch in batches:
-            self.drop(f"{self.path('landed', ingest_batch=batch)}/outcome={STAGED}")
-        return batches
+        purged = []
+        for batch in range(1, merged + 1):
+            folder = f"{self.path('landed', ingest_batch=batch)}/outcome={STAGED}"
+            if self.exists(folder):
+                self.drop(folder)
+                purged.append(batch)
+        return purged
 
     def purge_versions(self) -> list[int]:
-        """Deletes principal versions and snapshots that are not current any more."""
+        """Deletes principal versions that the current snapshot does not use."""
         used = {v for _, v in self.layout()}
-        current = self.last_snapshot()
-        unused = [v for v in range(1, current + 1) if v not in used]
+        unused = [v for v in range(1, self.last_snapshot() + 1) if v not in used]
         for version in unused:
             self.drop(self.path("principal", version=version))
-        for snapshot in range(1, current):
-            self.drop(self.path("snapshots", snapshot=snapshot))
         return unused

@@ -116,7 +116,7 @@ def watch(
         passed = int(time.monotonic() - start)
         if passed >= timeout:
             return "timeout", taken
-        row = store.counts().first()
+        row = store.counts()
         same = taken and taken[-1][1] == row["staging"] and row["staging"] != 0
         stagnant = stagnant + 1 if same else 0
         taken.append((passed, row["staging"], row["principal"], row["errors"]))
@@ -131,7 +131,7 @@ def await_staged(store: Store, timeout: float = 120.0, interval: float = 5.0) ->
     """True as soon as a staged row is waiting for a merge."""
     end = time.monotonic() + timeout
     while time.monotonic() < end:
-        if not store.pending().isEmpty():
+        if store.counts()["staging"]:
             return True
         time.sleep(interval)
     return False

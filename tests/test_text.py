@@ -100,12 +100,13 @@ def test_numbers(spark):
 def test_keys(spark):
     row = spark.range(1).selectExpr(
         keys.account_code("7"), keys.account_code("10000"), keys.pick(keys.ASSETS, "19"),
-        f"size({keys.date_series('current_date()')})", keys.stable_hash("1", "'x'", seed=3),
-        keys.stable_uniform(10, 20, 2, "5"),
+        f"size({keys.date_series('current_date()')})", keys.portable_hash("1", "'x'", seed=3),
+        keys.uniform(10, 20, 2, "5"), keys.fast_hash("1", "'x'", seed=3),
     ).first()
     digest = hashlib.md5(b"3|1|x").hexdigest()
     assert tuple(row[:5]) == ("ACC007", "ACC10000", "CPFE3", 31, int(digest[:15], 16))
     assert 10 <= row[5] <= 20
+    assert 0 <= row[6] < 1 << keys.HASH_BITS
 
 
 def test_nanoseconds(spark):

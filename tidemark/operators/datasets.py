@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import (
     ASSETS,
     account_code,
+    Hash,
+    fast_hash,
     pick,
-    stable_hash,
-    stable_uniform,
+    uniform,
 )
 from tidemark.functions.numbers import int_div, update_share
 from tidemark.operators.ordering import sample_rows
@@ -70,19 +71,19 @@ def allocated_records(
     return allocate_files(with_new_values(keys, seed), rows_per_file)
 
 
-def with_new_values(keys: DataFrame, seed: int = 0) -> DataFrame:
+def with_new_values(keys: DataFrame, seed: int = 0, hashed: Hash = fast_hash) -> DataFrame:
     """Adds a quantity in 10 .. 10,000 and an amount in 100 .. 1,000,000."""
     return keys.selectExpr(
         "*",
-        f"{stable_uniform(10, 10_000, 4, *KEY, seed=2 * seed + 1)} as quantity",
-        f"{stable_uniform(100, 1_000_000, 2, *KEY, seed=2 * seed + 2)} as amount",
+        f"{uniform(10, 10_000, 4, *KEY, seed=2 * seed + 1, hashed=hashed)} as quantity",
+        f"{uniform(100, 1_000_000, 2, *KEY, seed=2 * seed + 2, hashed=hashed)} as amount",
     )
 
 
-def random_key(row_id: str, anchor: str, accounts: int, days_back: int, seed: int) -> list[str]:
-    """A key at an even random position; the same position may come up again."""
+def random_position(row_id: str, accounts: int, days_back: int, seed: int, hashed: Hash = fast_hash) -> str:
+    """An even random position of the key space; the same one may come up again."""
     total = accounts * len(ASSETS) * (days_back + 1)
-    return key_at(f"pmod({stable_hash(row_id, seed=seed)}, {total}L)", anchor, days_back)
+    return f"pmod({hashed(row_id, seed=seed)}, {total}L) as _position"
 
 
 def random_records(
@@ -92,13 +93,15 @@ def random_records(
     accounts: int = 10_000,
     days_back: int = 30,
     seed: int = 0,
+    hashed: Hash = fast_hash,
 ) -> DataFrame:
     """One random record per input row; keys may repeat, values differ by row."""
-    return rows.selectExpr(
+    # The position is a column of its own, so that it is hashed once per row.
+    return rows.selectExpr(row_id, random_position(row_id, accounts, days_back, seed, hashed)).selectExpr(
         row_id,
-        *random_key(row_id, anchor, accounts, days_back, seed),
-        f"{stable_uniform(10, 10_000, 4, row_id, seed=seed + 1)} as quantity",
-        f"{stable_uniform(100, 1_000_000, 2, row_id, seed=seed + 2)} as amount",
+        *key_at("_position", anchor, days_back),
+        f"{uniform(10, 10_000, 4, row_id, seed=seed + 1, hashed=hashed)} as quantity",
+        f"{uniform(100, 1_000_000, 2, row_id, seed=seed + 2, hashed=hashed)} as amount",
     )
 
 
@@ -110,14 +113,16 @@ def unique_records(
     accounts: int = 10_000,
     days_back: int = 30,
     seed: int = 0,
+    hashed: Hash = fast_hash,
 ) -> DataFrame:
     """Up to `count` random records without a repeated key.
 
     `rows` should hold about three times `count` rows: each is one attempt.
     Fewer records come back if the attempts hit too few different keys.
     """
-    keys = rows.selectExpr(*random_key(row_id, anchor, accounts, days_back, seed)).distinct()
-    return with_new_values(sample_rows(keys, KEY, count, seed), seed)
+    positions = rows.selectExpr(random_position(row_id, accounts, days_back, seed, hashed)).distinct()
+    keys = positions.selectExpr(*key_at("_position", anchor, days_back))
+    return with_new_values(sample_rows(keys, KEY, count, seed, hashed), seed, hashed)
 
 
 def fresh_keys(candidates: DataFrame, existing: DataFrame, key: list[str] = KEY) -> DataFrame:
@@ -137,14 +142,14 @@ def change_set(
     update_percent: int,
     key: list[str] = KEY,
     seed: int = 0,
+    hashed: Hash = fast_hash,
 ) -> DataFrame:
     """`rows` records: the given share hits existing keys, the rest is new.
 
     Both parts are exact samples in hash order, see `sample_rows`.
     """
     updates, inserts = update_share(rows, update_percent)
-    old = sample_rows(existing.select(*key), key, updates, seed).withColumn("kind", F.lit("update"))
-    new = sample_rows(fresh_keys(candidates, existing, key), key, inserts, seed).withColumn(
-        "kind", F.lit("insert")
-    )
-    return with_new_values(old.unionByName(new), seed)
+    old = sample_rows(existing.select(*key), key, updates, seed, hashed)
+    new = sample_rows(fresh_keys(candidates, existing, key), key, inserts, seed, hashed)
+    both = old.withColumn("kind", F.lit("update")).unionByName(new.withColumn("kind", F.lit("insert")))
+    return with_new_values(both, seed, hashed)

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.keys import HASH_BITS, stable_hash
+from tidemark.functions.keys import HASH_BITS, Hash, fast_hash
 from tidemark.functions.numbers import batch_number, int_div
 
 WIDTH = 1 << 20
@@ -73,25 +73,27 @@ def first_rows(rows: DataFrame, order: str, count: int) -> DataFrame:
     return rows.orderBy(order).limit(count)
 
 
-def sample_rows(rows: DataFrame, key: list[str], count: int, seed: int = 0) -> DataFrame:
+def sample_rows(
+    rows: DataFrame, key: list[str], count: int, seed: int = 0, hashed: Hash = fast_hash
+) -> DataFrame:
     """Exactly `count` rows in hash order of a unique key (all, if there are fewer).
 
     Hashes are cut into 65,536 even ranges. Whole ranges are kept or dropped by
     a table of range counts, whose size is fixed; only the range in which the
     limit falls is ordered.
     """
-    hashed = rows.withColumn("_hash", F.expr(stable_hash(*key, seed=seed))).withColumn(
+    ranged = rows.withColumn("_hash", F.expr(hashed(*key, seed=seed))).withColumn(
         "_range", F.shiftright("_hash", HASH_BITS - SAMPLE_BITS)
     )
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = (
-        hashed.groupBy("_range")
+        ranged.groupBy("_range")
         .agg(F.count(F.lit(1)).alias("_rows"))
         .withColumn("_left", F.lit(count) - F.coalesce(F.sum("_rows").over(before), F.lit(0)))
         .filter("_left > 0")
     )
     # At most 2^16 rows of three numbers.
-    kept = hashed.join(F.broadcast(ranges), "_range")
+    kept = ranged.join(F.broadcast(ranges), "_range")
     in_order = Window.partitionBy("_range").orderBy("_hash", *key)
     edge = (
         kept.filter("_rows > _left")
@@ -106,4 +108,4 @@ def hash_order(rows: DataFrame, key: list[str], seed: int = 0) -> DataFrame:
 
     Use right before a write; the order lives in the files only.
     """
-    return rows.orderBy(F.expr(stable_hash(*key, seed=seed)), *key)
+    return rows.orderBy(F.expr(fast_hash(*key, seed=seed)), *key)

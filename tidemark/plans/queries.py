@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import rules as R
 from tidemark.functions import text
+from tidemark.functions.keys import portable_hash
 from tidemark.functions.numbers import int_div
 from tidemark.operators import (
     appending,
@@ -292,26 +293,29 @@ def file_allocation(spark, sf_dir):
 @registered
 def random_rows(spark, sf_dir):
     """One random record per event."""
-    return datasets.random_records(X.custody_events(spark, sf_dir), "seq", ANCHOR)
+    return datasets.random_records(X.custody_events(spark, sf_dir), "seq", ANCHOR, hashed=portable_hash)
 
 
 @registered
 def unique_rows(spark, sf_dir):
-    """A third of the events' number of records without a repeated key."""
-    return datasets.unique_records(X.custody_events(spark, sf_dir), "seq", 3000, ANCHOR, accounts=20)
+    """3,000 records without a repeated key, every event is one attempt."""
+    return datasets.unique_records(
+        X.custody_events(spark, sf_dir), "seq", 3000, ANCHOR, accounts=20, hashed=portable_hash
+    )
 
 
 @registered
 def change_set(spark, sf_dir):
     """2,000 records, 60 % of them on existing keys."""
     return datasets.change_set(
-        X.target_values(spark, sf_dir), X.staged(spark, sf_dir), 2000, 60
+        X.target_values(spark, sf_dir), X.staged(spark, sf_dir), 2000, 60, hashed=portable_hash
     )
 
 
 @registered
 def sample_keys(spark, sf_dir):
-    return ordering.sample_rows(X.target_values(spark, sf_dir).select(*KEY), KEY, 1000, seed=7)
+    keys = X.target_values(spark, sf_dir).select(*KEY)
+    return ordering.sample_rows(keys, KEY, 1000, seed=7, hashed=portable_hash)
 
 
 @registered

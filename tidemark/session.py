@@ -26,6 +26,9 @@ SETTINGS = {
 }
 
 
+_LOCAL_DIRS: dict[str, str] = {}
+
+
 def build_session(app_name: str = "tidemark", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; `conf` overrides them."""
     builder = SparkSession.builder.appName(app_name)
@@ -47,9 +50,10 @@ def shared_dir(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-    made = tempfile.mkdtemp(prefix="tidemark-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_DIRS:
+        _LOCAL_DIRS[app] = tempfile.mkdtemp(prefix="tidemark-")
+    return _LOCAL_DIRS[app]
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:

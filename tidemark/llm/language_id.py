@@ -23,7 +23,6 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -56,22 +55,22 @@ SCRIPTS = (
 )
 
 
-@cache
 def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Is a code point part of a word; and its script."""
+    """Is a code point part of a word; and its script. Beyond the second plane, letters are what a script lists."""
     scripts = np.zeros(0x110000, np.uint8)
     for number, (_, ranges) in enumerate(SCRIPTS, 1):
         for low, high in ranges:
             scripts[low : high + 1] = number
-    letters = np.fromiter((chr(c).isalpha() for c in range(0x110000)), bool, 0x110000)
-    marks = [c for c in range(0x300, 0x20000) if unicodedata.category(chr(c))[0] == "M"]
-    letters[marks] = True
+    letters = scripts > 0
+    known = 0x20000
+    letters[:known] = np.fromiter((chr(c).isalpha() for c in range(known)), bool, known)
+    letters[[c for c in range(0x300, known) if unicodedata.category(chr(c))[0] == "M"]] = True
     return letters, scripts
 
 
-def _words(texts: list[str | None]):
+def _words(texts: list[str | None], tables: tuple[np.ndarray, np.ndarray]):
     """Of many texts at once: triple bucket and word per letter; text, start, end and script per word."""
-    letters, scripts = _tables()
+    letters, scripts = tables
     # Lower case only where the length stays, so that places in the text stay.
     texts = [t or "" for t in texts]
     lower = [x if len(x := t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts]
@@ -105,12 +104,12 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Triples and letters by script per language, summed over the task."""
-    width = BUCKETS + len(SCRIPTS) + 1
+    width, tables = BUCKETS + len(SCRIPTS) + 1, _tables()
     sums: dict[str, np.ndarray] = {}
     for batch in batches:
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for low, high in _chunks(texts):
-            bucket, first, owner, start, end, script = _words(texts[low:high])
+            bucket, first, owner, start, end, script = _words(texts[low:high], tables)
             names, lang = np.unique(np.array(langs[low:high], object), return_inverse=True)
             size = end - start
             for k, name in enumerate(names):
@@ -193,15 +192,16 @@ def _viterbi(emit: np.ndarray, first: np.ndarray, count: np.ndarray, penalty: fl
     return path
 
 
-def _labels(model: LanguageModel, texts: list[str | None], penalty: float):
+def _labels(model: tuple, tables: tuple, texts: list[str | None], penalty: float):
     """Per text: language, score, spans (start, end, language number)."""
-    bucket, first, owner, start, end, script = _words(texts)
-    n, k = len(texts), len(model.languages)
+    languages, table, scripts = model
+    bucket, first, owner, start, end, script = _words(texts, tables)
+    n, k = len(texts), len(languages)
     langs, scores, spans = [UNKNOWN] * n, [0.0] * n, [[] for _ in range(n)]
     if not len(owner) or not k:
         return langs, scores, spans
-    emit = np.add.reduceat(model.scores[bucket], first, 0)
-    known = model.scripts[script]
+    emit = np.add.reduceat(table[bucket], first, 0)
+    known = scripts[script]
     known[~known.any(1)] = True
     # A language outside the script is as unlikely as the worst candidate and the penalty twice.
     emit = np.where(known, emit, emit.min(1, keepdims=True) - 2 * np.float32(penalty))
@@ -217,9 +217,9 @@ def _labels(model: LanguageModel, texts: list[str | None], penalty: float):
     cut = np.flatnonzero(np.diff(owner, prepend=-1).astype(bool) | (np.diff(path.astype(int), prepend=-1) != 0))
     last = np.append(cut[1:], len(owner)) - 1
     for i, a, b, lang in zip(owner[cut].tolist(), start[cut].tolist(), end[last].tolist(), path[cut].tolist(), strict=True):
-        spans[i].append({"start": a, "end": b, "lang": model.languages[lang]})
+        spans[i].append({"start": a, "end": b, "lang": languages[lang]})
     for i in used.tolist():
-        langs[i], scores[i] = model.languages[top[i]], float(share[i, top[i]] / total[i])
+        langs[i], scores[i] = languages[top[i]], float(share[i, top[i]] / total[i])
     return langs, scores, spans
 
 
@@ -227,17 +227,18 @@ def identify(
     documents: DataFrame, model: LanguageModel, text_col: str = "text", penalty: float = 8.0, spans: bool = True
 ) -> DataFrame:
     """The documents with `lang_pred`, `score` (share of letters) and `lang_spans` (start, end, lang; in characters)."""
-    shared = documents.sparkSession.sparkContext.broadcast(model)
+    shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.scores, model.scripts))
     rows = packed(documents, ["lang_pred", "score", "lang_spans"]).select("row.*")
     at = rows.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tables = _tables()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             texts = batch.column(at).to_pylist()
             langs, scores, marks = [], [], []
             for low, high in _chunks(texts):
-                a, b, c = _labels(shared.value, texts[low:high], penalty)
+                a, b, c = _labels(shared.value, tables, texts[low:high], penalty)
                 langs, scores = langs + a, scores + b
                 marks += c if spans else [None] * len(a)
             yield pa.RecordBatch.from_arrays(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, line_dedup, mixing, token_count, warc
+from tidemark.llm import language_id, line_dedup, mixing, near_dedup, token_count, vector_dedup, warc
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,14 @@ def held_out_row(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
+@registered
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of near-duplicate texts by the similarity of their 2-word shingles."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = near_dedup.near_duplicates(documents, words=2)
+    return found.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 @registered
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text; learned from the rows that are not held out."""
@@ -139,3 +147,11 @@ SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
 """
+
+
+@registered
+def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors by cosine."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    found = vector_dedup.near_vectors(vectors)
+    return found.select("vec_id", "n_links", "component_id", "kept")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, line_dedup, mixing, near_dedup, token_count, vector_dedup, warc
+from tidemark.llm import decontamination, language_id, line_dedup, mixing, near_dedup, suffix_dedup, token_count, vector_dedup, warc
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,13 @@ def held_out_row(id_col: str = "doc_id"):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1
 
 
+@registered
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every text without the 400-byte strings that occur elsewhere, too."""
+    found = suffix_dedup.removal_digest(table(spark, sf_dir, "documents"))
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 @registered
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of near-duplicate texts by the similarity of their 2-word shingles."""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, line_dedup, mixing, near_dedup, suffix_dedup, token_count, vector_dedup, warc
+from tidemark.llm import decontamination, language_id, line_dedup, lm_score, mixing, near_dedup, suffix_dedup, token_count, vector_dedup, warc
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -103,6 +103,14 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(held_out_row(), F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
+@registered
+def op5_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every text between the good documents and all."""
+    good = table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+    found = lm_score.score(table(spark, sf_dir, "documents").select("doc_id", "text"), good)
+    return found.select("doc_id", "n_tokens", "target_loss", "background_loss", "score")
+
+
 @registered
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The corpus mixed so that every source has the same share of its bytes, in global random order."""

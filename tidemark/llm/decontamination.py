@@ -155,9 +155,8 @@ def decontaminate(
     )
     rows = packed(documents, made, key=text_key(text_col))
     joined = rows.join(per_text, rows["key"] == per_text["of"], "left")
-    text = F.col("row")[text_col]
     return (
-        joined.withColumn("w", F.coalesce(words_of(text), F.array().cast("array<string>")))
+        joined.withColumn("w", words_of(F.coalesce(F.col("row")[text_col], F.lit(""))))
         .withColumn(
             "hits",
             F.filter(
@@ -166,7 +165,7 @@ def decontaminate(
             ),
         )
         # The first of the words may be the empty one before a separator.
-        .withColumn("skip", F.when(F.element_at("w", 1) == "", 1).otherwise(0))
+        .withColumn("skip", F.when(F.col("w")[0] == "", 1).otherwise(0))
         .select(
             "row.*",
             F.size(F.filter("w", lambda x: x != "")).cast("long").alias("n_words"),

@@ -166,9 +166,10 @@ def score(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text
     size = wanted.agg(F.sum(F.octet_length(F.col("wanted").cast("string")).cast("long") + 32)).first()[0] or 0
     wanted = F.broadcast(wanted) if size <= BROADCAST_BYTES else wanted
     rows = packed(documents, made, id=id_col).join(wanted, F.col("id") == F.col("wanted"), "left")
-    rows = rows.select("row.*", F.col("wanted").isNotNull().alias("_target"))
-    names = rows.columns[:-1]
-    counts = train(rows.select(F.col(f"`{text_col}`").alias("text"), F.col("_target").alias("target")))
+    rows = rows.select("row", F.col("wanted").isNotNull().alias("target"))
+    fields = rows.schema["row"].dataType
+    names = fields.names
+    counts = train(rows.select(F.col("row")[text_col].alias("text"), "target"))
     totals = {flag: float(t[AT_WORDS : AT_WORDS + WORDS].sum()) for flag, t in counts.items()}
     scale = totals[True] / totals[False] if totals[True] else 1.0
     shared = documents.sparkSession.sparkContext.broadcast(
@@ -204,9 +205,6 @@ def score(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text
                 [*names, *made],
             )
 
-    return rows.mapInArrow(
-        run,
-        schema_with(
-            documents.drop(*made).schema, n_tokens="long", target_loss="double", background_loss="double", score="double"
-        ),
+    return rows.select("row.*", "target").mapInArrow(
+        run, schema_with(fields, n_tokens="long", target_loss="double", background_loss="double", score="double")
     )

@@ -56,6 +56,8 @@ def test_commands(spark, tmp_path, capsys):
         "--delay", 0.1, "--max-iterations", 1,
     )
     assert store.pending().count() == 0
+    call("merge", "--root", root, "--metrics-csv", tmp_path / "csv")
+    assert [m.total_processed for m in read_metrics_csv(spark, str(tmp_path / "csv")).collect()] == [100]
     assert "total_records" in call("report", "--root", root)
     assert "principal" in call("status", "--root", root)
     assert "ingest runs: [1, 2, 3]" in call("purge", "--root", root)

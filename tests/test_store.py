@@ -17,7 +17,7 @@ from tidemark.plans.ingest import ingest_files
 from tidemark.plans.merge import merge_pending, seed_principal
 from tidemark.plans.store import Store
 from tidemark.sources.files import scan, scan_nanoseconds
-from tidemark.streaming.queries import await_staged, ingest_stream, merge_stream, watch
+from tidemark.streaming.queries import await_batches, ingest_stream, merge_stream
 
 T0 = dt.datetime(2025, 2, 1, 12, 0, 0)
 T1 = dt.datetime(2025, 2, 2, 12, 0, 0)
@@ -189,18 +189,36 @@ def test_streams_equal_batch_and_resume(spark, tmp_path):
     # A lost checkpoint reads every file again; the ledger keeps the rows out.
     ingest_stream(store, str(tmp_path / "in"), str(tmp_path / "cp3")).awaitTermination(120)
     assert store.pending().count() == 0
-    assert watch(store, interval=0.1, settle=-1)[0] == "empty"
-    assert not await_staged(store, timeout=0.2, interval=0.1)
 
 
-def test_watch_reports_a_stuck_table(spark, tmp_path):
+def test_merge_starts_before_any_run(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
+    merge_stream(store, str(tmp_path / "cp"), clock=lambda: T0).awaitTermination(120)
+    assert store.last_snapshot() == 0 and store.last_commit() == 0
     golden.write(spark, golden.FILE, tmp_path / "in")
     ingest_files(store, scan(spark, str(tmp_path / "in")), run_ts=T0)
-    assert await_staged(store, timeout=10)
-    state, taken = watch(store, interval=0.0, limit=3)
-    assert state == "stuck"
-    assert [t[1:] for t in taken] == [(20, 0, 4)] * 4
+    merge_stream(store, str(tmp_path / "cp"), clock=lambda: T0).awaitTermination(120)
+    assert len(principal(store)) == 20
+
+
+def test_failed_merge_raises(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    golden.write(spark, golden.FILE, tmp_path / "in")
+    ingest_files(store, scan(spark, str(tmp_path / "in")), run_ts=T0)
+    for part in (tmp_path / "store" / "landed").rglob("*.parquet"):
+        part.write_bytes(b"PAR1 no parquet file PAR1")
+        part.with_name(f".{part.name}.crc").unlink(missing_ok=True)
+    query = merge_stream(store, str(tmp_path / "cp"), every="0 seconds")
+    with pytest.raises(StreamingQueryException):
+        await_batches(query, 1, timeout=120)
+    assert store.last_snapshot() == 0
+
+
+def test_seed_keeps_one_row_per_key(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    row = golden.SEED[0]
+    seed_principal(store, golden.frame(spark, [row, row, (*row[:3], 7.0, 9.0)]), T0)
+    assert len(principal(store)) == store.principal().count() == 1
 
 
 def test_unreadable_file_is_given_up_after_three_attempts(spark, tmp_path):

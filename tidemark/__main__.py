@@ -43,11 +43,13 @@ def parser() -> argparse.ArgumentParser:
     follow.add_argument("--every", help="interval, e.g. '5 seconds'; without it: drain and stop")
     follow.add_argument("--max-files", type=int, default=100_000, help="files per micro-batch")
     follow.add_argument("--max-bytes", help="bytes per micro-batch, e.g. 500g")
+    follow.add_argument("--hash-text", choices=["decimal", "repr"], default="decimal")
 
     merge = command("merge", "merge staging into the principal table")
     merge.add_argument("--continuous", action="store_true", help="keep merging new ingest runs")
     merge.add_argument("--checkpoint", help="needed for --continuous")
     merge.add_argument("--delay", type=float, default=0.5, help="seconds between merges")
+    merge.add_argument("--max-runs", type=int, help="ingest runs per merge of --continuous")
     merge.add_argument("--max-iterations", type=int, default=0, help="stop after so many merges")
     merge.add_argument("--metrics-csv", help="folder for the metrics as CSV")
 
@@ -74,10 +76,6 @@ def parser() -> argparse.ArgumentParser:
 
     command("status", "print table counts, ingest runs and merge runs")
 
-    watch = command("watch", "wait until staging is merged")
-    watch.add_argument("--interval", type=float, default=5.0)
-    watch.add_argument("--timeout", type=float, default=600.0)
-
     command("purge", "delete consumed staging rows and replaced versions")
     return top
 
@@ -103,15 +101,16 @@ def _ingest(spark, store, args) -> None:
 
 def _follow(spark, store, args) -> None:
     streams.ingest_stream(
-        store, args.input, args.checkpoint, args.every, args.max_files, args.max_bytes
+        store, args.input, args.checkpoint, args.every, args.max_files, args.max_bytes, hash_text=args.hash_text
     ).awaitTermination()
 
 
 def _merge(spark, store, args) -> None:
+    before = store.last_snapshot()
     if args.continuous:
         if not args.checkpoint:
             raise SystemExit("--continuous needs --checkpoint")
-        query = streams.merge_stream(store, args.checkpoint, f"{args.delay} seconds")
+        query = streams.merge_stream(store, args.checkpoint, f"{args.delay} seconds", args.max_runs)
         if args.max_iterations:
             streams.await_batches(query, args.max_iterations, timeout=float("inf"))
         else:
@@ -120,7 +119,7 @@ def _merge(spark, store, args) -> None:
         counts = merge_pending(store)
         print("staging is empty" if counts is None else counts)
     if args.metrics_csv:
-        files.write_metrics_csv(store.metrics(), args.metrics_csv)
+        files.write_metrics_csv(store.metrics().where(F.col("snapshot") > before), args.metrics_csv)
 
 
 def _seed(spark, store, args) -> None:
@@ -172,15 +171,6 @@ def _status(spark, store, args) -> None:
     store.attempts().show(10, truncate=False)
 
 
-def _watch(spark, store, args) -> None:
-    state, taken = streams.watch(store, args.interval, args.timeout)
-    for row in taken:
-        print(row)
-    print(state)
-    if state != "empty":
-        raise SystemExit(1)
-
-
 def _purge(spark, store, args) -> None:
     print("ingest runs:", store.purge_consumed())
     print("versions:", store.purge_versions())
@@ -195,7 +185,6 @@ COMMANDS = {
     "changes": _changes,
     "report": _report,
     "status": _status,
-    "watch": _watch,
     "purge": _purge,
 }
 

@@ -43,14 +43,3 @@ def update_share(rows: int, ratio_percent: int) -> tuple[int, int]:
 
 def update_share_column(rows: Column, ratio_percent: int) -> Column:
     return int_div(rows * ratio_percent, 100)
-
-
-def format_value(value: Column, kind: str, unit: str = "") -> Column:
-    """`1,234` for int (truncated), `1.2` for float, `1.2s` for time."""
-    if kind == "int":
-        return F.concat(F.format_number(value.cast("long"), 0), F.lit(unit))
-    if kind == "float":
-        return F.concat(F.format_string("%.1f", value.cast("double")), F.lit(unit))
-    if kind == "time":
-        return F.concat(F.format_string("%.1f", value.cast("double")), F.lit("s"))
-    return value.cast("string")

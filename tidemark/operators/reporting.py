@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.numbers import format_value, percent, safe_div, share_rounded
+from tidemark.functions.numbers import percent, safe_div, share_rounded
 
-# Name, format and unit of the report lines.
-REPORT_LINES = [
-    ("total_records", "int", ""),
-    ("total_time", "time", ""),
-    ("throughput", "float", " regs/s"),
-    ("total_inserted", "int", ""),
-    ("total_updated", "int", ""),
-    ("total_batches", "int", ""),
-]
+# Names and text patterns of the report lines.
+REPORT_LINES = {
+    "total_records": "%,d",
+    "total_time": "%.1fs",
+    "throughput": "%.1f regs/s",
+    "total_inserted": "%,d",
+    "total_updated": "%,d",
+    "total_batches": "%,d",
+}
 
 
 def report_metrics(metrics: DataFrame) -> DataFrame:
@@ -40,9 +40,9 @@ def report_lines(report: DataFrame) -> DataFrame:
         F.struct(
             F.lit(name).alias("metric"),
             F.col(name).cast("double").alias("value"),
-            format_value(F.col(name), kind, unit).alias("text"),
+            F.format_string(pattern, F.col(name).cast("long" if "d" in pattern else "double")).alias("text"),
         )
-        for name, kind, unit in REPORT_LINES
+        for name, pattern in REPORT_LINES.items()
     ]
     return report.select(F.inline(F.array(*lines)))
 

@@ -179,7 +179,8 @@ def _write_metrics(store: Store, counts: MergeCounts, after: Head, seconds: floa
 def seed_principal(store: Store, records: DataFrame, run_ts: dt.datetime | None = None) -> None:
     """Replaces the principal table by the given records (truncate and load).
 
-    Consumed ingest runs stay consumed; pending ones stay pending.
+    Of several records with one key the greatest by its values stays. Consumed
+    ingest runs stay consumed; pending ones stay pending.
     """
     run_ts = run_ts or dt.datetime.now()
     stamp = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz")
@@ -191,6 +192,10 @@ def seed_principal(store: Store, records: DataFrame, run_ts: dt.datetime | None
         if name not in rows.columns:
             rows = rows.withColumn(name, stamp)
     shaped = rows.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in PRINCIPAL])
+    others = [name for name in PRINCIPAL.names if name not in KEY]
+    shaped = (
+        shaped.groupBy(*KEY).agg(F.max(F.struct(*others)).alias("kept")).select(*KEY, "kept.*").select(*PRINCIPAL.names)
+    )
     shaped.hint("rebalance", "reference_date").write.mode("overwrite").partitionBy(
         "reference_date"
     ).parquet(path)

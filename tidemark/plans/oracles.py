@@ -382,7 +382,7 @@ ORACLES: dict[str, str] = {
                {uniform(100, 1_000_000, 100, KEY_TEXT, 2)} AS amount FROM kept""",
     "sample_keys": f"WITH {sides()}, kept AS ({sampled('tgt', 1000, 7, 'any')}) SELECT {key_out('kept')} FROM kept",
     "next_batch": f"""
-        WITH {EVENTS} SELECT seq, {key_out('staged')}, {num_out('staged')} FROM staged ORDER BY seq LIMIT 2000""",
+        WITH {EVENTS} SELECT seq, {key_out('ev')}, {num_out('ev')} FROM ev ORDER BY seq LIMIT 2000""",
     "inserted_rows": f"""
         WITH {sides()}
         SELECT {key_out('s')}, {num_out('s')}, CAST(s.created_at AS VARCHAR) AS created_at
@@ -413,7 +413,7 @@ ORACLES: dict[str, str] = {
         FROM actions""",
     "status_counts": f"WITH {ACTIONS} SELECT action, count(*) AS n_keys FROM actions GROUP BY action",
     "batch_members": f"""
-        WITH {EVENTS}, numbered AS (SELECT seq, row_number() OVER (ORDER BY seq) AS position FROM staged)
+        WITH {EVENTS}, numbered AS (SELECT seq, row_number() OVER (ORDER BY seq) AS position FROM ev)
         SELECT seq, position, (position - 1) // 2000 + 1 AS batch FROM numbered""",
     "batch_metrics": f"""
         WITH {HISTORY}
@@ -482,10 +482,6 @@ ORACLES: dict[str, str] = {
                CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS amount
         FROM li GROUP BY account_id, asset_id, date_trunc('month', reference_date)""",
     "stream_ingest": f"""
-        WITH {EVENTS}, top AS (SELECT max(seq) + 1 AS m FROM ev),
-        parts AS (SELECT ev.*, seq * 3 // m AS part FROM ev, top)
-        SELECT account_id, asset_id, CAST(reference_date AS VARCHAR) AS reference_date,
-               CAST(arg_max(quantity, seq) AS DOUBLE) AS quantity, CAST(arg_max(amount, seq) AS DOUBLE) AS amount
-        FROM parts WHERE part < 2 GROUP BY account_id, asset_id, reference_date, part""",
+        WITH {EVENTS} SELECT {key_out('ev')}, {num_out('ev')} FROM ev""",
     "stream_merge": LAST_OF_ALL,
 }

@@ -138,6 +138,10 @@ class Store:
         fs, hadoop_path = self._hadoop(path)
         return fs.exists(hadoop_path)
 
+    def make(self, path: str) -> None:
+        fs, hadoop_path = self._hadoop(path)
+        fs.mkdirs(hadoop_path)
+
     def drop(self, path: str) -> None:
         fs, hadoop_path = self._hadoop(path)
         fs.delete(hadoop_path, True)

@@ -61,6 +61,7 @@ def merge_stream(
     The commit folder is the stream: one small file per run. What is merged
     follows from the snapshot, so a replay has nothing left to merge.
     """
+    store.make(store.path("commits"))  # a stream may start before the first run
     reader = store.spark.readStream.schema(COMMITS).option("recursiveFileLookup", "false")
     if max_runs:
         reader = reader.option("maxFilesPerTrigger", max_runs)
@@ -75,17 +76,23 @@ def merge_stream(
 
 
 def await_batches(query: StreamingQuery, count: int, timeout: float, poll: float = 0.2) -> bool:
-    """Waits until `count` micro-batches are done since the start, then stops."""
+    """Waits until `count` micro-batches with input are done, then stops.
+
+    Raises what the query failed with.
+    """
     end = time.monotonic() + timeout
-    first = None
-    while time.monotonic() < end and query.isActive:
-        progress = query.lastProgress
-        if progress is not None:
-            first = progress["batchId"] if first is None else first
-            if progress["batchId"] - first + 1 >= count and progress["numInputRows"] > 0:
-                stop_gracefully(query)
-                return True
+    done: set[int] = set()
+    while time.monotonic() < end:
+        active = query.isActive
+        done |= {p["batchId"] for p in query.recentProgress if p["numInputRows"] > 0}
+        if len(done) >= count:
+            stop_gracefully(query)
+            return True
+        if not active:
+            break
         time.sleep(poll)
+    if query.exception() is not None:
+        raise query.exception()
     return False
 
 
@@ -95,43 +102,3 @@ def stop_gracefully(query: StreamingQuery, timeout: float = 60.0, poll: float =
     while query.isActive and query.status["isTriggerActive"] and time.monotonic() < end:
         time.sleep(poll)
     query.stop()
-
-
-def watch(
-    store: Store,
-    interval: float = 5.0,
-    timeout: float = 600.0,
-    settle: float = 30.0,
-    limit: int = 12,
-) -> tuple[str, list[tuple[int, int, int, int]]]:
-    """Follows the table counts until staging is empty, stuck or time is up.
-
-    Returns `empty`, `stuck` or `timeout` and the snapshots taken, rows of the
-    snapshot schema. Only counts reach the driver.
-    """
-    taken: list[tuple[int, int, int, int]] = []
-    start = time.monotonic()
-    stagnant = 0
-    while True:
-        passed = int(time.monotonic() - start)
-        if passed >= timeout:
-            return "timeout", taken
-        row = store.counts()
-        same = taken and taken[-1][1] == row["staging"] and row["staging"] != 0
-        stagnant = stagnant + 1 if same else 0
-        taken.append((passed, row["staging"], row["principal"], row["errors"]))
-        if row["staging"] == 0 and passed > settle:
-            return "empty", taken
-        if stagnant >= limit:
-            return "stuck", taken
-        time.sleep(interval)
-
-
-def await_staged(store: Store, timeout: float = 120.0, interval: float = 5.0) -> bool:
-    """True as soon as a staged row is waiting for a merge."""
-    end = time.monotonic() + timeout
-    while time.monotonic() < end:
-        if store.counts()["staging"]:
-            return True
-        time.sleep(interval)
-    return False

@@ -13,10 +13,10 @@ from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from tidemark.operators.appending import file_states
-from tidemark.plans.ingest import ingest_files
+from tidemark.plans.ingest import ingest_files, ingest_listed
 from tidemark.plans.merge import merge_pending, seed_principal
 from tidemark.plans.store import Store
-from tidemark.sources.files import scan, scan_nanoseconds
+from tidemark.sources.files import listed_files, scan, scan_nanoseconds
 from tidemark.streaming.queries import await_batches, ingest_stream, merge_stream
 
 T0 = dt.datetime(2025, 2, 1, 12, 0, 0)
@@ -221,20 +221,70 @@ def test_seed_keeps_one_row_per_key(spark, tmp_path):
     assert len(principal(store)) == store.principal().count() == 1
 
 
-def test_unreadable_file_is_given_up_after_three_attempts(spark, tmp_path):
+def test_bad_files_do_not_stop_good_ones(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     golden.write(spark, golden.FILE, tmp_path / "in")
-    (tmp_path / "in" / "bad x[1].parquet").write_bytes(b"PAR1 no parquet file PAR1")
-    for attempt in range(3):
-        query = ingest_stream(store, str(tmp_path / "in"), str(tmp_path / "cp"))
-        with pytest.raises(StreamingQueryException):
-            query.awaitTermination(120)
-        assert store.attempts().count() == attempt + 1
-        assert store.last_commit() == 0
-    ingest_stream(store, str(tmp_path / "in"), str(tmp_path / "cp")).awaitTermination(120)
-    assert store.commits().first().valid == 20
-    states = file_states(store.attempts()).collect()
-    assert [(r.source_file.split("/")[-1], r.status) for r in states] == [("bad x[1].parquet", "dead")]
+    bad = [tmp_path / "in" / "bad x[1].parquet", tmp_path / "in" / "worse.parquet"]
+    for path in bad:
+        path.write_bytes(b"PAR1 no parquet file PAR1")
+    listed = listed_files(spark, str(tmp_path / "in")).select(F.col("source_file").alias("path"), "file_time")
+    gone = spark.createDataFrame([(f"file:{tmp_path}/gone.parquet", None)], listed.schema)
+    assert ingest_listed(store, listed.unionByName(gone), run_ts=T0) == 1
+    assert (store.commits().first().valid, store.commits().first().invalid) == (20, 4)
+    assert store.attempts().count() == 3
+    # Nothing new is listed: only the failed files are tried again, and then given up.
+    for attempt in (2, 3, 3):
+        assert ingest_listed(store, listed.unionByName(gone), run_ts=T1) is None
+        assert store.attempts().count() == 3 * attempt
+    assert {(r.source_file.split("/")[-1], r.status) for r in file_states(store.attempts()).collect()} == {
+        ("bad x[1].parquet", "dead"), ("worse.parquet", "dead"), ("gone.parquet", "dead")
+    }
+
+
+def test_file_that_becomes_readable(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    golden.write(spark, golden.FILE[:5], tmp_path / "in")
+    (tmp_path / "in" / "late.parquet").write_bytes(b"PAR1")
+    cp = str(tmp_path / "cp")
+    ingest_stream(store, str(tmp_path / "in"), cp).awaitTermination(120)
+    assert store.commits().first().valid == 5
+    golden.write(spark, golden.FILE[5:20], tmp_path / "made")
+    (tmp_path / "in" / "late.parquet").write_bytes(next((tmp_path / "made").glob("*.parquet")).read_bytes())
+    golden.write(spark, golden.FILE[20:], tmp_path / "in")
+    ingest_stream(store, str(tmp_path / "in"), cp).awaitTermination(120)
+    assert (store.staging().count(), store.errors().count()) == (20, 4)
+    assert [r.status for r in file_states(store.attempts()).collect()] == ["done"]
+
+
+def test_files_with_other_types(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    stamps = pd.to_datetime(["2025-01-15 10:20:30.123456789"])
+    keys = {"account_id": pa.array(["A"]), "asset_id": pa.array(["X"])}
+    made = {
+        "int": (pa.array(stamps.as_unit("us")), pa.array([3]), pa.array([4])),
+        "decimal": (pa.array(stamps.as_unit("ms")), pa.array([Decimal("1.25")]), pa.array([Decimal("2.50")])),
+        "nanos": (pa.array(stamps.as_unit("ns")), pa.array([1.5]), pa.array([2.5])),
+        "date": (pa.array([dt.date(2025, 1, 15)]), pa.array([1.0], pa.float32()), pa.array([2], pa.int32())),
+        "missing": (pa.array(stamps.as_unit("us")), pa.array([1.0]), None),
+    }
+    for name, (date, quantity, amount) in made.items():
+        columns = keys | {"reference_date": date, "quantity": quantity, "amount": amount}
+        pq.write_table(pa.table({n: c for n, c in columns.items() if c is not None}), folder / f"{name}.parquet", version="2.6")
+    store = Store(spark, str(tmp_path / "store"))
+    listed = listed_files(spark, str(folder)).select(F.col("source_file").alias("path"))
+    before = spark.conf.get("spark.sql.legacy.parquet.nanosAsLong")
+    assert ingest_listed(store, listed, run_ts=T0) == 1
+    assert spark.conf.get("spark.sql.legacy.parquet.nanosAsLong") == before
+    rows = {r.source_file.split("/")[-1]: (r.reference_date, r.quantity, r.amount) for r in store.staging().collect()}
+    day = dt.date(2025, 1, 15)
+    assert rows == {
+        "int.parquet": (day, Decimal("3.0000"), Decimal("4.00")),
+        "decimal.parquet": (day, Decimal("1.2500"), Decimal("2.50")),
+        "nanos.parquet": (day, Decimal("1.5000"), Decimal("2.50")),
+        "date.parquet": (day, Decimal("1.0000"), Decimal("2.00")),
+    }
+    assert [r.source_file.split("/")[-1] for r in store.errors().collect()] == ["missing.parquet"]
 
 
 def test_newest_number(spark, tmp_path):

@@ -88,7 +88,7 @@ def _ingest(spark, store, args) -> None:
     if bool(args.input) == bool(args.notifications):
         raise SystemExit("give either --input or --notifications")
     if args.input:
-        listed = files.listed_files(spark, args.input).select(F.col("source_file").alias("path"))
+        listed = files.listed_files(spark, args.input).select(F.col("source_file").alias("path"), "file_time")
     else:
         messages = spark.read.text(args.notifications).withColumnRenamed("value", "body")
         listed = notified_files(messages).select(F.col("source_file").alias("path"))

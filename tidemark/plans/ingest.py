@@ -28,7 +28,7 @@ from tidemark.operators.routing import (
 )
 from tidemark.plans.store import LEDGER, Store
 from tidemark.schemas import STAGING
-from tidemark.sources.files import literal_path, scan, unreadable_file
+from tidemark.sources.footers import footers, scan_mixed
 
 # A file list is broadcast up to this many bytes of paths; see `_with_manifest`.
 BROADCAST_BYTES = 64 << 20
@@ -91,6 +91,9 @@ def ingest_files(
     return batch
 
 
+NANOS_AS_LONG = "spark.sql.legacy.parquet.nanosAsLong"
+
+
 def ingest_listed(
     store: Store,
     listed: DataFrame,
@@ -98,28 +101,50 @@ def ingest_listed(
     run_ts: dt.datetime | None = None,
     **options,
 ) -> int | None:
-    """Lands the files of a list (column `path`), except those given up.
+    """Lands the readable files of a list (column `path`), except those given up.
 
-    The list is that of one trigger or one notification load; only names reach
-    the driver, which needs them to plan the scan. A file that cannot be read
-    fails the run and is noted; after `max_attempts` failures it is left out.
+    A pass over the footers comes first. Files that are missing or unreadable are
+    all noted in this run and tried again with the next list; after `max_attempts`
+    failures they are left out. The others are read with the types they have. With
+    a column `file_time`, files that the ledger has with that time are not opened.
+    Names reach the driver, which needs them to plan the scan.
     """
-    run_ts = run_ts or dt.datetime.now()
-    dead = (
-        file_states(store.attempts(), max_attempts)
-        .filter("status = 'dead'")
-        .select(F.col("source_file").alias("path"))
-    )
-    paths = [r["path"] for r in listed.select("path").distinct().join(dead, "path", "left_anti").collect()]
-    if not paths:
+    spark, run_ts = store.spark, run_ts or dt.datetime.now()
+    states = file_states(store.attempts(), max_attempts)
+    tried = states.select(F.col("source_file").alias("path"), "status")
+    names = listed.select("path").distinct()
+    if "file_time" in listed.columns:
+        landed = store.ledger().select(_plain("source_file").alias("path"), "file_time").distinct()
+        known = listed.select("path", "file_time", _plain("path").alias("_plain"))
+        same = (known["_plain"] == landed["path"]) & (known["file_time"] == landed["file_time"])
+        names = known.join(landed, same, "left_anti").select("path").distinct()
+    again = tried.where("status = 'retry'").select("path")
+    names = names.unionByName(again).distinct().join(tried.where("status = 'dead'"), "path", "left_anti")
+    found = footers(names.repartition(spark.sparkContext.defaultParallelism)).collect()
+    failed = {r["path"]: r["error"] for r in found if r["error"]}
+    if failed:
+        store.record_failures(failed, run_ts)
+    shapes: dict[str, list[str]] = {}
+    for row in found:
+        if not row["error"]:
+            shapes.setdefault(row["shape"], []).append(row["path"])
+    if not shapes:
         return None
+    before = spark.conf.get(NANOS_AS_LONG)
+    spark.conf.set(NANOS_AS_LONG, "true")
     try:
-        return ingest_files(store, scan(store.spark, [literal_path(p) for p in paths]), run_ts=run_ts, **options)
-    except Exception as error:
-        unreadable = unreadable_file(str(error))
-        if unreadable:
-            store.record_failure(unreadable, str(error).split("\n", 1)[0], run_ts)
-        raise
+        batch = ingest_files(store, scan_mixed(spark, shapes), run_ts=run_ts, **options)
+    finally:
+        spark.conf.set(NANOS_AS_LONG, before)
+    recovered = [r["path"] for r in again.collect() if r["path"] not in failed]
+    if recovered:
+        store.record_failures(dict.fromkeys(recovered), run_ts, ok=True)
+    return batch
+
+
+def _plain(column: str):
+    """A local path in one spelling."""
+    return F.regexp_replace(column, "^file:/+", "file:/")
 
 
 def _manifest(rows: DataFrame, ledger: DataFrame, next_seq: int) -> DataFrame:

@@ -230,13 +230,10 @@ class Store:
         """Failed reads, one row each."""
         return self.read("attempts", ATTEMPTS)
 
-    def record_failure(self, source_file: str, error: str, at: dt.datetime) -> None:
-        self.spark.range(1).select(
-            F.lit(source_file).alias("source_file"),
-            F.lit(False).alias("ok"),
-            F.lit(error).alias("error"),
-            F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz").alias("at"),
-        ).coalesce(1).write.mode("append").parquet(self.path("attempts"))
+    def record_failures(self, errors: dict[str, str | None], at: dt.datetime, ok: bool = False) -> None:
+        """One row per file; `ok` notes that a file could be read after all."""
+        rows = [(name, ok, error, at) for name, error in sorted(errors.items())]
+        self.spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.mode("append").parquet(self.path("attempts"))
 
     # ---- merge side --------------------------------------------------------
 

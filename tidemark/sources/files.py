@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import re
-from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -85,7 +84,7 @@ def new_files(
         reader = reader.option("maxFilesPerTrigger", max_files)
     if max_bytes:
         reader = reader.option("maxBytesPerTrigger", max_bytes)
-    return reader.load(path).select("path")
+    return reader.load(path).select("path", F.col("modificationTime").alias("file_time"))
 
 
 def literal_path(path: str) -> str:
@@ -93,12 +92,6 @@ def literal_path(path: str) -> str:
     return re.sub(r"([\\\[\]{}*?])", r"\\\1", path)
 
 
-def unreadable_file(message: str) -> str | None:
-    """The file named in a read error, written like a listed path."""
-    found = re.search(r"FAILED_READ_FILE\S* .*?reading file (\S+?)\.?\s", message)
-    return re.sub("^file:/+", "file:/", unquote(found.group(1))) if found else None
-
-
 def scan_nanoseconds(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """Files whose `reference_date` is stored in nanoseconds.
 

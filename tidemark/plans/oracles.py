@@ -474,6 +474,20 @@ ORACLES: dict[str, str] = {
     "parquet_files": f"""
         WITH {LINES} SELECT count(*) AS n_rows, true AS within_limit,
                             CAST(sum(CAST(amount AS DECIMAL(18,2))) AS DOUBLE) AS total_amount FROM li""",
+    "ingest_pipeline": f"""
+        WITH {CUSTOMERS},
+        landed AS (SELECT *, row_number % 7 = 0 AS twice FROM checked),
+        named AS (
+          SELECT 'staged' AS kind, concat_ws('|', account_id, asset_id, CAST(CAST(reference_date AS DATE) AS VARCHAR),
+                 CAST(CAST(quantity AS DECIMAL(18,4)) AS VARCHAR), CAST(CAST(amount AS DECIMAL(18,2)) AS VARCHAR)) AS name,
+                 1 AS n FROM landed WHERE is_valid
+          UNION ALL SELECT 'rejected', error_reason, CASE WHEN twice THEN 2 ELSE 1 END FROM landed WHERE NOT is_valid
+          UNION ALL SELECT 'rejected', 'duplicate record in file', 1 FROM landed WHERE is_valid AND twice
+          UNION ALL SELECT 'counter', 'rows', CASE WHEN twice THEN 2 ELSE 1 END FROM landed
+          UNION ALL SELECT 'counter', 'valid', CASE WHEN is_valid THEN 1 ELSE 0 END FROM landed
+          UNION ALL SELECT 'counter', 'invalid', CASE WHEN is_valid THEN 0 WHEN twice THEN 2 ELSE 1 END FROM landed
+          UNION ALL SELECT 'counter', 'duplicate', CASE WHEN is_valid AND twice THEN 1 ELSE 0 END FROM landed)
+        SELECT kind, name, CAST(sum(n) AS BIGINT) AS n FROM named GROUP BY kind, name""",
     "merge_store": LAST_OF_ALL,
     "load_store": f"""
         WITH {LINES}
@@ -485,3 +499,4 @@ ORACLES: dict[str, str] = {
         WITH {EVENTS} SELECT {key_out('ev')}, {num_out('ev')} FROM ev""",
     "stream_merge": LAST_OF_ALL,
 }
+ORACLES["metrics_csv"] = ORACLES["report_metrics"]

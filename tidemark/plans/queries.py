@@ -23,7 +23,7 @@ from tidemark.operators import (
     routing,
 )
 from tidemark.plans import fixtures as X
-from tidemark.plans.ingest import ingest_files
+from tidemark.plans.ingest import ingest_files, ingest_listed
 from tidemark.plans.merge import merge_pending, seed_principal
 from tidemark.plans.store import Store
 from tidemark.schemas import KEY, VALUES
@@ -35,6 +35,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 BATCH = 2000
+COUNTERS = ("rows", "valid", "invalid", "duplicate")
 SHORT_KEY = ["account_id", "asset_id"]
 ANCHOR = "date'2025-01-31'"
 RUN_TIME = dt.datetime.fromisoformat(X.RUN_TS)
@@ -551,6 +552,39 @@ def _third(events: DataFrame, part: int) -> DataFrame:
     return events.filter(int_div(F.col("seq") * 3, top) == part)
 
 
+@registered
+def ingest_pipeline(spark, sf_dir):
+    """Customers landed from a listed folder, every seventh one twice in its file: what
+    was staged and rejected, and the counters of the run."""
+    root = scratch_dir(spark, "store")
+    store = Store(spark, f"{root}/tables")
+    rows = X.custody_customers(spark, sf_dir)
+    again = rows.where("row_number % 7 = 0")
+    rows.unionByName(again).repartition("row_number").select(*KEY, *VALUES).write.parquet(f"{root}/in")
+    listed = files.listed_files(spark, f"{root}/in").select(F.col("source_file").alias("path"), "file_time")
+    batch = ingest_listed(store, listed, run_ts=RUN_TIME)
+    staged = store.staging().select(
+        F.lit("staged").alias("kind"),
+        F.concat_ws("|", *KEY, *VALUES).alias("name"),
+        F.lit(1).cast("long").alias("n"),
+    )
+    rejected = store.errors().select(F.lit("rejected"), "error_reason", F.lit(1).cast("long"))
+    counted = store.commits().where(F.col("ingest_batch") == batch).select(
+        F.inline(F.array(*[F.struct(F.lit("counter").alias("kind"), F.lit(c).alias("name"), F.col(c).alias("n")) for c in COUNTERS]))
+    )
+    return staged.union(rejected).union(counted).groupBy("kind", "name").agg(F.sum("n").alias("n"))
+
+
+@registered
+def metrics_csv(spark, sf_dir):
+    """The batch metrics as CSV, written in two parts, read back and reported."""
+    path = scratch_dir(spark, "metrics")
+    metrics = _timed_metrics(spark, sf_dir)
+    for half in (0, 1):
+        files.write_metrics_csv(metrics.where(F.col("batch") % 2 == half), path)
+    return reporting.report_lines(reporting.report_metrics(files.read_metrics_csv(spark, path)))
+
+
 @registered
 def merge_store(spark, sf_dir):
     """Truncate and load, ingest, merge: the table folders instead of one plan."""

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from tidemark.operators.merging import INSERTED, UNCHANGED, UPDATED, differs
 from tidemark.operators.ordering import running_sums, with_batches
 from tidemark.schemas import KEY, VALUES
 
+Keep = Callable[[DataFrame], DataFrame]
+
 # Versions of one key are compared in spans of this many batches.
 SPAN = 4096
 
@@ -21,9 +25,12 @@ def version_actions(
     order: str = "seq",
     key: list[str] = KEY,
     values: list[str] = VALUES,
+    keep: Keep = lambda frame: frame,
 ) -> DataFrame:
     """One row per (key, batch) with the action of that batch on that key.
 
+    The versions are read twice; `keep` may write them and return them read again.
+
     Each version is compared with the one before it, the first with the target.
     A key present in every batch would make one endless window, so the window
     covers a span of batches. Only the first version of a span looks further
@@ -45,6 +52,7 @@ def version_actions(
             "_nth": F.row_number().over(in_order),
         }
     )
+    seen = keep(seen)
     changed = differs([F.col(v) for v in values], [F.col(n) for n in before.values()])
     columns = [*key, "batch", *values, "rows"]
     later = seen.filter("_nth > 1").select(
@@ -75,15 +83,15 @@ def version_actions(
     return later.unionByName(first)
 
 
-def batch_metrics(actions: DataFrame) -> DataFrame:
-    """Per batch: rows, inserted, updated and the running totals."""
+def batch_metrics(actions: DataFrame, keep: Keep = lambda frame: frame) -> DataFrame:
+    """Per batch: rows, inserted, updated and the running totals; `keep` as above for the batches."""
     per_batch = actions.groupBy("batch").agg(
         F.count_if(F.col("action") == INSERTED).alias("inserted"),
         F.count_if(F.col("action") == UPDATED).alias("updated"),
         F.sum("rows").alias("rows"),
     )
     return running_sums(
-        per_batch,
+        keep(per_batch),
         "batch",
         {
             "total_inserted": F.col("inserted"),

@@ -404,11 +404,16 @@ def batch_members(spark, sf_dir):
 
 
 def _batch_metrics(spark, sf_dir):
+    def keep(frame):
+        path = scratch_dir(spark, "history")
+        frame.write.parquet(path)
+        return spark.read.schema(frame.schema).parquet(path)
+
     # The fixture has few changes per date, so the history is over the short key.
     actions = history.version_actions(
-        X.staged(spark, sf_dir), X.target_values(spark, sf_dir, SHORT_KEY), BATCH, key=SHORT_KEY
+        X.staged(spark, sf_dir), X.target_values(spark, sf_dir, SHORT_KEY), BATCH, key=SHORT_KEY, keep=keep
     )
-    return history.batch_metrics(actions)
+    return history.batch_metrics(actions, keep)
 
 
 @registered

@@ -40,7 +40,7 @@ PAIRS = 1 << 22
 SEGMENT = 1 << 13
 PRIOR = 64.0  # A, in words
 START = WORDS  # stands before the first word of a document
-KNOWN = 1 << 20  # words whose ids a task remembers
+KNOWN = 1 << 18  # words whose ids a task remembers
 BROADCAST_BYTES = 32 << 20
 
 

@@ -75,7 +75,7 @@ def _postings(id_type: pa.DataType):
             yield ids, texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
+        part, names = TaskContext.get().partitionId(), ["token", "block", "packed"]
         for number, (ids, texts) in enumerate(blocks(batches)):
             block = (part << 24) + number
             slots: dict[str, int] = {}
@@ -104,30 +104,15 @@ def _postings(id_type: pa.DataType):
             binary = pa.Array.from_buffers(
                 pa.binary(), len(slots), [None, pa.py_buffer((3 * ends).astype("<i4").tobytes()), data]
             )
-            words = pa.array(list(slots), pa.string())
-            n = len(slots)
-            nothing = pa.nulls(n, pa.list_(id_type))
             yield pa.RecordBatch.from_arrays(
-                [
-                    words,
-                    pa.array(np.full(n, block, np.int64)),
-                    binary,
-                    nothing,
-                    pa.nulls(n, pa.list_(pa.int64())),
-                    pa.nulls(n, pa.list_(pa.int64())),
-                ],
-                ["token", "block", "packed", "ids", "sizes", "feeds"],
+                [pa.array(list(slots), pa.string()), pa.array(np.full(len(slots), block, np.int64)), binary], names
             )
+            head = pa.record_batch([pa.array([x.as_py() for x in ids], id_type), pa.array(sizes), pa.array(feeds)], ["id", "n_bytes", "feeds"])
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, head.schema) as stream:
+                stream.write_batch(head)
             yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array([None], pa.string()),
-                    pa.array([block], pa.int64()),
-                    pa.array([None], pa.binary()),
-                    pa.array([[x.as_py() for x in ids]], pa.list_(id_type)),
-                    pa.array([sizes], pa.list_(pa.int64())),
-                    pa.array([feeds], pa.list_(pa.int64())),
-                ],
-                ["token", "block", "packed", "ids", "sizes", "feeds"],
+                [pa.array([None], pa.string()), pa.array([block], pa.int64()), pa.array([sink.getvalue().to_pybytes()])], names
             )
 
     return run
@@ -177,20 +162,16 @@ def _sums(model_path: str):
     return run
 
 
-def _per_document(id_type: pa.DataType):
+def _per_document():
     def run(group: pa.Table) -> pa.Table:
-        ids = sizes = feeds = None
-        parts = []
-        for part, a, b, c in zip(*(group.column(n) for n in ("part", "ids", "sizes", "feeds")), strict=True):
-            if part.is_valid:
-                parts.append(part.as_buffer())
-            else:
-                ids, sizes, feeds = a.values, b.values, c.values.to_numpy()
-        total = feeds.copy()
-        for part in parts:
-            entry = np.frombuffer(part, np.dtype([("i", "<u2"), ("n", "<i8")]))
-            total[entry["i"]] += entry["n"]
-        return pa.table([ids, sizes, pa.array(total)], ["id", "n_bytes", "n_tokens"])
+        heads = [x for x, h in zip(group["part"], group["head"], strict=True) if h.as_py()]
+        head = pa.ipc.open_stream(heads[0].as_buffer()).read_all()
+        total = head["feeds"].to_numpy().copy()
+        for part, is_head in zip(group["part"], group["head"], strict=True):
+            if not is_head.as_py():
+                entry = np.frombuffer(part.as_buffer(), np.dtype([("i", "<u2"), ("n", "<i8")]))
+                total[entry["i"]] += entry["n"]
+        return pa.table([head["id"], head["n_bytes"], pa.array(total)], ["id", "n_bytes", "n_tokens"])
 
     return run
 
@@ -202,8 +183,7 @@ def token_counts(documents: DataFrame, model_path: str, id_col: str = "doc_id",
     kind = type_of(documents, id_col)
     arrow = to_arrow_type(documents.schema[id_col].dataType)
     postings = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
-        _postings(arrow),
-        f"token string, block long, packed binary, ids array<{kind}>, sizes array<long>, feeds array<long>",
+        _postings(arrow), "token string, block long, packed binary"
     )
     # The header row of a block comes with its postings, so one scan makes both.
     salt = F.floor(F.shiftright("block", 24) / F.lit(SALT))
@@ -211,30 +191,25 @@ def token_counts(documents: DataFrame, model_path: str, id_col: str = "doc_id",
     dealt = postings.repartition("token", spread).sortWithinPartitions("token", "block")
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["block", "part", "ids", "sizes", "feeds"]
-        lists = [pa.list_(arrow), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        names = ["block", "part", "head"]
         heads: list[pa.RecordBatch] = []
 
         def words() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 n = batch.column(0).null_count  # null sorts first
                 if n:
-                    head = batch.slice(0, n)
                     heads.append(
-                        pa.RecordBatch.from_arrays(
-                            [head.column(1), pa.nulls(n, pa.binary()), *head.columns[3:]], names
-                        )
+                        pa.RecordBatch.from_arrays([*(c.slice(0, n) for c in batch.columns[1:]), pa.array([True] * n)], names)
                     )
                 if n < batch.num_rows:
                     yield batch.slice(n)
-                yield from ()
 
         for sums in _sums(model_path)(words()):
-            n = sums.num_rows
-            yield pa.RecordBatch.from_arrays([*sums.columns, *(pa.nulls(n, t) for t in lists)], names)
-        yield from heads
+            yield pa.RecordBatch.from_arrays([*sums.columns, pa.array([False] * sums.num_rows, pa.bool_())], names)
+            yield from heads
+            heads.clear()
 
-    sums = dealt.mapInArrow(both, f"block long, part binary, ids array<{kind}>, sizes array<long>, feeds array<long>")
+    sums = dealt.mapInArrow(both, "block long, part binary, head boolean")
     return sums.groupBy("block").applyInArrow(
-        _per_document(arrow), f"id {kind}, n_bytes long, n_tokens long"
+        _per_document(), f"id {kind}, n_bytes long, n_tokens long"
     )

@@ -29,12 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, schema_with
+from tidemark.llm.common import packed, pieces, schema_with
 
 BUCKETS = 1 << 16
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
-CHUNK = 1 << 21  # letters labelled at a time
+CHUNK = 1 << 19  # letters labelled at a time
 
 # Ranges of code points by script, from the Unicode standard; everything else is script 0.
 SCRIPTS = (
@@ -106,7 +106,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Triples and letters by script per language, summed over the task."""
     width, tables = BUCKETS + len(SCRIPTS) + 1, _tables()
     sums: dict[str, np.ndarray] = {}
-    for batch in batches:
+    for batch in pieces(batches, 0):
         texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for low, high in _chunks(texts):
             bucket, first, owner, start, end, script = _words(texts[low:high], tables)
@@ -234,7 +234,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = _tables()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
-        for batch in batches:
+        for batch in pieces(batches, at):
             texts = batch.column(at).to_pylist()
             langs, scores, marks = [], [], []
             for low, high in _chunks(texts):

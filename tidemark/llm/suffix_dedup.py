@@ -15,8 +15,9 @@ w = 256, 16, 1, so that the ranked length grows to `length` and the last round
 leaves no doubt. Of equal pairs one stays in the next round for the sake of
 others that share its rank.
 
-Rounds group narrow rows by rank, counts are combined before the shuffle, and
-only texts with surviving positions are read again, from a stored copy.
+Rounds group narrow rows by rank, and counts are combined before the shuffle. What
+repeats is stored before it is joined with, so that Spark can split a hot rank. Only
+texts with surviving positions are read again, from a stored copy.
 
 Defined cases: null is the empty text; texts shorter than `length` keep all their
 bytes; strings do not cross documents; rows with equal texts repeat each other
@@ -34,12 +35,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import packed, schema_with, stored
+from tidemark.llm.common import packed, pieces, schema_with, stored
 
 STRETCH = 256  # positions, and the width of the first round
 WIDTHS = (STRETCH, 16, 1)
 GRAM = 8
-CHUNK = 4 << 20  # bytes sampled at a time
+CHUNK = 1 << 20  # bytes sampled at a time
 
 
 def text_id(text: Column) -> list[Column]:
@@ -113,7 +114,7 @@ def _first_ranks(length: int):
         )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches, 2):
             rows, texts, held = [], [], 0
             for i, text in enumerate(batch.column(2).to_pylist()):
                 text = (text or "").encode()
@@ -190,7 +191,7 @@ def repeated_spans(documents: DataFrame, text_col: str = "text", length: int = 4
         raise ValueError(f"strings must have at least {STRETCH + GRAM} bytes")
     texts = documents.select(*text_id(F.col(text_col)), F.col(text_col).alias("text"))
     ranks = stored(texts.mapInArrow(_first_ranks(length), RANKS), "ranks")
-    alive = ranks.join(_repeated(ranks, RANK), RANK)
+    alive = ranks.join(stored(_repeated(ranks, RANK), "repeated-ranks"), RANK)
     lists = _lists(alive)
     own = (texts["t1"] == lists["of_t1"]) & (texts["t2"] == lists["of_t2"])
     again = stored(texts.join(lists, own).select(*TEXT, "text", "sets"), "suffix-texts")
@@ -199,17 +200,18 @@ def repeated_spans(documents: DataFrame, text_col: str = "text", length: int = 4
     for width in WIDTHS:
         pairs = stored(sets.select(*TEXT, "text", "sets").mapInArrow(_next_ranks(length, width), PAIRS), "rank-pairs")
         if width < STRETCH:
-            pairs = pairs.join(_repeated(pairs, RANK), RANK)
+            pairs = pairs.join(stored(_repeated(pairs, RANK), "repeated-ranks"), RANK)
         counted = pairs.groupBy(*PAIR).agg(
             F.count("*").alias("n"), F.min(F.struct(*RANK, *TEXT, *PLACE)).alias("first")
         )
-        known = stored(pairs.join(counted.select(*PAIR, "n"), PAIR), "ranked")
+        counted = stored(counted.where("n > 1"), "repeated-pairs")
+        known = stored(pairs.join(counted.select(*PAIR, "n"), PAIR, "left"), "ranked")
         settled = known.where("n > 1").select(*TEXT, *PLACE).distinct()
         found = settled if found is None else found.unionByName(settled)
         if width == 1:
             break
-        open_ = known.where("n = 1").select(*RANK, *TEXT, *PLACE)
-        kept = counted.where("n > 1").select("first.*").join(open_.select(*RANK).distinct(), RANK, "left_semi")
+        open_ = known.where("n is null").select(*RANK, *TEXT, *PLACE)
+        kept = counted.select("first.*").join(open_.select(*RANK).distinct(), RANK, "left_semi")
         lists = _lists(open_.unionByName(kept.select(*open_.columns)))
         base = again.drop("sets")
         sets = base.join(lists, (base["t1"] == lists["of_t1"]) & (base["t2"] == lists["of_t2"]))

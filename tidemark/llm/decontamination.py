@@ -4,10 +4,11 @@ The index has a posting (term, text, position) for every word of the corpus that
 occurs in a benchmark item, and is stored once. A window of an item (`window`
 consecutive words, or all of a shorter item) is looked up from its rarest words
 on: the list of the rarest one, moved back by its offset, gives candidate places;
-they are intersected with the moved lists of the second and the third rarest.
-Frequencies come from the index. What is left is compared with the words of the
-document itself, so the result holds whole windows only. With `slop` the lists
-may disagree by that many words, which gives proximity matches.
+they are intersected with the moved lists of the next ones. Frequencies come from
+the index. Two lists leave few places, and further ones belong to ever more
+frequent words; so what is left is compared with the words of the document itself,
+and the result holds whole windows only. With `slop` the lists may disagree by
+that many words, which gives proximity matches.
 
 Texts are known by a 64-bit key, so copies share their candidates; a clash of keys
 can only add candidates, which the comparison rejects. Everything is DataFrame
@@ -29,7 +30,6 @@ from tidemark.llm.common import LOWER, UPPER, packed, stored, text_key
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 BROADCAST_BYTES = 32 << 20
-LISTS = 3
 
 
 def lower_ascii(text: Column) -> Column:
@@ -42,9 +42,10 @@ def words_of(text: Column) -> Column:
     return F.split(lower_ascii(text), SEPARATORS)
 
 
-def sized_broadcast(frame: DataFrame, column: str) -> DataFrame:
-    """A stored frame, broadcast if its rows are known to be small enough."""
-    size = frame.agg(F.sum(F.octet_length(column).cast("long") + 64)).first()[0] or 0
+def sized_broadcast(frame: DataFrame, column: str | None = None) -> DataFrame:
+    """A frame of numbers and one text column at most, broadcast if its rows are known to be small enough."""
+    wide = F.octet_length(column).cast("long") if column else F.lit(0)
+    size = frame.agg(F.sum(wide + 64)).first()[0] or 0
     return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
 
 
@@ -79,8 +80,8 @@ def build_index(documents: DataFrame, windows: DataFrame, text_col: str) -> tupl
     return terms, postings
 
 
-def lookups(windows: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFrame:
-    """(window_id, place, offset, term): the words of every window from the rarest on, `LISTS` at most.
+def lookups(windows: DataFrame, terms: DataFrame, postings: DataFrame, lists: int) -> DataFrame:
+    """(window_id, place, offset, term): the words of every window from the rarest on, `lists` at most.
 
     Windows with a word that the corpus lacks are left out.
     """
@@ -94,39 +95,38 @@ def lookups(windows: DataFrame, terms: DataFrame, postings: DataFrame) -> DataFr
     return stored(
         rows.withColumn("place", F.row_number().over(order))
         .withColumn("found", F.count("*").over(by))
-        .where(f"found = length and place <= {LISTS}")
-        .select("window_id", "place", "offset", "term", F.least("length", F.lit(LISTS)).alias("lists")),
+        .where(f"found = length and place <= {lists}")
+        .select("window_id", "place", "offset", "term", F.least("length", F.lit(lists)).alias("lists")),
         "lookups",
     )
 
 
-def candidates(postings: DataFrame, looked: DataFrame, slop: int = 0) -> DataFrame:
+def candidates(postings: DataFrame, looked: DataFrame, lists: int, slop: int = 0) -> DataFrame:
     """(text, start, window_id): where the moved lists of a window's rarest words meet, within `slop` words."""
-    found = None
-    for place in range(1, LISTS + 1):
+    first = sized_broadcast(looked.where("place = 1"))
+    found = stored(
+        postings.join(first, "term")
+        .select("text", (F.col("position") - F.col("offset")).alias("start"), "window_id", "lists")
+        .where(f"start >= -{slop}").distinct(),
+        "candidates",
+    )
+    for place in range(2, lists + 1):
         these = looked.where(F.col("place") == place)
-        moved = (
-            postings.join(these, "term")
-            .select("text", (F.col("position") - F.col("offset")).alias("start"), "window_id", "lists")
-            .where("start >= 0" if slop == 0 else f"start >= -{slop}")
-            .distinct()
+        # Of the index only the lists that this step reads; copies of a text have one entry.
+        read = postings.join(sized_broadcast(these.select("term").distinct()), "term", "left_semi").distinct()
+        wanted = found.join(these.select("window_id", "term", "offset"), "window_id").withColumn(
+            "there", F.col("start") + F.col("offset")
         )
-        if found is None:
-            found = moved
-            continue
-        done = found.where(F.col("lists") < place)
-        going = found.where(F.col("lists") >= place)
-        other = moved.select("text", F.col("start").alias("there"), "window_id")
         if slop:
             width = slop + 1
-            going = going.withColumn(
-                "cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("start") / width) + d))
-            )
-            other = other.withColumn("cell", F.floor(F.col("there") / width))
-            going = going.join(other, ["text", "window_id", "cell"]).where(F.abs(F.col("start") - F.col("there")) <= slop)
+            near = F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda d: F.floor(F.col("there") / width) + d)
+            met = wanted.withColumn("cell", F.explode(near)).join(
+                read.withColumn("cell", F.floor(F.col("position") / width)), ["text", "term", "cell"]
+            ).where(F.abs(F.col("there") - F.col("position")) <= slop)
         else:
-            going = going.join(other.withColumnRenamed("there", "start"), ["text", "window_id", "start"])
-        found = stored(going.select("text", "start", "window_id", "lists").distinct().unionByName(done), "candidates")
+            met = wanted.join(read.withColumnRenamed("position", "there"), ["text", "term", "there"])
+        met = met.select(*found.columns)
+        found = stored((met.distinct() if slop else met).unionByName(found.where(F.col("lists") < place)), "candidates")
     return found.drop("lists")
 
 
@@ -138,6 +138,7 @@ def decontaminate(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    lists: int = 2,
 ) -> DataFrame:
     """The documents' columns, n_words, n_hit, items, spans and contaminated.
 
@@ -148,10 +149,12 @@ def decontaminate(
     made = ["n_words", "n_hit", "items", "spans", "contaminated"]
     windows = windows_of(benchmark, window, item_id_col, item_text_col)
     terms, postings = build_index(documents, windows, text_col)
-    places = candidates(postings, lookups(windows, terms, postings))
-    per_text = (
+    places = candidates(postings, lookups(windows, terms, postings, lists), lists)
+    # Stored, so that the join below is a join of two plain inputs and a hot text can be split.
+    per_text = stored(
         places.join(windows, "window_id").groupBy(F.col("text").alias("of"))
-        .agg(F.collect_list(F.struct("start", "words", "items")).alias("places"))
+        .agg(F.collect_list(F.struct("start", "words", "items")).alias("places")),
+        "places",
     )
     rows = packed(documents, made, key=text_key(text_col))
     joined = rows.join(per_text, rows["key"] == per_text["of"], "left")
@@ -196,12 +199,13 @@ def proximity_matches(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    lists: int = 3,
 ) -> DataFrame:
-    """(id, item): documents in which the rarest words of one of the item's windows lie in order of the phrase,
+    """(id, item): documents in which the `lists` rarest words of one of the item's windows lie as in the phrase,
     each at most `slop` words away from where the rarest one puts it."""
     windows = windows_of(benchmark, window, item_id_col, item_text_col)
     terms, postings = build_index(documents, windows, text_col)
-    places = candidates(postings, lookups(windows, terms, postings), slop).select("text", "window_id").distinct()
+    places = candidates(postings, lookups(windows, terms, postings, lists), lists, slop).select("text", "window_id").distinct()
     found = places.join(windows.select("window_id", F.explode("items").alias("item")), "window_id")
     found = found.select("text", "item").distinct()
     ids = documents.select(F.col(id_col).alias("id"), text_key(text_col).alias("text"))

@@ -10,8 +10,10 @@
    the pair is dropped if it is below `miss`. Survivors are verified on full sets.
 4. Links give components. Members of one component need no more comparisons, so
    what is left of a bucket is its members outside its main component against all
-   of it. That is done in chunks: a task holds a few hundred signatures against a
-   thousand and returns the survivors, which are verified as before.
+   of it. That is done in chunks: a task holds a hundred signatures against a
+   thousand and returns the survivors, which are verified as before. As members of
+   such buckets are alike, more hashes tell the posterior apart, and a pair is
+   returned only by the first bucket that holds both.
 
 So the pairs of a group of near copies are never emitted, and nothing is capped:
 a bucket of any size is compared to the end. Minima per bucket are combined before
@@ -28,18 +30,19 @@ from __future__ import annotations
 import hashlib
 import struct
 from collections.abc import Iterator
-from math import ceil, comb, log
+from math import ceil, exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import connected_components, packed, same, stored, text_key, type_of
+from tidemark.llm.common import connected_components, packed, pieces, same, stored, text_key, type_of
 
 BATCH = 30  # hashes compared between two decisions
 LARGE, SMALL = 1024, 128  # rows of the chunks compared at once
-WORDS = 1 << 20  # word hashes a task remembers
+WORDS = 1 << 18  # word hashes a task remembers
+MORE = 1020  # further hashes of texts in large buckets, for a second look
 
 
 def plan_bands(threshold: float, rows: int, miss: float) -> int:
@@ -59,7 +62,8 @@ def fewest_matches(threshold: float, hashes: int, miss: float) -> list[int]:
     for k in range(BATCH, hashes + 1, BATCH):
         chance, m = 0.0, 0
         while True:
-            chance += comb(k + 1, m) * t**m * (1 - t) ** (k + 1 - m)
+            ways = lgamma(k + 2) - lgamma(m + 1) - lgamma(k + 2 - m)
+            chance += exp(ways + m * log(t) + (k + 1 - m) * log(1 - t))
             if chance >= miss:
                 break
             m += 1
@@ -95,14 +99,32 @@ class Shingler:
         return np.unique(out)
 
 
+def least_hashes(found: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
+    low = (found >> np.uint64(32)).astype(np.uint32)
+    least = np.full(len(times), 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(low), 2048):
+        least = np.minimum(least, ((low[i : i + 2048, None] ^ plus) * times).min(0))
+    return least
+
+
+def hash_family(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+    draw = np.random.default_rng(seed)
+    return (
+        draw.integers(0, 2**32, count, dtype=np.uint32) | np.uint32(1),
+        draw.integers(0, 2**32, count, dtype=np.uint32),
+    )
+
+
+def one_byte(least: np.ndarray) -> bytes:
+    return (least >> np.uint32(13)).astype(np.uint8).tobytes()
+
+
 def _signatures(words: int, hashes: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        draw = np.random.default_rng(7)
-        times = draw.integers(0, 2**32, hashes, dtype=np.uint32) | np.uint32(1)
-        plus = draw.integers(0, 2**32, hashes, dtype=np.uint32)
-        mix = draw.integers(0, 2**62, rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+        times, plus = hash_family(hashes, 7)
+        mix = np.random.default_rng(8).integers(0, 2**62, rows).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         shingles = Shingler(words)
-        for batch in batches:
+        for batch in pieces(batches, 2):
             counts, first, second, bands, bytes_ = [], [], [], [], []
             for text in batch.column(2).to_pylist():
                 found = shingles(text)
@@ -111,15 +133,12 @@ def _signatures(words: int, hashes: int, rows: int):
                     first.append(None), second.append(None), bands.append(None), bytes_.append(None)
                     continue
                 a, b = struct.unpack("<qq", hashlib.blake2b(found.tobytes(), digest_size=16).digest())
-                low = (found >> np.uint64(32)).astype(np.uint32)
-                least = np.full(hashes, 0xFFFFFFFF, np.uint32)
-                for i in range(0, len(low), 4096):
-                    least = np.minimum(least, ((low[i : i + 4096, None] ^ plus) * times).min(0))
+                least = least_hashes(found, times, plus)
                 band = (least.reshape(-1, rows).astype(np.uint64) + np.uint64(1)) * mix
                 band = (band ^ (band >> np.uint64(29))).sum(1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
                 first.append(a), second.append(b)
                 bands.append((band + np.arange(len(band), dtype=np.uint64)).view(np.int64))
-                bytes_.append((least >> np.uint32(13)).astype(np.uint8).tobytes())
+                bytes_.append(one_byte(least))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
@@ -163,7 +182,7 @@ def _chunk_pairs(bounds: list[int]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for few, many in zip(batch.column(0), batch.column(1), strict=True):
+            for bucket, few, many in zip(*batch.columns, strict=True):
                 few, many = few.values, many.values
                 a, ca, one = few.field(0).to_numpy(), few.field(1).to_numpy(), _matrix(few.field(2))
                 b, cb, two = many.field(0).to_numpy(), many.field(1).to_numpy(), _matrix(many.field(2))
@@ -178,6 +197,12 @@ def _chunk_pairs(bounds: list[int]):
                         matches[at] += (left[x[at]] == right[y[at]]).sum(1, dtype=np.int32)
                     keep = matches >= least
                     x, y, matches = x[keep], y[keep], matches[keep]
+                if len(x):
+                    # Of all buckets that hold the pair the first returns it.
+                    left = few.field(3).flatten().to_numpy().reshape(len(a), -1)[x]
+                    shared = left == many.field(3).flatten().to_numpy().reshape(len(b), -1)[y]
+                    first = left[np.arange(len(x)), shared.argmax(1)] == bucket.as_py()
+                    x, y = x[first], y[first]
                 low, high = np.minimum(a[x], b[y]), np.maximum(a[x], b[y])
                 yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], ["a", "b"])
 
@@ -220,6 +245,7 @@ def near_duplicates(
     hashes = ceil(bands * rows / BATCH) * BATCH
     bands = hashes // rows
     bounds = fewest_matches(threshold, hashes, miss)
+    long_bounds = fewest_matches(threshold, hashes + MORE, miss)
     made = ["n_shingles", "component_id", "kept"]
 
     texts = documents.select(
@@ -244,18 +270,24 @@ def near_duplicates(
     pairs = held.where("row <> hub").select(F.col("hub").alias("a"), F.col("row").alias("b")).distinct()
 
     wanted = held.select("row").distinct()
-    bytes_of = stored(signed.select("row", "id", "text_key", "signature").join(wanted, "row"), "candidate-signatures")
+    bytes_of = stored(
+        signed.select("row", "id", "text_key", "signature", "bands").join(wanted, "row"), "candidate-signatures"
+    )
     named = bytes_of.select("row", F.col("id").alias("c_id"), F.col("text_key").alias("c_key"))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles = Shingler(words)
-        for batch in batches:
-            found = [shingles(t).tobytes() for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary())], ["row", "set"])
+        shingles, family = Shingler(words), hash_family(MORE, 9)
+        for batch in pieces(batches, 1):
+            found = [shingles(t) for t in batch.column(1).to_pylist()]
+            more = [one_byte(least_hashes(f, *family)) for f in found]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f.tobytes() for f in found], pa.binary()), pa.array(more, pa.binary())],
+                ["row", "set", "more"],
+            )
 
     full = texts.join(named, texts["id"].eqNullSafe(named["c_id"]) & (texts["text_key"] == named["c_key"]))
     shingle_sets = stored(
-        full.select("row", "text").mapInArrow(sets, "row long, set binary").dropDuplicates(["row"]), "shingle-sets"
+        full.select("row", "text").mapInArrow(sets, "row long, set binary, more binary").dropDuplicates(["row"]), "shingle-sets"
     )
 
     def verified(candidates: DataFrame, label: str) -> DataFrame:
@@ -283,9 +315,12 @@ def near_duplicates(
         .where("n < size"),
         "open-buckets",
     )
+    looks = bytes_of.join(shingle_sets.select("row", "more"), "row").select(
+        "row", F.concat("signature", "more").alias("signature"), "bands"
+    )
     open_ = (
-        labelled.drop("size").join(mains, "bucket").join(bytes_of.select("row", "signature"), "row")
-        .select("bucket", "main", "size", "n", "component", F.struct("row", "component", "signature").alias("member"))
+        labelled.drop("size").join(mains, "bucket").join(looks, "row")
+        .select("bucket", "main", "size", "n", "component", F.struct("row", "component", "signature", "bands").alias("member"))
     )
     spread = F.abs(F.xxhash64("member.row"))
     few = (
@@ -297,8 +332,8 @@ def near_duplicates(
         F.collect_list("member").alias("many")
     )
     more = (
-        few.join(many.drop("part"), "bucket").select("few", "many")
-        .mapInArrow(_chunk_pairs(bounds), "a long, b long").distinct()
+        few.join(many.drop("part"), "bucket").select("bucket", "few", "many")
+        .mapInArrow(_chunk_pairs(long_bounds), "a long, b long").distinct()
     )
     links = links.unionByName(verified(more.join(pairs, ["a", "b"], "left_anti"), "links"))
 

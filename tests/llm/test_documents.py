@@ -226,3 +226,44 @@ def test_lm_score(spark, documents, empty, rows):
     assert Counter((i, near(t), near(b)) for i, _, t, b in wanted) == Counter((i, near(t), near(b)) for i, _, t, b, _ in got)
     assert lm_score.score(empty, targets).count() == 0
     assert lm_score.score(documents, targets.limit(0)).where(F.col("score").isNull() & (F.col("n_tokens") > 0)).count() == 0
+
+
+def test_lm_score_counts_exactly(spark, monkeypatch):
+    """More words than `WORDS` and many pieces; the plain model has a dictionary of its own, and hashes nothing."""
+    import math
+
+    monkeypatch.setattr(lm_score, "PIECE", 1 << 16)
+    texts = [" ".join(f"w{i * 450 + j} The" for j in range(600)) for i in range(150)]
+    texts += ["the w1 the", "w1 the w1", None]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(5)
+    wanted = set(range(0, 153, 3))
+    found = lm_score.score(frame, spark.createDataFrame([(i,) for i in wanted], "doc_id long"))
+    lists = [(t or "").lower().split() for t in texts]
+    models = {}
+    for flag in (True, False):
+        chosen = [w for i, w in enumerate(lists) if i in wanted or not flag]
+        models[flag] = (
+            Counter(x for w in chosen for x in w),
+            Counter(x for w in chosen for x in [None, *w][:-1]),
+            Counter(x for w in chosen for x in zip([None, *w], w, strict=False)),
+        )
+    n = {flag: sum(m[0].values()) for flag, m in models.items()}
+    size = len(models[False][0])
+    assert size > lm_score.WORDS
+
+    def loss(flag, i):
+        words, before, pairs = models[flag]
+        own, k, total = (i in wanted, 1, 0) if flag else (1, n[True] / n[False], 0)
+        for v, w in zip([None, *lists[i]], lists[i], strict=False):
+            one = ((words[w] - own) * k + 1) / ((n[flag] - own) * k + size)
+            total -= math.log(((pairs[v, w] - own) * k + lm_score.PRIOR * one) / ((before[v] - own) * k + lm_score.PRIOR))
+        return total / len(lists[i]) if lists[i] else None
+
+    got = {r.doc_id: r for r in found.collect()}
+    assert len(got) == len(texts)
+    for i in range(len(texts)):
+        if lists[i]:
+            assert got[i].target_loss == pytest.approx(loss(True, i), abs=1e-9)
+            assert got[i].background_loss == pytest.approx(loss(False, i), abs=1e-9)
+        else:
+            assert got[i].n_tokens == 0 and got[i].score is None

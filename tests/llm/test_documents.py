@@ -109,6 +109,30 @@ def test_proximity(spark):
     assert near(0) >= {0} and near(1) >= {0, 1} and near(9) == {0, 1, 3}
 
 
+@pytest.mark.parametrize("slop", [0, 1, 2])
+def test_proximity_of_all_words(spark, slop):
+    """The three rarest words in their places are no match without the other seven."""
+    phrase = "alpha beta gamma delta epsilon zeta eta theta iota kappa"
+    texts = [phrase, *["alpha beta gamma delta epsilon zeta eta"] * 10, "a b c d e f g theta iota kappa"]
+    texts += [f"... {phrase.upper()}", phrase.replace("gamma ", ""), phrase.replace("zeta", "so zeta too"), phrase.replace("alpha", "beta")]
+    rows = [*enumerate(texts), (0, phrase), (90, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    benchmark = spark.createDataFrame([(1, phrase), (2, phrase)], "item_id long, text string")
+    words = phrase.split()
+    frequency = Counter(w for _, t in rows for w in brute.bench_words(t))
+    rarest = min(range(10), key=lambda i: (frequency[words[i]], i))
+
+    def matches(text):
+        found = brute.bench_words(text)
+        starts = [i - rarest for i, w in enumerate(found) if w == words[rarest]]
+        near = lambda s, i: found[max(0, s + i - slop) : max(0, s + i + slop + 1)]
+        return any(all(w in near(s, i) for i, w in enumerate(words)) for s in starts)
+
+    got = Counter(map(tuple, decontamination.proximity_matches(frame, benchmark, slop).collect()))
+    assert got == Counter((i, item) for i, t in rows if matches(t) for item in "12")
+    assert (0, "1") in got and (11, "1") not in got
+
+
 def test_line_dedup(documents, empty, rows):
     made = ["kept_text", "n_lines", "n_dropped"]
     bitmaps = line_dedup.line_bitmaps(documents)

@@ -8,7 +8,8 @@ they are intersected with the moved lists of the next ones. Frequencies come fro
 the index. Two lists leave few places, and further ones belong to ever more
 frequent words; so what is left is compared with the words of the document itself,
 and the result holds whole windows only. With `slop` the lists may disagree by
-that many words, which gives proximity matches.
+that many words; then every word of the window is looked for in the document
+within `slop` of its expected place, which gives proximity matches.
 
 Texts are known by a 64-bit key, so copies share their candidates; a clash of keys
 can only add candidates, which the comparison rejects. Everything is DataFrame
@@ -201,12 +202,28 @@ def proximity_matches(
     item_text_col: str = "text",
     lists: int = 3,
 ) -> DataFrame:
-    """(id, item): documents in which the `lists` rarest words of one of the item's windows lie as in the phrase,
-    each at most `slop` words away from where the rarest one puts it."""
+    """(id, item): documents in which all words of one of the item's windows lie as in the phrase, each at most
+    `slop` words away from where the rarest one puts it. The `lists` rarest words find the places to look at."""
     windows = windows_of(benchmark, window, item_id_col, item_text_col)
     terms, postings = build_index(documents, windows, text_col)
-    places = candidates(postings, lookups(windows, terms, postings, lists), lists, slop).select("text", "window_id").distinct()
-    found = places.join(windows.select("window_id", F.explode("items").alias("item")), "window_id")
-    found = found.select("text", "item").distinct()
-    ids = documents.select(F.col(id_col).alias("id"), text_key(text_col).alias("text"))
-    return ids.join(found, "text").select("id", "item")
+    places = candidates(postings, lookups(windows, terms, postings, lists), lists, slop)
+    # As in `decontaminate`, a join of two plain inputs: copies of a text are compared each with its own words.
+    per_text = stored(
+        places.join(windows, "window_id").groupBy(F.col("text").alias("of"))
+        .agg(F.collect_list(F.struct("start", "words", "items")).alias("places")),
+        "places",
+    )
+    rows = documents.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), text_key(text_col).alias("key"))
+    joined = rows.join(per_text, F.col("key") == F.col("of")).withColumn("w", words_of(F.col("text")))
+
+    def near(p: Column) -> Column:
+        # Places before the first word are negative; slice() takes none, so the part begins at 0 at least.
+        def there(word: Column, i: Column) -> Column:
+            first = F.greatest(p["start"] + i - slop, F.lit(0))
+            last = p["start"] + i + slop
+            return F.array_contains(F.slice("w", first + 1, F.greatest(last - first + 1, F.lit(0))), word)
+
+        return F.forall(F.transform(p["words"], there), lambda x: x)
+
+    items = F.array_distinct(F.flatten(F.transform(F.filter("places", near), lambda p: p["items"])))
+    return joined.select("id", F.explode(items).alias("item"))

@@ -45,7 +45,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that hold a window of a benchmark item."""
-    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    found = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.where("not contaminated").select(*(f"`{c}`" for c in docs.columns))
 
 

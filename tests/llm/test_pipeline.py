@@ -29,6 +29,19 @@ def test_query_equals_sql(spark, name):
     assert compare.differences(spark, QUERIES[name], ORACLES[name], SF_DIR, compare.connect(SF_DIR)) is None
 
 
+def test_items_without_id(spark, tmp_path):
+    """A hit depends on the text alone; an item without an id is in no list."""
+    words = [f"w{i}" for i in range(40)]
+    texts = [" ".join(words[:15]), " ".join(words[20:35]), " ".join(words[10:30]), "w1 w2", None]
+    items = [(None, " ".join(words[:12])), (1, " ".join(words[22:34])), (None, " ".join(words[22:34]))]
+    spark.createDataFrame([*enumerate(texts)], "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/benchmark.parquet")
+    found = {r.doc_id: (r.n_hit, r.n_items) for r in QUERIES["op3_decontamination"](spark, str(tmp_path)).collect()}
+    assert found == {0: (12, 0), 1: (12, 1), 2: (0, 0), 3: (0, 0), 4: (0, 0)}
+    left = corpus_pipeline.drop_contaminated(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+    assert sorted(r.doc_id for r in left.collect()) == [2, 3, 4]
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     return spark.read.parquet(f"{SF_DIR}/documents.parquet").orderBy("doc_id").collect()

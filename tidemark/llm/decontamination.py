@@ -17,9 +17,9 @@ code. The words of the benchmark are broadcast if they take `BROADCAST_BYTES` at
 most, and joined by a shuffle if not. The other joins are left to Spark.
 
 Defined cases: null has no words; an item without words matches nothing; equal
-items are found together; items are told apart by id, null ids are ignored;
-repeated documents get equal answers; an empty table on either side gives no
-hits.
+items are found together; items are told apart by id; null ids are ignored, or
+with `unnamed` hit without being named; repeated documents get equal answers; an
+empty table on either side gives no hits.
 """
 
 from __future__ import annotations
@@ -50,9 +50,13 @@ def sized_broadcast(frame: DataFrame, column: str | None = None) -> DataFrame:
     return F.broadcast(frame) if size <= BROADCAST_BYTES else frame
 
 
-def windows_of(items: DataFrame, window: int, id_col: str, text_col: str) -> DataFrame:
-    """(window_id, words, items): the distinct windows and the sorted ids that hold them, as strings."""
-    cleaned = items.where(F.col(id_col).isNotNull()).select(
+def windows_of(items: DataFrame, window: int, id_col: str, text_col: str, unnamed: bool = False) -> DataFrame:
+    """(window_id, words, items): the distinct windows and the sorted ids that hold them, as strings.
+
+    Items with null ids are left out, or with `unnamed` have windows but no id.
+    """
+    chosen = items if unnamed else items.where(F.col(id_col).isNotNull())
+    cleaned = chosen.select(
         F.col(id_col).cast("string").alias("item"), F.filter(words_of(F.col(text_col)), lambda w: w != "").alias("words")
     )
     cut = cleaned.where(F.size("words") > 0).select(
@@ -140,15 +144,17 @@ def decontaminate(
     item_id_col: str = "item_id",
     item_text_col: str = "text",
     lists: int = 2,
+    unnamed: bool = False,
 ) -> DataFrame:
     """The documents' columns, n_words, n_hit, items, spans and contaminated.
 
     A word is hit if it lies in an occurrence of a window; `items` are the ids, as
     sorted strings, of the items with an occurring window; `spans` the occurrences
-    (start, words) in words.
+    (start, words) in words. With `unnamed` benchmark rows without an id hit words
+    too, and are in no `items`.
     """
     made = ["n_words", "n_hit", "items", "spans", "contaminated"]
-    windows = windows_of(benchmark, window, item_id_col, item_text_col)
+    windows = windows_of(benchmark, window, item_id_col, item_text_col, unnamed)
     terms, postings = build_index(documents, windows, text_col)
     places = candidates(postings, lookups(windows, terms, postings, lists), lists)
     # Stored, so that the join below is a join of two plain inputs and a hot text can be split.

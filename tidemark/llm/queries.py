@@ -46,7 +46,7 @@ def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every text that lie in a ten-word window of a benchmark item."""
     documents = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = decontamination.decontaminate(documents, table(spark, sf_dir, "benchmark"))
+    found = decontamination.decontaminate(documents, table(spark, sf_dir, "benchmark"), unnamed=True)
     return found.select(
         "doc_id",
         "n_words",

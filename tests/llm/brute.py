@@ -153,3 +153,69 @@ def vectors(ids: list, rows: list, cosine: float = 0.95) -> list[tuple]:
         r = groups.root(i)
         least[r] = min(least.get(r, x), x, key=by_id)
     return [(links[i], least[groups.root(i)]) for i in range(len(ids))]
+
+
+def tokenized(texts: list) -> list:
+    """(ids and byte ends by A, the same by B) of space + text, straight from both libraries."""
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    slow.encode_special_tokens = True
+    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    code = {chr(b): b for b in shown} | {chr(256 + n): b for n, b in enumerate(sorted(set(range(256)) - set(shown)))}
+    out = []
+    for text in texts:
+        whole = " " + (text or "")
+        a = slow.encode(whole, add_special_tokens=False).ids
+        b = pieces.encode(text or "")
+        bytes_a = [bytes(code[c] for c in slow.id_to_token(i)) for i in a]
+        bytes_b = [bytes([int(pieces.id_to_piece(i)[3:5], 16)]) if pieces.is_byte(i) else pieces.id_to_piece(i).replace("▁", " ").encode() for i in b]
+        if not text or b"".join(bytes_a) != whole.encode() or b"".join(bytes_b) != whole.encode():
+            out.append(([], [], [], []))
+            continue
+        ends = lambda parts: [sum(map(len, parts[: i + 1])) for i in range(len(parts))] if len(parts) < 400 else _ends(parts)
+        out.append((a, ends(bytes_a), b, ends(bytes_b)))
+    return out
+
+
+def _ends(parts: list) -> list:
+    total, out = 0, []
+    for p in parts:
+        total += len(p)
+        out.append(total)
+    return out
+
+
+def alignment(texts: list) -> list[tuple]:
+    """(n_a, n_b, groups, links, best links, sum of counts, hash, pairs within groups) per text."""
+    rows, counts = [], Counter()
+    for a, ends_a, b, ends_b in tokenized(texts):
+        joint = sorted(set(ends_a) & set(ends_b))
+        links = [(a[ends_a.index(e)], b[ends_b.index(e)]) for e in joint] if len(a) < 400 else None
+        if links is None:
+            at_a, at_b = dict(zip(ends_a, a, strict=True)), dict(zip(ends_b, b, strict=True))
+            links = [(at_a[e], at_b[e]) for e in joint]
+        counts.update(links)
+        sides, within, low = [], 0, 0
+        by_end = [defaultdict(list), defaultdict(list)]
+        for side, ids, ends in ((0, a, ends_a), (1, b, ends_b)):
+            k = 0
+            for token, end in zip(ids, ends, strict=True):
+                while joint[k] < end:
+                    k += 1
+                by_end[side][k].append(token)
+        for k in range(len(joint)):
+            left, right = by_end[0][k], by_end[1][k]
+            sides.append(",".join(map(str, left)) + "|" + ",".join(map(str, right)))
+            within += len(left) * len(right)
+        rows.append((len(a), len(b), len(joint), links, sha(";".join(sides).encode()) if a else "", within))
+    top = defaultdict(int)
+    for (_, b), n in counts.items():
+        top[b] = max(top[b], n)
+    return [
+        (na, nb, g, len(links), sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links), text, within)
+        for na, nb, g, links, text, within in rows
+    ]

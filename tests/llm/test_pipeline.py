@@ -20,7 +20,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in (*range(1, 11), 13)}
     assert set(queries()) >= {*QUERIES, "pipeline"} and set(oracle_sql()) >= set(ORACLES)
 
 
@@ -58,6 +58,11 @@ def test_near_query(spark, docs):
     assert found == {d.doc_id: (n, c, c == d.doc_id) for d, (n, c) in zip(docs, wanted, strict=True)}
 
 
+def test_alignment_query(spark, docs):
+    found = {r[0]: tuple(r)[1:] for r in QUERIES["op13_token_alignment"](spark, SF_DIR).collect()}
+    assert found == dict(zip([d.doc_id for d in docs], brute.alignment([d.text for d in docs]), strict=True))
+
+
 def test_vector_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding").collect()]
     found = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op10_vector_dedup"](spark, SF_DIR).collect()}

@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import decontamination, language_id, line_dedup, lm_score, mixing, near_dedup, suffix_dedup, token_count, vector_dedup, warc
+from tidemark.llm import (
+    alignment,
+    decontamination,
+    language_id,
+    line_dedup,
+    lm_score,
+    mixing,
+    near_dedup,
+    suffix_dedup,
+    token_count,
+    vector_dedup,
+    warc,
+)
 from tidemark.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,6 +27,7 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 MODEL = "piece_bpe_32k.model"
+BYTE_MODEL = "byte_bpe_50k.json"
 MIX_SEED = 20
 
 
@@ -222,3 +235,15 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     found = vector_dedup.near_vectors(vectors)
     return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@registered
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text by two tokenizers, the groups both cut it into and the links of what ends together."""
+    import public_tokenizers
+
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = alignment.token_alignment(documents, public_tokenizers.path(BYTE_MODEL), public_tokenizers.path(MODEL))
+    return found.select(
+        F.col("id").alias("doc_id"), "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links"
+    )

@@ -48,11 +48,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import pieces, stored, type_of
 
-TEXT_BYTES = 1 << 20  # tokenized at a time
+TEXT_BYTES = 1 << 18  # tokenized at a time
 PRODUCT = 1 << 20  # entries of a product held at a time
-SEGMENTS = 1 << 19  # of a block
+SEGMENTS = 1 << 18  # of a block
 SEGMENT_BYTES = 1 << 24
-REFERENCES = 1 << 23
+REFERENCES = 1 << 21
 BLOCK_DOCS = 1 << 16
 LONG_BLANK = 1000
 ID_BITS = 16  # both vocabularies are smaller
@@ -157,15 +157,12 @@ class Tokenizers:
     def __init__(self, a_path: str, b_path: str):
         import sentencepiece
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(a_path, encoding="utf-8") as f:
-            model = json.load(f)["model"]
-        self._slow = Tokenizer.from_file(a_path)
-        self._slow.encode_special_tokens = True
-        alphabet = _byte_alphabet()
-        added = {t.content: i for i, t in self._slow.get_added_tokens_decoder().items()}
-        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["vocab"].items() if t not in added}
+            whole = json.load(f)
+        self._a_path, self._slow = a_path, None
+        alphabet, added = _byte_alphabet(), {t["content"] for t in whole["added_tokens"]}
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in whole["model"]["vocab"].items() if t not in added}
         self._a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self._b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         self.bytes_a = _by_id({i: t for t, i in ranks.items()})
@@ -185,9 +182,17 @@ class Tokenizers:
 
     def a(self, string: str) -> list[int]:
         if len(string) > LONG_BLANK and self._blank.search(string):
-            return self._slow.encode(string, add_special_tokens=False).ids
+            return self._whole(string)
         return self._a.encode_ordinary(string)
 
+    def _whole(self, string: str) -> list[int]:
+        from tokenizers import Tokenizer
+
+        if self._slow is None:
+            self._slow = Tokenizer.from_file(self._a_path)
+            self._slow.encode_special_tokens = True
+        return self._slow.encode(string, add_special_tokens=False).ids
+
     def b(self, strings: list[str]) -> list[list[int]]:
         # A line feed in front is one piece of its own and keeps the start mark away.
         return [ids[self._start :] for ids in self._b.encode(["\n" + s for s in strings], num_threads=1)]

@@ -219,3 +219,34 @@ def alignment(texts: list) -> list[tuple]:
         (na, nb, g, len(links), sum(counts[x] == top[x[1]] for x in links), sum(counts[x] for x in links), text, within)
         for na, nb, g, links, text, within in rows
     ]
+
+
+def text_words(text: str) -> list[str]:
+    """Words in lower case: ideographs and kana one by one, others in pieces of 16 letters or digits."""
+    out = []
+    for run in re.findall(r"[^\W_]+", text.lower()):
+        for part in re.findall("[\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]|[^\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]+", run):
+            out += [part[i : i + 16] for i in range(0, len(part), 16)]
+    return out
+
+
+def common_words(texts: list[str], parts: int = 400) -> set[str]:
+    counts = Counter(w for t in texts for w in text_words(t))
+    return {w for w, n in counts.items() if n * parts >= counts.total()}
+
+
+def spots(text: str, anchors: set[str], gap: int = 6) -> set[tuple]:
+    """(anchor or None, two content words after it) wherever a chain starts; equal ones are numbered."""
+    words, out, since = text_words(text), [], 0
+    for i, w in enumerate(words):
+        since = 0 if w in anchors else since + 1
+        if w in anchors or i == 0 or since % gap == 0:
+            rest = [x for x in words[i:] if x not in anchors][:2]
+            if rest:
+                out.append((w if w in anchors else None, *rest))
+    out = out or [tuple(words[i : i + 3]) for i in range(len(words))]
+    return {(x, k) for x, n in Counter(out).items() for k in range(n)}
+
+
+def jaccard(a: set, b: set) -> float:
+    return len(a & b) / len(a | b) if a and b else float(not a and not b)

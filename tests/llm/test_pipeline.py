@@ -20,7 +20,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in (*range(1, 11), 13)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in (*range(1, 12), 13)}
     assert set(queries()) >= {*QUERIES, "pipeline"} and set(oracle_sql()) >= set(ORACLES)
 
 
@@ -63,6 +63,23 @@ def test_alignment_query(spark, docs):
     assert found == dict(zip([d.doc_id for d in docs], brute.alignment([d.text for d in docs]), strict=True))
 
 
+def test_spot_query(spark, docs):
+    found = {r[0]: tuple(r)[1:] for r in QUERIES["op11_spot_signatures"](spark, SF_DIR).collect()}
+    texts = [d.text or "" for d in docs]
+    after = [texts[i - 1] for i in range(len(texts))]  # in falling order of ids
+    anchors = brute.common_words(texts)
+    for d, text, other in zip(docs, texts, after, strict=True):
+        new = text[: len(text) - len(text) // 3] + other[: len(text) // 3]
+        sets = [brute.spots(t, anchors) for t in (text, new, other)]
+        n_chars, sha, own, edited, near_edited, near_next, n = found[d.doc_id]
+        assert (n_chars, sha, n) == (len(text), brute.sha(new.encode()), len(sets[0]))
+        assert (near_edited, near_next) == (brute.jaccard(sets[0], sets[1]), brute.jaccard(sets[0], sets[2]))
+        assert (len(own), len(edited)) == (8 * len(sets[0]), 8 * len(sets[1]))
+    assert len({r[2] for r in found.values()}) == len(set(texts))
+    near = sorted(r[4] for r in found.values())
+    assert near[len(near) // 20] > 0.3 and sum(r[5] < 0.1 for r in found.values()) > 0.9 * len(found)
+
+
 def test_vector_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding").collect()]
     found = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op10_vector_dedup"](spark, SF_DIR).collect()}

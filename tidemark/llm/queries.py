@@ -15,6 +15,7 @@ from tidemark.llm import (
     lm_score,
     mixing,
     near_dedup,
+    spot_signatures,
     suffix_dedup,
     token_count,
     vector_dedup,
@@ -237,6 +238,16 @@ def op10_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
+@registered
+def op11_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text and its edited text, and their likeness to each other and to the next text."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = spot_signatures.edited_likeness(documents)
+    return found.select(
+        F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures"
+    )
+
+
 @registered
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by two tokenizers, the groups both cut it into and the links of what ends together."""

@@ -250,3 +250,32 @@ def spots(text: str, anchors: set[str], gap: int = 6) -> set[tuple]:
 
 def jaccard(a: set, b: set) -> float:
     return len(a & b) / len(a | b) if a and b else float(not a and not b)
+
+
+def spelling(ids: list, texts: list, every: int = 199) -> list[tuple]:
+    """(word, form, root, n, near words, form's n) of all words of a corpus."""
+    import zlib
+
+    counts: Counter = Counter()
+    for i, text in zip(ids, texts, strict=True):
+        for run in re.findall("[A-Za-zÀ-ÿ]+", text or ""):
+            run = lower_ascii(run)
+            h = zlib.crc32(f"{'' if i is None else i}:{run}".encode())
+            if h % every == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1 :]
+            counts[run] += 1
+    counts = {w: n for w, n in counts.items() if len(w) >= 6 and n >= 5}
+    letters = sorted({c for w in counts for c in w})
+    near = {}
+    for w in counts:
+        found = {w[:k] + w[k + 1 :] for k in range(len(w))}
+        found |= {w[:k] + c + w[k + x :] for k in range(len(w) + 1) for c in letters for x in (0, 1)}
+        near[w] = sorted((found & counts.keys()) - {w}, key=lambda v: (-counts[v], v))
+    form = {w: near[w][0] if near[w] and counts[near[w][0]] >= 5 * n else None for w, n in counts.items()}
+    out = []
+    for w, n in counts.items():
+        root = w
+        while form[root]:
+            root = form[root]
+        out.append((w, form[w], root, n, len(near[w]), counts[form[w]] if form[w] else None))
+    return out

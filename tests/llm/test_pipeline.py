@@ -20,7 +20,7 @@ SF_DIR = "/root/testdata/sf0.001"
 
 
 def test_registered():
-    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in (*range(1, 12), 13)}
+    assert {n.split("_")[0] for n in QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert set(queries()) >= {*QUERIES, "pipeline"} and set(oracle_sql()) >= set(ORACLES)
 
 
@@ -80,6 +80,11 @@ def test_spot_query(spark, docs):
     assert near[len(near) // 20] > 0.3 and sum(r[5] < 0.1 for r in found.values()) > 0.9 * len(found)
 
 
+def test_spelling_query(spark, docs):
+    wanted = brute.spelling([d.doc_id for d in docs], [d.text for d in docs])
+    assert Counter(map(tuple, QUERIES["op12_spelling_variants"](spark, SF_DIR).collect())) == Counter(wanted)
+
+
 def test_vector_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SF_DIR}/embeddings.parquet").select("vec_id", "embedding").collect()]
     found = {r.vec_id: (r.n_links, r.component_id) for r in QUERIES["op10_vector_dedup"](spark, SF_DIR).collect()}

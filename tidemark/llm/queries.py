@@ -15,6 +15,7 @@ from tidemark.llm import (
     lm_score,
     mixing,
     near_dedup,
+    spelling,
     spot_signatures,
     suffix_dedup,
     token_count,
@@ -248,6 +249,13 @@ def op11_spot_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@registered
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frequent words with the words one letter apart, their usual form and its root."""
+    words = spelling.frequent_words(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return spelling.spelling_variants(words)
+
+
 @registered
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every text by two tokenizers, the groups both cut it into and the links of what ends together."""

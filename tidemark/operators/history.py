@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.numbers import batch_count, int_div, percent
@@ -12,8 +10,6 @@ from tidemark.operators.merging import INSERTED, UNCHANGED, UPDATED, differs
 from tidemark.operators.ordering import running_sums, with_batches
 from tidemark.schemas import KEY, VALUES
 
-Keep = Callable[[DataFrame], DataFrame]
-
 # Versions of one key are compared in spans of this many batches.
 SPAN = 4096
 
@@ -25,73 +21,82 @@ def version_actions(
     order: str = "seq",
     key: list[str] = KEY,
     values: list[str] = VALUES,
-    keep: Keep = lambda frame: frame,
 ) -> DataFrame:
     """One row per (key, batch) with the action of that batch on that key.
 
-    The versions are read twice; `keep` may write them and return them read again.
-
-    Each version is compared with the one before it, the first with the target.
-    A key present in every batch would make one endless window, so the window
-    covers a span of batches. Only the first version of a span looks further
-    back: to the end of the span before, which is one row per key and span.
+    The target is version 0 of its keys. A state is the versions of one key in one
+    span of SPAN batches, in order; states of a key merge by their first and last
+    version alone. So every version is compared with the one before it inside its
+    state, and only the first of a later span needs the key's other spans, which
+    are one small row each. A key present in every batch has one state per span.
     """
-    versions = (
+    version = lambda rows: F.struct("batch", *values, F.col(rows).alias("rows"))
+    staged_versions = (
         with_batches(staged, order, batch_size)
         .groupBy(*key, "batch")
         .agg(*[F.max_by(v, order).alias(v) for v in values], F.count(F.lit(1)).alias("rows"))
-        .withColumn("_span", int_div(F.col("batch"), SPAN))
-    )
-    in_order = Window.partitionBy(*key, "_span").orderBy("batch")
-    whole_span = in_order.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    before = {v: f"_before_{v}" for v in values}
-    seen = versions.withColumns(
-        {
-            **{n: F.lag(v).over(in_order) for v, n in before.items()},
-            **{f"_end_{v}": F.last(v).over(whole_span) for v in values},
-            "_nth": F.row_number().over(in_order),
-        }
     )
-    seen = keep(seen)
-    changed = differs([F.col(v) for v in values], [F.col(n) for n in before.values()])
-    columns = [*key, "batch", *values, "rows"]
-    later = seen.filter("_nth > 1").select(
-        *columns, F.when(changed, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED)).alias("action")
+    before = target.select(*key, F.lit(0).cast("long").alias("batch"), *values, F.lit(0).cast("long").alias("rows"))
+    states = (
+        staged_versions.unionByName(before)
+        .groupBy(*key, int_div(F.col("batch"), SPAN).alias("_span"))
+        .agg(F.array_sort(F.collect_list(version("rows"))).alias("_versions"))
     )
 
-    across = Window.partitionBy(*key).orderBy("_span")
-    starts = seen.filter("_nth = 1").withColumns(
-        {
-            **{n: F.lag(f"_end_{v}").over(across) for v, n in before.items()},
-            "_nth": F.row_number().over(across),
-        }
+    def action(new: Column, old: Column) -> Column:
+        changed = differs([new[v] for v in values], [old[v] for v in values])
+        return F.when(old.isNull(), F.lit(INSERTED)).when(changed, F.lit(UPDATED)).otherwise(F.lit(UNCHANGED))
+
+    def compared(versions: Column, first: Column) -> Column:
+        """The versions with their action; `first` is what the first one is compared with."""
+        return F.transform(
+            versions,
+            lambda x, i: F.struct(
+                x.alias("version"), action(x, F.when(i == 0, first).otherwise(F.get(versions, i - 1))).alias("action")
+            ),
+        )
+
+    none = F.lit(None).cast(states.schema["_versions"].dataType.elementType)
+    # The first span of a key starts from nothing or from version 0; of later ones all but the first version is known here.
+    known = states.select(*key, "_span", F.explode(compared(F.col("_versions"), none)).alias("_x"), F.get("_versions", F.lit(0)).alias("_first"))
+    inside = known.where("_span = 0 or _x.version.batch <> _first.batch")
+    ends = states.groupBy(*key).agg(
+        F.array_sort(
+            F.collect_list(
+                F.struct("_span", F.get("_versions", F.lit(0)).alias("first"), F.element_at("_versions", -1).alias("last"))
+            )
+        ).alias("_spans")
     )
-    current = target.select(
-        *key, *[F.col(v).alias(f"_target_{v}") for v in values], F.lit(True).alias("_present")
+    heads = ends.where(F.element_at("_spans", -1)["_span"] > 0).select(
+        *key,
+        F.explode(
+            F.transform(
+                "_spans",
+                lambda x, i: F.struct(
+                    x["_span"].alias("span"),
+                    x["first"].alias("version"),
+                    action(x["first"], F.get("_spans", i - 1)["last"]).alias("action"),
+                ),
+            )
+        ).alias("_x"),
     )
-    is_first = F.col("_nth") == 1
-    resolved = starts.join(current, key, "left").withColumns(
-        {n: F.when(is_first, F.col(f"_target_{v}")).otherwise(F.col(n)) for v, n in before.items()}
+    rows = inside.select(*key, "_x.version", "_x.action").unionByName(
+        heads.where("_x.span > 0").select(*key, "_x.version", "_x.action")
     )
-    first = resolved.select(
-        *columns,
-        F.when(is_first & F.col("_present").isNull(), F.lit(INSERTED))
-        .when(changed, F.lit(UPDATED))
-        .otherwise(F.lit(UNCHANGED))
-        .alias("action"),
+    return rows.where("version.batch > 0").select(
+        *key, "version.batch", *[F.col("version")[v].alias(v) for v in values], "version.rows", "action"
     )
-    return later.unionByName(first)
 
 
-def batch_metrics(actions: DataFrame, keep: Keep = lambda frame: frame) -> DataFrame:
-    """Per batch: rows, inserted, updated and the running totals; `keep` as above for the batches."""
+def batch_metrics(actions: DataFrame) -> DataFrame:
+    """Per batch: rows, inserted, updated and the running totals."""
     per_batch = actions.groupBy("batch").agg(
         F.count_if(F.col("action") == INSERTED).alias("inserted"),
         F.count_if(F.col("action") == UPDATED).alias("updated"),
         F.sum("rows").alias("rows"),
     )
     return running_sums(
-        keep(per_batch),
+        per_batch,
         "batch",
         {
             "total_inserted": F.col("inserted"),

@@ -74,33 +74,37 @@ def first_rows(rows: DataFrame, order: str, count: int) -> DataFrame:
 
 
 def sample_rows(
-    rows: DataFrame, key: list[str], count: int, seed: int = 0, hashed: Hash = fast_hash
+    rows: DataFrame, key: list[str], count: int | Column, seed: int = 0, hashed: Hash = fast_hash
 ) -> DataFrame:
     """Exactly `count` rows in hash order of a unique key (all, if there are fewer).
 
-    Hashes are cut into 65,536 even ranges. Whole ranges are kept or dropped by
-    a table of range counts, whose size is fixed; only the range in which the
-    limit falls is ordered.
+    The last row to keep is looked up among the keys, and one filter over the rows
+    follows: nothing is joined or shuffled but keys. The look-up cuts the hashes into
+    65,536 even ranges, then the one in which the limit falls into 65,536 again; only
+    what shares 32 bits with the limit is ordered.
     """
-    ranged = rows.withColumn("_hash", F.expr(hashed(*key, seed=seed))).withColumn(
-        "_range", F.shiftright("_hash", HASH_BITS - SAMPLE_BITS)
-    )
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        ranged.groupBy("_range")
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .withColumn("_left", F.lit(count) - F.coalesce(F.sum("_rows").over(before), F.lit(0)))
-        .filter("_left > 0")
-    )
-    # At most 2^16 rows of three numbers.
-    kept = ranged.join(F.broadcast(ranges), "_range")
-    in_order = Window.partitionBy("_range").orderBy("_hash", *key)
-    edge = (
-        kept.filter("_rows > _left")
-        .withColumn("_rank", F.row_number().over(in_order))
-        .filter("_rank <= _left")
-    )
-    return kept.filter("_rows <= _left").select(*rows.columns).unionByName(edge.select(*rows.columns))
+    place = F.struct(F.expr(hashed(*key, seed=seed)).alias("_hash"), *key)
+    count = count if isinstance(count, Column) else F.lit(count)
+    last = _row_at(rows.select(place.alias("_place")), count).scalar()
+    return rows.filter(F.coalesce(place <= last, count > 0))
+
+
+def _row_at(places: DataFrame, count: Column) -> DataFrame:
+    """The place with exactly `count` places up to it, as one row; none if there are fewer."""
+    for level in (1, 2):
+        ranged = places.withColumn("_range", F.shiftright("_place._hash", HASH_BITS - level * SAMPLE_BITS))
+        if level == 1:
+            counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows")).withColumn("_left", count)
+        else:
+            counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"), F.first("_left").alias("_left"))
+        # At most 2^16 ranges of three numbers.
+        before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+        edge = counts.withColumn("_left", F.col("_left") - F.coalesce(F.sum("_rows").over(before), F.lit(0))).filter(
+            "_left > 0 and _left <= _rows"
+        )
+        places = ranged.drop("_left").join(F.broadcast(edge.select("_range", "_left")), "_range").drop("_range")
+    in_order = Window.orderBy("_place")
+    return places.withColumn("_rank", F.row_number().over(in_order)).filter("_rank = _left").select("_place")
 
 
 def hash_order(rows: DataFrame, key: list[str], seed: int = 0) -> DataFrame:

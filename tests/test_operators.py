@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import appending, datasets, dedup, history, merging, ordering, reporting
+from tidemark.operators import appending, datasets, dedup, history, merging, ordering, reporting, spacing
 from tidemark.schemas import KEY
 from tidemark.sources import notifications
 
@@ -291,3 +291,47 @@ def test_notifications(spark):
         "message is no text": ["s3://b/body.parquet"],
         "two": ["s3://b/1.parquet", "s3://c/2.parquet"],
     }
+
+
+@pytest.mark.parametrize("block", [1, 2, 5, 4096])
+def test_spaced_rows(spark, block, monkeypatch):
+    monkeypatch.setattr(spacing, "BLOCK", block)
+    rnd = random.Random(block)
+    base = dt.datetime(2024, 3, 1)
+    data = [(r, base + dt.timedelta(seconds=round(rnd.random() * 90, 1) + 400 * (rnd.random() < 0.1)), n) for r in "ab" for n in range(150)]
+    data += [("c", base, 1), ("c", base, 0), ("d", None, 5), ("a", dt.datetime(1969, 12, 31), 6)]
+    rows = spark.createDataFrame(data, "run string, ts timestamp, n long")
+    wanted = set()
+    for run in "abcd":
+        last = None
+        for t, n in sorted((t, n) for r, t, n in data if r == run and t):
+            if last is None or t - last >= dt.timedelta(seconds=2.5):
+                wanted.add((run, t, n))
+                last = t
+    assert {tuple(r) for r in spacing.spaced(rows.repartition(3), "ts", 2.5, "n", "run").collect()} == wanted
+    assert spacing.spaced(rows.limit(0), "ts", 2.5, "n").count() == 0
+
+
+def test_await_conditions(spark):
+    runs = {
+        "merged": [0, 5, 5, 3, 2, 1, 1, 0, 0],
+        "early": [0, 0, 0, 7, 7, 7, 7, 9],
+        "never": [0] * 3,
+        "late": [0] * 4 + [1] * 9,
+        "out": [n + 1 for n in range(9)],
+    }
+    rows = [(r, 5 * i, n) for r, counts in runs.items() for i, n in enumerate(counts)]
+    found = reporting.await_conditions(spark.createDataFrame(rows, "run_id string, elapsed long, staging long"), settle=10, arrive=20, give_up=45, limit=3)
+    assert {r.run_id: (r.arrived, r.ended, r.outcome) for r in found.collect()} == {
+        "merged": (5, 35, "merged"),
+        "early": (15, 30, "stuck"),
+        "never": (None, None, "timeout"),
+        "late": (None, 15, "merged"),
+        "out": (0, None, "timeout"),
+    }
+
+
+def test_last_values(spark):
+    rows = spark.createDataFrame([(2, 5, None), (1, 9, 3.0), (3, 7, 2.0)], "batch long, total long, ms double")
+    assert tuple(reporting.last_values(rows, ["total", "ms"]).first()) == (7, 2.0)
+    assert tuple(reporting.last_values(rows.limit(0), ["total", "ms"]).first()) == (0, 0.0)

@@ -35,9 +35,10 @@ def batch_number(position: Column, batch_size: int) -> Column:
     return int_div(position - 1, batch_size) + 1
 
 
-def update_share(rows: int, ratio_percent: int) -> tuple[int, int]:
+def update_share(rows: int | Column, ratio_percent: int) -> tuple:
     """How many of `rows` are updates and inserts; the updates are truncated."""
-    updates = rows * ratio_percent // 100
+    whole = isinstance(rows, Column)
+    updates = update_share_column(rows, ratio_percent) if whole else rows * ratio_percent // 100
     return updates, rows - updates
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.keys import (
@@ -108,7 +108,7 @@ def random_records(
 def unique_records(
     rows: DataFrame,
     row_id: str,
-    count: int,
+    count: int | Column,
     anchor: str,
     accounts: int = 10_000,
     days_back: int = 30,
@@ -138,7 +138,7 @@ def used_keys(first: DataFrame, second: DataFrame, key: list[str] = KEY) -> Data
 def change_set(
     existing: DataFrame,
     candidates: DataFrame,
-    rows: int,
+    rows: int | Column,
     update_percent: int,
     key: list[str] = KEY,
     seed: int = 0,

@@ -113,12 +113,47 @@ def elapsed(metrics: DataFrame, ts: str, run: str) -> DataFrame:
     )
 
 
-def downsample(rows: DataFrame, ts: str, values: list[str], bucket: str = "2 seconds") -> DataFrame:
-    """First row of every fixed time bucket."""
-    return (
-        rows.groupBy(F.window(ts, bucket).alias("_bucket"))
-        .agg(F.min(ts).alias(ts), *[F.min_by(v, ts).alias(v) for v in values])
-        .drop("_bucket")
+def last_values(metrics: DataFrame, columns: list[str], order: str = "batch") -> DataFrame:
+    """The columns of the last batch in one row, 0 without batches."""
+    return metrics.agg(
+        *[F.coalesce(F.max_by(c, order), F.lit(0).cast(metrics.schema[c].dataType)).alias(c) for c in columns]
+    )
+
+
+def await_conditions(
+    snapshots: DataFrame,
+    order: str = "elapsed",
+    run: str = "run_id",
+    arrive: int = 120,
+    settle: int = 30,
+    give_up: int = 600,
+    limit: int = 12,
+) -> DataFrame:
+    """Per run: when data arrived and how the monitor ended, from its snapshots.
+
+    `arrived` is the first time before `arrive` with rows in staging, else null. The
+    monitor ends at the first snapshot before `give_up` with an empty staging table later
+    than `settle` (merged) or with `limit` equal counts in a row (stuck), else as timeout.
+    """
+    before = F.col(order) < give_up
+    merged = before & (F.col("staging") == 0) & (F.col(order) > settle)
+    stuck = before & F.col("is_stuck")
+    ended = (
+        stagnation(snapshots, order, run, limit)
+        .groupBy(run)
+        .agg(
+            F.min(F.when((F.col(order) < arrive) & (F.col("staging") > 0), F.col(order))).alias("arrived"),
+            F.min(F.when(merged | stuck, F.struct(order, merged.alias("merged")))).alias("_end"),
+        )
+    )
+    return ended.select(
+        run,
+        "arrived",
+        F.col("_end")[order].alias("ended"),
+        F.when(F.col("_end").isNull(), F.lit("timeout"))
+        .when(F.col("_end.merged"), F.lit("merged"))
+        .otherwise(F.lit("stuck"))
+        .alias("outcome"),
     )
 
 

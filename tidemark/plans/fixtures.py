@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.numbers import int_div
 from tidemark.operators.dedup import last_per_key
 from tidemark.operators.merging import collapse
 from tidemark.schemas import KEY, VALUES
@@ -17,6 +18,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def no_rows(spark: SparkSession, schema: T.StructType) -> DataFrame:
+    return spark.createDataFrame([], schema)
+
+
 def run_ts() -> Column:
     return F.lit(RUN_TS).cast("timestamp_ntz")
 
@@ -48,6 +53,11 @@ def custody_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def share(rows: DataFrame, part: int) -> Column:
+    """The number of rows divided by `part`, as a scalar subquery."""
+    return rows.agg(int_div(F.count(F.lit(1)), part).alias("n")).scalar()
+
+
 def half(events: DataFrame) -> Column:
     """Half of the highest `seq`, as a scalar subquery."""
     return F.shiftright(events.agg(F.max("seq").alias("m")).scalar(), 1)

@@ -5,14 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import uuid
 
-from pyspark.sql import DataFrame, Row, Window
+from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import DEFAULT_RULES, Rule
-from tidemark.operators.appending import file_states
+from tidemark.operators.appending import bucket_of, file_lengths, file_states, manifest, not_landed, plain_path
 from tidemark.operators.dedup import (
     mark_repeats,
-    piece_of,
     possible_repeats,
     repeated_pieces,
     with_digest_in,
@@ -26,11 +25,11 @@ from tidemark.operators.routing import (
     flag,
     typed,
 )
-from tidemark.plans.store import LEDGER, Store
+from tidemark.plans.store import COMMITS, Store
 from tidemark.schemas import STAGING
 from tidemark.sources.footers import footers, scan_mixed
 
-# A file list is broadcast up to this many bytes of paths; see `_with_manifest`.
+# A file list is broadcast up to this many bytes of paths; see `not_landed`.
 BROADCAST_BYTES = 64 << 20
 DUPLICATE_KEY = ["source_file", "record_hash"]
 
@@ -59,20 +58,23 @@ def ingest_files(
     batch = last + 1
 
     # 1. The files of this run, written first: the broadcast below may then rely
-    #    on their real number, and the data is not needed for it.
-    ledger_path = store.path("ledger", ingest_batch=batch)
-    _manifest(rows, store.ledger(), next_seq).write.mode("overwrite").parquet(ledger_path)
-    manifest = spark.read.schema(LEDGER).parquet(ledger_path).drop("ingest_batch")
-    size = manifest.agg(
+    #    on their real number, and the data is not needed for it. Of the ledger,
+    #    only the buckets of these files are read.
+    files_path = store.path("work", ingest_batch=batch, step="files")
+    file_lengths(rows).write.mode("overwrite").parquet(files_path)
+    files = spark.read.parquet(files_path)
+    buckets = [r["bucket"] for r in files.select("bucket").distinct().collect()]
+    store.write_ledger(manifest(files, store.ledger(buckets), next_seq), batch)
+    listed = store.ledger_of(batch, buckets).drop("ingest_batch")
+    size = listed.agg(
         F.count(F.lit(1)).alias("files"),
         F.coalesce(F.sum(F.length("source_file") + 64), F.lit(0)).alias("bytes"),
-        F.coalesce(F.sum(F.greatest(F.col("file_rows") - F.col("first_new"), F.lit(0))), F.lit(0)).alias("rows"),
         F.coalesce(F.max(F.col("file_start") + F.col("file_rows")), F.lit(next_seq)).alias("next_seq"),
     ).first()
 
     # 2. Repeats inside a file. There are usually none, and then the large pass
     #    below has no shuffle at all.
-    new = _with_manifest(rows, manifest, size["bytes"])
+    new = not_landed(rows, listed, small=size["bytes"] <= BROADCAST_BYTES)
     checked = flag(new, rules, hash_text)
     repeats = _repeats(store, checked, batch) if check_duplicates else None
     if repeats is None:
@@ -80,12 +82,21 @@ def ingest_files(
     else:
         marked = mark_repeats(checked, repeats, DUPLICATE_KEY, "row_number")
 
-    # 3. One pass over the data lands good and bad rows together.
+    # 3. One pass over the data lands good and bad rows together and counts them.
+    #    The write has no shuffle behind it, so every task counts once.
     landed_path = store.path("landed", ingest_batch=batch)
-    _landed(marked, rules, batch_id, run_ts).write.mode("overwrite").partitionBy("outcome").parquet(landed_path)
+    counted = Observation(f"landed {batch}")
+    staged = F.col("outcome") == STAGED
+    repeated = ~staged & (F.col("error_reason") == DUPLICATE_REASON)
+    _landed(marked, rules, batch_id, run_ts).observe(
+        counted,
+        F.count(F.lit(1)).alias("rows"),
+        F.count_if(staged).alias("valid"),
+        F.count_if(repeated).alias("duplicate"),
+    ).write.mode("overwrite").partitionBy("outcome").parquet(landed_path)
 
-    # 4. Counters from what was landed, in one row: the commit.
-    _commit_row(store, landed_path, batch_id, size, before).coalesce(1).write.mode("overwrite").parquet(
+    # 4. The counters, in one row: the commit.
+    _commit_row(store, counted.get, batch_id, size, before).coalesce(1).write.mode("overwrite").parquet(
         store.path("commits", ingest_batch=batch)
     )
     return batch
@@ -114,8 +125,9 @@ def ingest_listed(
     tried = states.select(F.col("source_file").alias("path"), "status")
     names = listed.select("path").distinct()
     if "file_time" in listed.columns:
-        landed = store.ledger().select(_plain("source_file").alias("path"), "file_time").distinct()
-        known = listed.select("path", "file_time", _plain("path").alias("_plain"))
+        buckets = [r[0] for r in listed.select(bucket_of("path")).distinct().collect()]
+        landed = store.ledger(buckets).select(plain_path("source_file").alias("path"), "file_time").distinct()
+        known = listed.select("path", "file_time", plain_path("path").alias("_plain"))
         same = (known["_plain"] == landed["path"]) & (known["file_time"] == landed["file_time"])
         names = known.join(landed, same, "left_anti").select("path").distinct()
     again = tried.where("status = 'retry'").select("path")
@@ -142,54 +154,6 @@ def ingest_listed(
     return batch
 
 
-def _plain(column: str):
-    """A local path in one spelling."""
-    return F.regexp_replace(column, "^file:/+", "file:/")
-
-
-def _manifest(rows: DataFrame, ledger: DataFrame, next_seq: int) -> DataFrame:
-    """Per file: rows, first row not landed before, and where its `seq` starts.
-
-    Counting reads no data column. The window orders the file list of one run,
-    which the driver has listed already, by file time and path.
-    """
-    files = rows.groupBy("source_file", "file_time").agg(
-        (F.max("row_number") + 1).alias("file_rows")
-    )
-    landed_before = ledger.groupBy("source_file").agg(F.max("file_rows").alias("_seen"))
-    in_order = Window.orderBy("file_time", "source_file").rowsBetween(Window.unboundedPreceding, -1)
-    return files.join(landed_before, "source_file", "left").select(
-        "source_file",
-        "file_time",
-        "file_rows",
-        F.coalesce("_seen", F.lit(0)).alias("first_new"),
-        (F.lit(next_seq) + F.coalesce(F.sum("file_rows").over(in_order), F.lit(0))).alias("file_start"),
-    )
-
-
-def _with_manifest(rows: DataFrame, manifest: DataFrame, manifest_bytes: int) -> DataFrame:
-    """Only rows not landed before, with their `seq`.
-
-    A small file list is broadcast. A long one is joined by file and piece of
-    the file, so that one huge file does not end up in one task.
-    """
-    columns = manifest.select("source_file", "file_rows", "first_new", "file_start")
-    if manifest_bytes <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(columns), "source_file")
-    else:
-        pieces = columns.withColumn(
-            "_piece", F.explode(F.sequence(F.lit(0).cast("long"), piece_of(F.col("file_rows"))))
-        )
-        joined = rows.withColumn("_piece", piece_of(F.col("row_number"))).join(
-            pieces, ["source_file", "_piece"]
-        ).drop("_piece")
-    return (
-        joined.filter(F.col("row_number") >= F.col("first_new"))
-        .withColumn("seq", F.col("file_start") + F.col("row_number"))
-        .drop("file_rows", "first_new", "file_start")
-    )
-
-
 def _repeats(store: Store, checked: DataFrame, batch: int) -> DataFrame | None:
     """Pieces with repeats, or None. Both steps are written, so that the next
     one knows whether its smaller side may be broadcast."""
@@ -233,20 +197,18 @@ def _landed(marked: DataFrame, rules: list[Rule], batch_id: str, run_ts: dt.date
     )
 
 
-def _commit_row(store: Store, landed_path: str, batch_id: str, size: Row, before: Row) -> DataFrame:
-    landed = store.spark.read.schema(
-        "outcome string, error_reason string"
-    ).parquet(landed_path)
-    staged = F.col("outcome") == STAGED
-    repeated = ~staged & (F.col("error_reason") == DUPLICATE_REASON)
-    return landed.agg(
-        F.lit(batch_id).alias("batch_id"),
-        F.lit(size["files"]).cast("long").alias("files"),
-        F.count(F.lit(1)).alias("rows"),
-        F.count_if(staged).alias("valid"),
-        F.count_if(~staged & ~repeated).alias("invalid"),
-        F.count_if(repeated).alias("duplicate"),
-        F.lit(size["next_seq"]).cast("long").alias("next_seq"),
-        (F.count_if(staged) + before["total_valid"]).alias("total_valid"),
-        (F.count_if(~staged) + before["total_rejected"]).alias("total_rejected"),
-    )
+def _commit_row(store: Store, counted: dict, batch_id: str, size: Row, before: Row) -> DataFrame:
+    rows, valid, duplicate = (counted.get(n) or 0 for n in ("rows", "valid", "duplicate"))
+    values = {
+        "batch_id": batch_id,
+        "files": size["files"],
+        "rows": rows,
+        "valid": valid,
+        "invalid": rows - valid - duplicate,
+        "duplicate": duplicate,
+        "next_seq": size["next_seq"],
+        "total_valid": before["total_valid"] + valid,
+        "total_rejected": before["total_rejected"] + rows - valid,
+    }
+    types = {f.name: f.dataType for f in COMMITS}
+    return store.spark.range(1).select(*[F.lit(v).cast(types[n]).alias(n) for n, v in values.items()])

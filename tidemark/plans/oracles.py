@@ -188,7 +188,7 @@ def merged(key: list[str]) -> str:
     FROM tgt t FULL JOIN col s ON {on}"""
 
 
-def sampled(source: str, count: int, seed: int, kind: str) -> str:
+def sampled(source: str, count: str, seed: int, kind: str) -> str:
     return f"""
     SELECT account_id, asset_id, reference_date, '{kind}' AS kind
     FROM (SELECT *, row_number() OVER (ORDER BY {hash60(KEY_TEXT, seed)}, account_id, asset_id, reference_date) AS nth
@@ -372,15 +372,15 @@ ORACLES: dict[str, str] = {
     "unique_rows": f"""
         WITH spots AS (SELECT DISTINCT {hash60('event_id', 0)} % 12400 AS position FROM events),
         keyed AS (SELECT {digits('position')} FROM spots),
-        kept AS ({sampled('keyed', 3000, 0, 'any')})
+        kept AS ({sampled('keyed', '(SELECT count(*) // 3 FROM events)', 0, 'any')})
         SELECT {key_out('kept')}, {uniform(10, 10_000, 10_000, KEY_TEXT, 1)} AS quantity,
                {uniform(100, 1_000_000, 100, KEY_TEXT, 2)} AS amount FROM kept""",
     "change_set": f"""
         WITH {sides()}, {FRESH},
-        kept AS ({sampled('tgt', 1200, 0, 'update')} UNION ALL {sampled('fresh', 800, 0, 'insert')})
+        kept AS ({sampled('tgt', '(SELECT count(*) // 4 * 60 // 100 FROM staged)', 0, 'update')} UNION ALL {sampled('fresh', '(SELECT count(*) // 4 - count(*) // 4 * 60 // 100 FROM staged)', 0, 'insert')})
         SELECT {key_out('kept')}, kind, {uniform(10, 10_000, 10_000, KEY_TEXT, 1)} AS quantity,
                {uniform(100, 1_000_000, 100, KEY_TEXT, 2)} AS amount FROM kept""",
-    "sample_keys": f"WITH {sides()}, kept AS ({sampled('tgt', 1000, 7, 'any')}) SELECT {key_out('kept')} FROM kept",
+    "sample_keys": f"WITH {sides()}, kept AS ({sampled('tgt', '(SELECT count(*) // 5 FROM tgt)', 7, 'any')}) SELECT {key_out('kept')} FROM kept",
     "next_batch": f"""
         WITH {EVENTS} SELECT seq, {key_out('ev')}, {num_out('ev')} FROM ev ORDER BY seq LIMIT 2000""",
     "inserted_rows": f"""
@@ -444,8 +444,36 @@ ORACLES: dict[str, str] = {
                  / CAST(1000000 AS DOUBLE) AS elapsed
         FROM events""",
     "downsample": """
-        SELECT CAST(min(ts) AS VARCHAR) AS ts, arg_min(event_id, ts) AS event_id, arg_min(value, ts) AS value
-        FROM events GROUP BY date_trunc('hour', ts)""",
+        WITH RECURSIVE kept AS (
+          SELECT min(ts) AS ts FROM events
+          UNION ALL
+          SELECT (SELECT min(ts) FROM events WHERE ts >= kept.ts + INTERVAL 1 HOUR) FROM kept WHERE ts IS NOT NULL)
+        SELECT CAST(ts AS VARCHAR) AS ts, min(event_id) AS event_id, arg_min(value, event_id) AS value
+        FROM kept JOIN events USING (ts) GROUP BY ts""",
+    "await_conditions": """
+        WITH snap AS (
+          SELECT CAST(ts AS DATE) AS run_id, 5 * (extract(hour FROM ts) * 4 + extract(minute FROM ts) // 15) AS elapsed,
+                 count(*) // 10 AS staging
+          FROM events GROUP BY 1, 2),
+        marked AS (
+          SELECT *, CASE WHEN staging = lag(staging) OVER w AND staging <> 0 THEN 0 ELSE 1 END AS restart
+          FROM snap WINDOW w AS (PARTITION BY run_id ORDER BY elapsed)),
+        streaks AS (SELECT *, sum(restart) OVER (PARTITION BY run_id ORDER BY elapsed) AS streak FROM marked),
+        ending AS (
+          SELECT *, elapsed < 400 AND staging = 0 AND elapsed > 30 AS merged,
+                 elapsed < 400 AND row_number() OVER (PARTITION BY run_id, streak ORDER BY elapsed) > 4 AS stuck
+          FROM streaks),
+        found AS (
+          SELECT run_id, min(elapsed) FILTER (elapsed < 120 AND staging > 0) AS arrived,
+                 min(elapsed) FILTER (merged) AS m, min(elapsed) FILTER (stuck) AS s
+          FROM ending GROUP BY run_id)
+        SELECT CAST(run_id AS VARCHAR) AS run_id, CAST(arrived AS BIGINT) AS arrived, CAST(least(m, s) AS BIGINT) AS ended,
+               CASE WHEN m IS NULL AND s IS NULL THEN 'timeout' WHEN m <= coalesce(s, m) THEN 'merged' ELSE 'stuck' END
+                 AS outcome
+        FROM found""",
+    "last_metrics": f"""
+        WITH {HISTORY}
+        SELECT batch, total_processed, batch_time_ms, inserted, updated FROM timed ORDER BY batch DESC LIMIT 1""",
     "stagnation": """
         WITH snap AS (
           SELECT CAST(ts AS DATE) AS run_id, extract(hour FROM ts) AS elapsed, count(*) // 10 AS staging

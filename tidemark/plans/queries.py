@@ -21,11 +21,12 @@ from tidemark.operators import (
     ordering,
     reporting,
     routing,
+    spacing,
 )
 from tidemark.plans import fixtures as X
 from tidemark.plans.ingest import ingest_files, ingest_listed
 from tidemark.plans.merge import merge_pending, seed_principal
-from tidemark.plans.store import Store
+from tidemark.plans.store import LEDGER, Store
 from tidemark.schemas import KEY, VALUES
 from tidemark.session import scratch_dir
 from tidemark.sources import files, notifications
@@ -178,10 +179,12 @@ def _with_files(events: DataFrame) -> DataFrame:
 
 @registered
 def staging_append(spark, sf_dir):
-    """Rows after the first quarter, less those of the first half."""
-    existing = _with_files(X.events_until_half(spark, sf_dir))
-    new = appending.not_yet_present(_with_files(X.staged(spark, sf_dir)), existing)
-    return new.select(
+    """Rows after the first quarter, less those of the first half: the ledger has these files up to there."""
+    landed = _with_files(X.events_until_half(spark, sf_dir)).withColumn("file_time", F.lit(RUN_TIME))
+    rows = _with_files(X.staged(spark, sf_dir)).drop("seq").withColumn("file_time", F.lit(RUN_TIME))
+    ledger = appending.manifest(appending.file_lengths(landed), X.no_rows(spark, LEDGER))
+    listed = appending.manifest(appending.file_lengths(rows), ledger)
+    return appending.not_landed(rows, listed, small=False).select(
         F.lit("run-1").alias("batch_id"), "source_file", "row_number", *KEY, *VALUES
     )
 
@@ -299,24 +302,23 @@ def random_rows(spark, sf_dir):
 
 @registered
 def unique_rows(spark, sf_dir):
-    """3,000 records without a repeated key, every event is one attempt."""
-    return datasets.unique_records(
-        X.custody_events(spark, sf_dir), "seq", 3000, ANCHOR, accounts=20, hashed=portable_hash
-    )
+    """Records without a repeated key, a third as many as events; every event is one attempt."""
+    events = X.custody_events(spark, sf_dir)
+    return datasets.unique_records(events, "seq", X.share(events, 3), ANCHOR, accounts=20, hashed=portable_hash)
 
 
 @registered
 def change_set(spark, sf_dir):
-    """2,000 records, 60 % of them on existing keys."""
-    return datasets.change_set(
-        X.target_values(spark, sf_dir), X.staged(spark, sf_dir), 2000, 60, hashed=portable_hash
-    )
+    """Records for a quarter of the staged rows, 60 % of them on existing keys."""
+    staged = X.staged(spark, sf_dir)
+    return datasets.change_set(X.target_values(spark, sf_dir), staged, X.share(staged, 4), 60, hashed=portable_hash)
 
 
 @registered
 def sample_keys(spark, sf_dir):
+    """A fifth of the keys."""
     keys = X.target_values(spark, sf_dir).select(*KEY)
-    return ordering.sample_rows(keys, KEY, 1000, seed=7, hashed=portable_hash)
+    return ordering.sample_rows(keys, KEY, X.share(keys, 5), seed=7, hashed=portable_hash)
 
 
 @registered
@@ -461,9 +463,9 @@ def elapsed(spark, sf_dir):
 
 @registered
 def downsample(spark, sf_dir):
-    """First event of every hour."""
+    """Events an hour or more apart, from the first on."""
     rows = X.table(spark, sf_dir, "events").select("ts", "event_id", "value")
-    return reporting.downsample(rows, "ts", ["event_id", "value"], "1 hour")
+    return spacing.spaced(rows, "ts", 3600, "event_id")
 
 
 @registered
@@ -478,6 +480,28 @@ def stagnation(spark, sf_dir):
     return reporting.stagnation(snapshots, limit=3)
 
 
+@registered
+def await_conditions(spark, sf_dir):
+    """Events per quarter of an hour in tens, at times of 5 s, as the staging counts of a day."""
+    snapshots = (
+        X.table(spark, sf_dir, "events")
+        .selectExpr(
+            "cast(ts as date) as run_id",
+            "cast(extract(hour from ts) * 4 + extract(minute from ts) div 15 as bigint) * 5 as elapsed",
+        )
+        .groupBy("run_id", "elapsed")
+        .agg(int_div(F.count(F.lit(1)), 10).alias("staging"))
+    )
+    return reporting.await_conditions(snapshots, give_up=400, limit=4)
+
+
+@registered
+def last_metrics(spark, sf_dir):
+    """Totals and time of the last batch."""
+    columns = ["batch", "total_processed", "batch_time_ms", "inserted", "updated"]
+    return reporting.last_values(_timed_metrics(spark, sf_dir), columns)
+
+
 @registered
 def pipeline_counts(spark, sf_dir):
     tables = {

@@ -1,7 +1,7 @@
 """The folders of one deployment and what is visible in them.
 
     landed/ingest_batch=<n>/outcome=<staged|rejected>/   rows of one ingest run
-    ledger/ingest_batch=<n>/                             one row per file of the run
+    ledger/bucket=<b>/ingest_batch=<n>/                  one row per file of the run, by a hash of its name
     commits/ingest_batch=<n>/                            one row: the run is complete
     changes/snapshot=<r>/kind=<matched|fresh>/           what merge r decided per key
     principal/version=<r>/reference_date=<d>/            rows written by merge r
@@ -42,6 +42,7 @@ LEDGER = T.StructType(
         T.StructField("file_rows", T.LongType()),
         T.StructField("first_new", T.LongType()),
         T.StructField("file_start", T.LongType()),
+        T.StructField("bucket", T.IntegerType()),
         T.StructField("ingest_batch", T.LongType()),
     ]
 )
@@ -146,6 +147,19 @@ class Store:
         fs, hadoop_path = self._hadoop(path)
         fs.delete(hadoop_path, True)
 
+    def drop_all(self, pattern: str) -> list[str]:
+        """Deletes what a path pattern matches, in one listing; returns the paths."""
+        fs, hadoop_path = self._hadoop(pattern)
+        found = [status.getPath() for status in fs.globStatus(hadoop_path) or ()]
+        for path in found:
+            fs.delete(path, True)
+        return [path.toString() for path in found]
+
+    def names(self, folder: str) -> list[str]:
+        """Names below a folder."""
+        fs, hadoop_path = self._hadoop(folder)
+        return [status.getPath().getName() for status in fs.listStatus(hadoop_path)] if fs.exists(hadoop_path) else []
+
     def read(self, table: str, schema: T.StructType) -> DataFrame:
         """A table folder, or an empty frame before its first write."""
         path = self.path(table)
@@ -195,9 +209,30 @@ class Store:
         """Number of the last complete ingest run."""
         return self.newest("commits", "ingest_batch")
 
-    def ledger(self) -> DataFrame:
-        """Files of complete runs."""
-        return self.read("ledger", LEDGER).filter(F.col("ingest_batch") <= self.last_commit())
+    def ledger(self, buckets: list[int] | None = None) -> DataFrame:
+        """Files of complete runs; of the given buckets only, other folders are not even listed."""
+        if buckets is None:
+            rows = self.read("ledger", LEDGER)
+        else:
+            rows = self._ledger_folders([self.path("ledger", bucket=b) for b in buckets])
+        return rows.filter(F.col("ingest_batch") <= self.last_commit())
+
+    def ledger_of(self, batch: int, buckets: list[int]) -> DataFrame:
+        """The files of one run, complete or not."""
+        return self._ledger_folders([self.path("ledger", bucket=b, ingest_batch=batch) for b in buckets])
+
+    def _ledger_folders(self, paths: list[str]) -> DataFrame:
+        paths = [p for p in paths if self.exists(p)]
+        if not paths:
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).option("basePath", self.path("ledger")).parquet(*paths)
+
+    def write_ledger(self, files: DataFrame, batch: int) -> None:
+        """The files of a run, in place of what a failed run of that number left."""
+        self.drop_all(f"{self.path('ledger')}/bucket=*/ingest_batch={batch}")
+        files.withColumn("ingest_batch", F.lit(batch).cast("long")).write.mode("append").partitionBy(
+            "bucket", "ingest_batch"
+        ).parquet(self.path("ledger"))
 
     def landed(self) -> DataFrame:
         return self.read("landed", LANDED).filter(F.col("ingest_batch") <= self.last_commit())
@@ -301,13 +336,10 @@ class Store:
         """Deletes staged rows of merged runs. Their errors stay, and so does the
         ledger, which keeps the files from being taken again."""
         merged = self.last_merged()
-        purged = []
-        for batch in range(1, merged + 1):
-            folder = f"{self.path('landed', ingest_batch=batch)}/outcome={STAGED}"
-            if self.exists(folder):
-                self.drop(folder)
-                purged.append(batch)
-        return purged
+        runs = sorted(int(name.split("=")[1]) for name in self.names(self.path("landed")) if "=" in name)
+        return [
+            n for n in runs if n <= merged and self.drop_all(f"{self.path('landed', ingest_batch=n)}/outcome={STAGED}")
+        ]
 
     def purge_versions(self) -> list[int]:
         """Deletes principal versions that the current snapshot does not use."""

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.appending import file_states
 from tidemark.plans.ingest import ingest_files, ingest_listed
 from tidemark.plans.merge import merge_pending, seed_principal
-from tidemark.plans.store import Store
+from tidemark.plans.store import RunExists, Store
 from tidemark.sources.files import listed_files, scan, scan_nanoseconds
 from tidemark.streaming.queries import await_batches, ingest_stream, merge_stream
 
@@ -140,6 +140,40 @@ def test_failed_run_is_invisible_and_repeatable(spark, tmp_path):
     assert principal(store) == done
 
 
+def test_two_writers_lose_no_row(spark, tmp_path, monkeypatch):
+    """A second writer commits the same number while the first one is at work."""
+    golden.write(spark, golden.FILE[:10], tmp_path / "a")
+    golden.write(spark, golden.FILE[10:], tmp_path / "b")
+    first, second = (Store(spark, str(tmp_path / "store")) for _ in "ab")
+    publish = Store.publish
+
+    def late(store, written, batch):
+        if store is first and second.last_commit() == 0:
+            assert ingest_files(second, scan(spark, str(tmp_path / "b")), run_ts=T0) == 1
+        publish(store, written, batch)
+
+    monkeypatch.setattr(Store, "publish", late)
+    with pytest.raises(RunExists):
+        ingest_files(first, scan(spark, str(tmp_path / "a")), run_ts=T0)
+    assert (first.staging().count(), first.errors().count(), first.ledger().count()) == (10, 4, 1)
+    assert ingest_files(first, scan(spark, str(tmp_path / "a")), run_ts=T0) == 2
+    assert (first.staging().count(), first.errors().count()) == (20, 4)
+    assert first.commits().agg(F.sum("valid")).first()[0] == 20 == first.commit(2).total_valid
+
+
+def test_ledger_reads_the_buckets_of_the_run_only(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    for n in range(3):
+        golden.write(spark, golden.FILE[:2], tmp_path / f"{n}")
+        ingest_files(store, scan(spark, str(tmp_path / f"{n}")), run_ts=T0)
+    rows = store.ledger().collect()
+    assert len(rows) == 3 and all(r.file_rows == 2 and r.first_new == 0 for r in rows)
+    one = store.ledger([rows[0].bucket])
+    assert {r.bucket for r in one.collect()} == {rows[0].bucket}
+    assert all(f"bucket={rows[0].bucket}/" in f for f in one.inputFiles() if "/ledger/" in f)
+    assert store.ledger([]).count() == 0
+
+
 def test_appended_and_rewritten_dates(spark, tmp_path, monkeypatch):
     monkeypatch.setattr("tidemark.plans.merge.MAX_VERSIONS", 2)
     store = Store(spark, str(tmp_path / "store"))

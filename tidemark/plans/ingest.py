@@ -25,7 +25,7 @@ from tidemark.operators.routing import (
     flag,
     typed,
 )
-from tidemark.plans.store import COMMITS, Store
+from tidemark.plans.store import COMMITS, RunExists, Store
 from tidemark.schemas import STAGING
 from tidemark.sources.footers import footers, scan_mixed
 
@@ -47,7 +47,8 @@ def ingest_files(
 
     `rows` holds the five input columns with `source_file`, `file_time` and
     `row_number`. Rows of a file that an earlier run has landed are left out, so
-    a repeated run adds nothing.
+    a repeated run adds nothing. Raises RunExists if another writer commits a run
+    of the same number first; nothing is landed then.
     """
     spark = store.spark
     batch_id = batch_id or str(uuid.uuid4())
@@ -55,17 +56,18 @@ def ingest_files(
     last = store.last_commit()
     before = store.commit(last)
     next_seq = before["next_seq"]
-    batch = last + 1
+    batch, attempt = last + 1, uuid.uuid4().hex[:12]
+    work = {"ingest_batch": batch, "attempt": attempt}
 
     # 1. The files of this run, written first: the broadcast below may then rely
     #    on their real number, and the data is not needed for it. Of the ledger,
     #    only the buckets of these files are read.
-    files_path = store.path("work", ingest_batch=batch, step="files")
+    files_path = store.path("work", **work, step="files")
     file_lengths(rows).write.mode("overwrite").parquet(files_path)
     files = spark.read.parquet(files_path)
     buckets = [r["bucket"] for r in files.select("bucket").distinct().collect()]
-    store.write_ledger(manifest(files, store.ledger(buckets), next_seq), batch)
-    listed = store.ledger_of(batch, buckets).drop("ingest_batch")
+    store.write_ledger(manifest(files, store.ledger(buckets), next_seq), batch, attempt)
+    listed = store.ledger_of(batch, attempt, buckets).drop("ingest_batch", "attempt")
     size = listed.agg(
         F.count(F.lit(1)).alias("files"),
         F.coalesce(F.sum(F.length("source_file") + 64), F.lit(0)).alias("bytes"),
@@ -76,7 +78,7 @@ def ingest_files(
     #    below has no shuffle at all.
     new = not_landed(rows, listed, small=size["bytes"] <= BROADCAST_BYTES)
     checked = flag(new, rules, hash_text)
-    repeats = _repeats(store, checked, batch) if check_duplicates else None
+    repeats = _repeats(store, checked, work) if check_duplicates else None
     if repeats is None:
         marked = checked.withColumn("is_repeat", F.lit(False))
     else:
@@ -84,8 +86,8 @@ def ingest_files(
 
     # 3. One pass over the data lands good and bad rows together and counts them.
     #    The write has no shuffle behind it, so every task counts once.
-    landed_path = store.path("landed", ingest_batch=batch)
-    counted = Observation(f"landed {batch}")
+    landed_path = store.path("landed", **work)
+    counted = Observation(f"landed {batch} {attempt}")
     staged = F.col("outcome") == STAGED
     repeated = ~staged & (F.col("error_reason") == DUPLICATE_REASON)
     _landed(marked, rules, batch_id, run_ts).observe(
@@ -96,9 +98,14 @@ def ingest_files(
     ).write.mode("overwrite").partitionBy("outcome").parquet(landed_path)
 
     # 4. The counters, in one row: the commit.
-    _commit_row(store, counted.get, batch_id, size, before).coalesce(1).write.mode("overwrite").parquet(
-        store.path("commits", ingest_batch=batch)
-    )
+    row = _commit_row(store, counted.get, batch_id, size, before).withColumn("attempt", F.lit(attempt))
+    commit_path = store.path("work", **work, step="commit")
+    row.coalesce(1).write.mode("overwrite").partitionBy("attempt").parquet(commit_path)
+    try:
+        store.publish(commit_path, batch)
+    except RunExists:
+        store.give_up(batch, attempt)
+        raise
     return batch
 
 
@@ -154,19 +161,19 @@ def ingest_listed(
     return batch
 
 
-def _repeats(store: Store, checked: DataFrame, batch: int) -> DataFrame | None:
+def _repeats(store: Store, checked: DataFrame, work: dict) -> DataFrame | None:
     """Pieces with repeats, or None. Both steps are written, so that the next
     one knows whether its smaller side may be broadcast."""
     good = checked.filter("is_valid")
     content = ["source_file", *FIELDS]
-    digests_path = store.path("work", ingest_batch=batch, step="digests")
+    digests_path = store.path("work", **work, step="digests")
     possible_repeats(typed(good), content).write.mode("overwrite").parquet(digests_path)
     digests = store.spark.read.parquet(digests_path)
     if digests.isEmpty():
         return None
     candidates = good.select(*DUPLICATE_KEY, "row_number", *FIELDS)
     narrowed = with_digest_in(typed(candidates), digests, content)
-    pieces_path = store.path("work", ingest_batch=batch, step="pieces")
+    pieces_path = store.path("work", **work, step="pieces")
     repeated_pieces(narrowed, DUPLICATE_KEY, "row_number").write.mode("overwrite").parquet(pieces_path)
     return store.spark.read.parquet(pieces_path)
 

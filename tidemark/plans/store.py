@@ -1,8 +1,8 @@
 """The folders of one deployment and what is visible in them.
 
-    landed/ingest_batch=<n>/outcome=<staged|rejected>/   rows of one ingest run
-    ledger/bucket=<b>/ingest_batch=<n>/                  one row per file of the run, by a hash of its name
-    commits/ingest_batch=<n>/                            one row: the run is complete
+    landed/ingest_batch=<n>/attempt=<a>/outcome=<staged|rejected>/   rows of one ingest run
+    ledger/bucket=<b>/ingest_batch=<n>/attempt=<a>/      one row per file of the run, by a hash of its name
+    commits/ingest_batch=<n>/attempt=<a>/                one row: the run is complete
     changes/snapshot=<r>/kind=<matched|fresh>/           what merge r decided per key
     principal/version=<r>/reference_date=<d>/            rows written by merge r
     attempts/                                            files that could not be read
@@ -10,8 +10,11 @@
     metrics/snapshot=<r>/                                counters of merge r
 
 A run becomes visible through the last, single-file write (a commit or a
-snapshot), so a lost executor or driver leaves no half-visible run. A repeated
-run overwrites what its failed attempt left behind.
+snapshot), so a lost executor or driver leaves no half-visible run. Attempts at
+an ingest run have folders of their own, and a commit is written aside and moved
+to its place, which fails if there is one: of two writers with one number the
+second fails, and only the folders its commit names are read. A repeated merge
+overwrites what its failed attempt left behind.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import datetime as dt
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,6 +35,7 @@ LANDED = T.StructType(
     + [f for f in schemas.ERROR.fields if f.name in ("payload", "error_reason")]
     + [
         T.StructField("ingest_batch", T.LongType()),
+        T.StructField("attempt", T.StringType()),
         T.StructField("outcome", T.StringType()),
     ]
 )
@@ -44,6 +49,7 @@ LEDGER = T.StructType(
         T.StructField("file_start", T.LongType()),
         T.StructField("bucket", T.IntegerType()),
         T.StructField("ingest_batch", T.LongType()),
+        T.StructField("attempt", T.StringType()),
     ]
 )
 
@@ -59,6 +65,7 @@ COMMITS = T.StructType(
         T.StructField("total_valid", T.LongType()),
         T.StructField("total_rejected", T.LongType()),
         T.StructField("ingest_batch", T.LongType()),
+        T.StructField("attempt", T.StringType()),
     ]
 )
 
@@ -76,6 +83,10 @@ SNAPSHOTS = T.StructType(
 )
 
 
+class RunExists(RuntimeError):
+    """Another writer has committed a run of this number."""
+
+
 @dataclass(frozen=True)
 class Head:
     """The current snapshot."""
@@ -209,17 +220,39 @@ class Store:
         """Number of the last complete ingest run."""
         return self.newest("commits", "ingest_batch")
 
+    def publish(self, written: str, batch: int) -> None:
+        """Moves a written commit to its place; raises RunExists if the run has one."""
+        jvm = self.spark.sparkContext._jvm
+        target = self.path("commits", ingest_batch=batch)
+        self.make(self.path("commits"))
+        fs, hadoop_path = self._hadoop(target)
+        source = fs.makeQualified(self._hadoop(written)[1])
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(source.toUri(), self.spark._jsc.hadoopConfiguration())
+        kinds = jvm.org.apache.hadoop.fs.Options.Rename
+        options = self.spark.sparkContext._gateway.new_array(kinds, 1)
+        options[0] = kinds.NONE
+        try:
+            context.rename(source, fs.makeQualified(hadoop_path), options)
+        except Py4JJavaError as error:
+            if "FileAlreadyExists" in error.java_exception.getClass().getName() or self.exists(f"{target}/_SUCCESS"):
+                raise RunExists(f"ingest run {batch} was committed by another writer") from None
+            raise
+
+    def committed(self) -> DataFrame:
+        """(ingest_batch, attempt) of complete runs."""
+        return self.commits().filter(F.col("ingest_batch") <= self.last_commit()).select("ingest_batch", "attempt")
+
     def ledger(self, buckets: list[int] | None = None) -> DataFrame:
         """Files of complete runs; of the given buckets only, other folders are not even listed."""
         if buckets is None:
             rows = self.read("ledger", LEDGER)
         else:
             rows = self._ledger_folders([self.path("ledger", bucket=b) for b in buckets])
-        return rows.filter(F.col("ingest_batch") <= self.last_commit())
+        return rows.join(self.committed(), ["ingest_batch", "attempt"], "left_semi")
 
-    def ledger_of(self, batch: int, buckets: list[int]) -> DataFrame:
-        """The files of one run, complete or not."""
-        return self._ledger_folders([self.path("ledger", bucket=b, ingest_batch=batch) for b in buckets])
+    def ledger_of(self, batch: int, attempt: str, buckets: list[int]) -> DataFrame:
+        """The files of one attempt, complete or not."""
+        return self._ledger_folders([self.path("ledger", bucket=b, ingest_batch=batch, attempt=attempt) for b in buckets])
 
     def _ledger_folders(self, paths: list[str]) -> DataFrame:
         paths = [p for p in paths if self.exists(p)]
@@ -227,15 +260,32 @@ class Store:
             return self.spark.createDataFrame([], LEDGER)
         return self.spark.read.schema(LEDGER).option("basePath", self.path("ledger")).parquet(*paths)
 
-    def write_ledger(self, files: DataFrame, batch: int) -> None:
-        """The files of a run, in place of what a failed run of that number left."""
-        self.drop_all(f"{self.path('ledger')}/bucket=*/ingest_batch={batch}")
-        files.withColumn("ingest_batch", F.lit(batch).cast("long")).write.mode("append").partitionBy(
-            "bucket", "ingest_batch"
-        ).parquet(self.path("ledger"))
+    def write_ledger(self, files: DataFrame, batch: int, attempt: str) -> None:
+        numbered = files.withColumns({"ingest_batch": F.lit(batch).cast("long"), "attempt": F.lit(attempt)})
+        numbered.write.mode("append").partitionBy("bucket", "ingest_batch", "attempt").parquet(self.path("ledger"))
+
+    def give_up(self, batch: int, attempt: str) -> None:
+        """Deletes what an attempt has landed."""
+        self.drop(self.path("landed", ingest_batch=batch, attempt=attempt))
+        self.drop_all(f"{self.path('ledger')}/bucket=*/ingest_batch={batch}/attempt={attempt}")
+
+    def _landed_folders(self, first: int, last: int) -> list[str]:
+        """Folders of the committed attempts."""
+        found = []
+        for n in range(first, last + 1):
+            for name in self.names(self.path("commits", ingest_batch=n)):
+                if name.startswith("attempt="):
+                    found.append(f"{self.path('landed', ingest_batch=n)}/{name}")
+        return [p for p in found if self.exists(p)]
+
+    def _landed_between(self, first: int, last: int) -> DataFrame:
+        paths = self._landed_folders(first, last)
+        if not paths:
+            return self.spark.createDataFrame([], LANDED).drop("attempt")
+        return self.spark.read.schema(LANDED).option("basePath", self.path("landed")).parquet(*paths).drop("attempt")
 
     def landed(self) -> DataFrame:
-        return self.read("landed", LANDED).filter(F.col("ingest_batch") <= self.last_commit())
+        return self._landed_between(1, self.last_commit())
 
     def staging(self) -> DataFrame:
         """All good rows that were ever staged and not purged."""
@@ -243,12 +293,7 @@ class Store:
 
     def staged_between(self, first: int, last: int) -> DataFrame:
         """Good rows of the given runs; folders of other runs are not even listed."""
-        paths = [self.path("landed", ingest_batch=n) for n in range(first, last + 1)]
-        paths = [p for p in paths if self.exists(p)]
-        if not paths:
-            return self.spark.createDataFrame([], LANDED).transform(_staged)
-        reader = self.spark.read.schema(LANDED).option("basePath", self.path("landed"))
-        return _staged(reader.parquet(*paths))
+        return _staged(self._landed_between(first, last))
 
     def pending(self) -> DataFrame:
         """Staged rows that no merge has taken yet."""
@@ -338,7 +383,7 @@ class Store:
         merged = self.last_merged()
         runs = sorted(int(name.split("=")[1]) for name in self.names(self.path("landed")) if "=" in name)
         return [
-            n for n in runs if n <= merged and self.drop_all(f"{self.path('landed', ingest_batch=n)}/outcome={STAGED}")
+            n for n in runs if n <= merged and self.drop_all(f"{self.path('landed', ingest_batch=n)}/attempt=*/outcome={STAGED}")
         ]
 
     def purge_versions(self) -> list[int]:

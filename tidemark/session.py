@@ -42,13 +42,14 @@ def build_session(app_name: str = "tidemark", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by the cluster.
 
-    Only a local session without the setting gets a temporary folder: on a
-    cluster such a folder would be seen by one machine only.
+    Only a session of one process without the setting gets a temporary folder: on
+    a cluster, also one of local processes, others need not see it.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL_DIRS:

@@ -14,7 +14,7 @@ There are as many buckets as the corpus needs for buckets of bounded size.
 
 The probability of a word w after v interpolates with the unigram model,
 (c(v, w) + A p(w)) / (c(v) + A), p(w) = (c(w) + 1) / (n + V), where V is the number
-of distinct words, `WORDS` at least. Background counts are scaled to the number of
+of distinct words. Background counts are scaled to the number of
 target words, so that both models are smoothed alike. A document that a model was
 trained on would look familiar to it, so each of its words is scored without its
 own occurrence.
@@ -42,10 +42,10 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import packed, pieces, stored
 
-WORDS = 1 << 16  # the vocabulary has room for so many words at least
 PRIOR = 64.0  # A, in words
 START = 0  # stands before the first word of a document; as a word it is ""
-PIECE = 8 << 20  # bytes of text
+PIECE = 10 << 20  # bytes of text
+LEVEL = 3  # of compression
 BUCKET_WORDS = 1 << 19  # distinct words of pieces in a bucket, about
 BUCKET_PAIRS = 1 << 21
 BUCKETS = 4  # buckets a shuffle partition, at least
@@ -84,7 +84,7 @@ def pack(*columns: np.ndarray) -> bytes:
     table = table.astype(f"<u{width}")
     planes = np.ascontiguousarray(table.view(np.uint8).reshape(len(columns), -1, width).transpose(0, 2, 1))
     head = np.array([len(columns), width, planes.size], "<i8").tobytes()
-    return head + pa.Codec("zstd", 1).compress(planes.tobytes(), asbytes=True)
+    return head + pa.Codec("zstd", LEVEL).compress(planes.tobytes(), asbytes=True)
 
 
 def unpack(data: bytes) -> np.ndarray:
@@ -119,7 +119,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         row = {
             "piece": uuid.uuid4().bytes, "n": len(ids), "n_target": int(mine.sum()), "n_words": n, "keys": b"".join(keys),
             "docs": pack(counts, flags), "ids": pack(ids), "hashes": pack(np.fromiter(map(zlib.crc32, words), np.int64, n)),
-            "words": np.int64(len(text)).tobytes() + pa.Codec("zstd", 1).compress(text, asbytes=True), "counts": pack(*sums),
+            "words": np.int64(len(text)).tobytes() + pa.Codec("zstd", LEVEL).compress(text, asbytes=True), "counts": pack(*sums),
         }
         return _table(PIECES, {k: [v] for k, v in row.items()})
 
@@ -137,9 +137,9 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield piece()
 
 
-def _dealt(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, places) of every bucket that occurs."""
-    order = np.argsort(bucket, kind="stable")
+def _dealt(bucket: np.ndarray, by: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, places) of every bucket that occurs, the places ordered by `by`."""
+    order = np.argsort(bucket, kind="stable") if by is None else np.lexsort((by, bucket))
     values, starts = np.unique(bucket[order], return_index=True)
     yield from zip(values.tolist(), np.split(order, starts[1:]), strict=True)
 
@@ -209,9 +209,9 @@ def _known(hashes: np.ndarray, blobs: list[tuple[int, bytes]], buckets: int) ->
     return _joined(hashes % buckets, blobs, 5)
 
 
-def _joined(bucket: np.ndarray, blobs: list[tuple[int, bytes]], rows: int) -> np.ndarray:
+def _joined(bucket: np.ndarray, blobs: list[tuple[int, bytes]], rows: int, by: np.ndarray | None = None) -> np.ndarray:
     found, blobs = np.empty((rows, len(bucket)), np.int64), dict(blobs)
-    for b, places in _dealt(bucket):
+    for b, places in _dealt(bucket, by):
         found[:, places] = unpack(blobs.pop(b))
     assert not blobs
     return found
@@ -230,12 +230,14 @@ def _deal_pairs(word_buckets: int, buckets: int) -> Callable:
         mine = np.repeat(flags, counts)
         n = [np.bincount(x, minlength=len(first)) for x in (place, place[mine])]
         columns = np.vstack([numbers[first], numbers[second], *n])
-        parts = list(_dealt(_pair_buckets(hashes, first, second, buckets))) if len(first) else []
+        # In the order of the first words, of which only the steps are sent.
+        parts = list(_dealt(_pair_buckets(hashes, first, second, buckets), numbers[first])) if len(first) else []
+        steps = [np.diff(columns[0, x], prepend=0) for _, x in parts]
         return pa.table(
             {
                 "piece": pa.array([row["piece"]] * len(parts), pa.binary()),
                 "bucket": pa.array([b for b, _ in parts], pa.int32()),
-                "pairs": pa.array([pack(*columns[:, x]) for _, x in parts], pa.binary()),
+                "pairs": pa.array([pack(d, *columns[1:, x]) for d, (_, x) in zip(steps, parts, strict=True)], pa.binary()),
             }
         )
 
@@ -245,6 +247,8 @@ def _deal_pairs(word_buckets: int, buckets: int) -> Callable:
 def _count_pairs(group: pa.Table) -> pa.Table:
     """Counts of the bucket's pairs: all, target."""
     parts = [unpack(x) for x in group["pairs"].to_pylist()]
+    for x in parts:
+        np.cumsum(x[0], out=x[0])
     lengths = [x.shape[1] for x in parts]
     first, second, *counts = np.concatenate(parts, axis=1)
     del parts
@@ -274,8 +278,9 @@ def _score(word_buckets: int, pair_buckets: int, n: int, n_target: int, size: in
         row = left.to_pylist()[0]
         counts, flags, ids, before, first, second, place = _of_piece(row)
         hashes = unpack(row["hashes"])[0]
-        _, words, words_target, contexts, contexts_target = _known(hashes, _blobs(right, 0), word_buckets)
-        pairs, pairs_target = _joined(_pair_buckets(hashes, first, second, pair_buckets), _blobs(right, 1), 2)
+        numbers, words, words_target, contexts, contexts_target = _known(hashes, _blobs(right, 0), word_buckets)
+        dealt = _pair_buckets(hashes, first, second, pair_buckets)
+        pairs, pairs_target = _joined(dealt, _blobs(right, 1), 2, numbers[first])
         own = np.repeat(flags, counts).astype(np.float64)
         target = losses(words_target[ids], pairs_target[place], contexts_target[before], n_target, size, 1.0, own)
         scale = n_target / n if n_target else 1.0
@@ -323,7 +328,7 @@ def score(documents: DataFrame, targets: DataFrame, id_col: str = "doc_id", text
         _deal_words(word_buckets), "piece binary, bucket int, words binary, counts binary"
     )
     words = stored(words.groupBy("bucket").applyInArrow(_count_words(word_buckets), BLOBS), "lm-words")
-    vocabulary = max(WORDS, int(words.agg(F.sum("vocabulary")).first()[0] or 0))
+    vocabulary = int(words.agg(F.sum("vocabulary")).first()[0] or 0)
     pairs = (
         cut.select("piece", "docs", "ids", "hashes").groupBy("piece").cogroup(words.groupBy("piece"))
         .applyInArrow(_deal_pairs(word_buckets, pair_buckets), "piece binary, bucket int, pairs binary")

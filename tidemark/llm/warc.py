@@ -18,7 +18,8 @@ number of ranges. The record date is a parameter.
 
 Defined cases: a null payload is an empty one; a null url is left out of the
 header, control characters and blanks in it are percent-encoded; null ids count
-as the smallest id and write `none`; among rows with one id and payload the first
+as the smallest id and write `none`; a record is named by page, payload and its number
+among equals, so that rows with one id have names of their own; among rows with one id and payload the first
 written is the response and the others revisit that id; an empty table gives no
 files and an empty manifest. Columns other than the three are not read.
 """
@@ -30,6 +31,7 @@ import hashlib
 import re
 import uuid
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -43,6 +45,7 @@ from tidemark.session import scratch_dir
 
 MANIFEST = "part int, number int, temporary string, name string, records long, bytes long, sha256 string"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
+TASK_BYTES = 64 << 20  # of archives a task reads or renames
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -50,8 +53,14 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id, url, payload: bytes, refers_to, revisit: bool, date: str) -> bytes:
+def record_id(page: str, payload_digest: str, kind: str, number: int) -> str:
+    """Names a record by its page, payload and kind, and its number among the records that share these."""
+    return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{kind} {number} {payload_digest} of page {page}')}>"
+
+
+def record(page_id, url, payload: bytes, refers_to, revisit: bool, date: str, number: int = 0) -> bytes:
     """One WARC/1.1 record; a revisit keeps the HTTP header only."""
+    payload_digest = base32_sha1(payload)
     name = "none" if page_id is None else str(page_id)
     block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload)
     if not revisit:
@@ -59,7 +68,7 @@ def record(page_id, url, payload: bytes, refers_to, revisit: bool, date: str) ->
     lines = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if revisit else 'response'}",
-        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(NAMESPACE, 'page ' + name)}>",
+        f"WARC-Record-ID: {record_id(name, payload_digest, 'revisit' if revisit else 'response', number)}",
         f"WARC-Date: {date}",
     ]
     if url is not None:
@@ -68,14 +77,14 @@ def record(page_id, url, payload: bytes, refers_to, revisit: bool, date: str) ->
     lines += [
         f"WARC-Page-ID: {name}",
         "Content-Type: application/http; msgtype=response",
-        f"WARC-Payload-Digest: sha1:{base32_sha1(payload)}",
+        f"WARC-Payload-Digest: sha1:{payload_digest}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
     ]
     if revisit:
         target = "none" if refers_to is None else str(refers_to)
         lines += [
             f"WARC-Profile: {PROFILE}",
-            f"WARC-Refers-To: <urn:uuid:{uuid.uuid5(NAMESPACE, 'page ' + target)}>",
+            f"WARC-Refers-To: {record_id(target, payload_digest, 'response', 0)}",
             f"WARC-Refers-To-Page-ID: {target}",
         ]
     head = "\r\n".join([*lines, f"Content-Length: {len(block)}"]) + "\r\n\r\n"
@@ -104,12 +113,12 @@ def _writer(root: str, date: str, roll_bytes: int, level: int):
                 done.append((part, number, path, name, records, size, digest.hexdigest()))
                 out, number, size, records = None, number + 1, 0, 0
 
-        at, targets, written = None, {}, set()
+        at, targets, written, numbers = None, {}, set(), Counter()
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 page_id, kind, url, html, sha1, refers_to = row
                 if at != (page_id,):
-                    at, targets, written = (page_id,), {}, set()
+                    at, targets, written, numbers = (page_id,), {}, set(), Counter()
                 if kind == 0:
                     targets[sha1] = refers_to
                     continue
@@ -123,7 +132,9 @@ def _writer(root: str, date: str, roll_bytes: int, level: int):
                     path = f"{base}/.temporary/{attempt}-{part:06d}-{number:05d}"
                     files.create_dir(f"{base}/.temporary", recursive=True)
                     out, digest = files.open_output_stream(path), hashlib.sha256()
-                data = member(record(page_id, url, payload, target, revisit, date), level)
+                same = revisit, sha1 or hashlib.sha1(payload).hexdigest()
+                data = member(record(page_id, url, payload, target, revisit, date, numbers[same]), level)
+                numbers[same] += 1
                 out.write(data)
                 digest.update(data)
                 size, records = size + len(data), records + 1
@@ -201,13 +212,23 @@ def write_warc(
         .mapInArrow(_writer(uri, date, roll_bytes, level), MANIFEST)
     )
     manifest = stored(made, "warc-manifest")
-    renamed = manifest.repartition(F.col("name")).mapInArrow(_rename(uri), MANIFEST)
+    renamed = _file_by_file(manifest).mapInArrow(_rename(uri), MANIFEST)
     renamed.drop("temporary").write.json(f"{root}/manifest")
     return pages.sparkSession.read.schema(
         "part int, number int, name string, records long, bytes long, sha256 string"
     ).json(f"{root}/manifest")
 
 
+def _file_by_file(manifest: DataFrame) -> DataFrame:
+    """The files dealt to tasks: as many as files, until a task has TASK_BYTES.
+
+    The number is given, as Spark would join so few rows in one task.
+    """
+    size = manifest.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes")).first()
+    least = 4 * manifest.sparkSession.sparkContext.defaultParallelism
+    return manifest.repartition(max(1, min(size.files, max(least, -(-size.bytes // TASK_BYTES)))), "name")
+
+
 WARC_ROW = (
     "page_id string, record_type string, url string, date string, payload_bytes long, payload_digest string, "
     "refers_to string, payload binary"
@@ -283,7 +304,7 @@ def read_warc(spark: SparkSession, root: str, manifest: DataFrame, payloads: boo
                             rows, held = [], 0
                 yield packed(rows)
 
-    return manifest.select("name").repartition("name").mapInArrow(run, WARC_ROW)
+    return _file_by_file(manifest).select("name").mapInArrow(run, WARC_ROW)
 
 
 def new_root(spark: SparkSession) -> str:

@@ -109,27 +109,30 @@ def common_words(documents: DataFrame, text_col: str = "text") -> tuple[list[str
     return sorted(w for w, n in counts.items() if n >= SHARE * total), size
 
 
-class Spotter:
-    """Signatures of texts, given the anchors."""
+class Codes(dict):
+    """Codes of words: 63 bits of a hash, and whether the word is an anchor."""
 
     def __init__(self, anchors: list[str]):
         self._anchors = frozenset(anchors)
-        self._codes: dict[str, int] = {}
 
-    def _learn(self, words: list[str]) -> None:
-        """Codes of words: 63 bits of a hash, and whether the word is an anchor."""
-        if len(self._codes) > TABLE_WORDS:
-            self._codes.clear()
-        for w in words:
-            if w not in self._codes:
-                self._codes[w] = xxhash.xxh3_64_intdigest(w) >> 1 << 1 | (w in self._anchors)
+    def __missing__(self, word: str) -> int:
+        self[word] = code = xxhash.xxh3_64_intdigest(word) >> 1 << 1 | (word in self._anchors)
+        return code
+
+
+class Spotter:
+    """Signatures of texts, given the anchors."""
+
+    def __init__(self, anchors: list[str]):
+        self._codes = Codes(anchors)
 
     def __call__(self, text: str) -> np.ndarray:
         """The signatures, ascending."""
         words = words_of(text)
         if not words:
             return np.zeros(0, np.uint32)
-        self._learn(words)
+        if len(self._codes) > TABLE_WORDS:
+            self._codes.clear()
         return signatures(np.fromiter(map(self._codes.__getitem__, words), np.uint64, len(words)))
 
 
@@ -334,7 +337,7 @@ def edited_likeness(
     )
     bounds = _ranges(rows, min(MAX_RANGES, size // RANGE_BYTES + 1))
     dealt = rows.mapInArrow(_dealt(bounds), f"range int, look boolean, id {kind}, tie long, text string")
-    dealt = dealt.repartition(max(1, len(bounds)), "range")
+    dealt = dealt.repartitionById(max(1, len(bounds)), "range")
     dealt = dealt.sortWithinPartitions("range", "look", F.desc_nulls_last("id"), F.desc("tie"))
     made = ", ".join(f"{n} {'string' if t == pa.string() else 'double' if t == pa.float64() else 'long'}" for n, t in RESULT)
     return dealt.mapInArrow(_compared(anchors, arrow, least), f"id {kind}, {made}")

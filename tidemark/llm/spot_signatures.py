@@ -54,10 +54,11 @@ MAX_RANGES = 1 << 16
 BATCH_BYTES = 4 << 20
 COMPARE = 1 << 12  # signatures compared at a time
 WORD = re.compile("[぀-ヿ㐀-䶿一-鿿]|[^\\W_぀-ヿ㐀-䶿一-鿿]{1,16}")
+ASCII_WORD = re.compile("[a-z0-9]{1,16}")
 
 
 def words_of(text: str) -> list[str]:
-    return WORD.findall(text.lower())
+    return (ASCII_WORD if text.isascii() else WORD).findall(text.lower())
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,17 +127,26 @@ class Spotter:
     def __init__(self, anchors: list[str]):
         self._codes = Codes(anchors)
 
-    def __call__(self, text: str) -> np.ndarray:
-        """The signatures, ascending."""
+    def codes(self, text: str) -> np.ndarray:
         words = words_of(text)
-        if not words:
-            return np.zeros(0, np.uint32)
         if len(self._codes) > TABLE_WORDS:
             self._codes.clear()
-        return signatures(np.fromiter(map(self._codes.__getitem__, words), np.uint64, len(words)))
+        return np.fromiter(map(self._codes.__getitem__, words), np.uint64, len(words))
+
+    def __call__(self, text: str) -> np.ndarray:
+        return signatures(self.codes(text))
+
+    def split(self, text: str, cut: int) -> tuple[np.ndarray, int, np.ndarray]:
+        """(signatures, a place up to `cut` where a word begins, codes of the words before it)."""
+        place = text.rfind(" ", 0, cut) + 1
+        head = self.codes(text[:place])
+        return signatures(np.concatenate([head, self.codes(text[place:])])), place, head
 
 
 def signatures(codes: np.ndarray) -> np.ndarray:
+    """The signatures of a sequence of words, ascending."""
+    if not len(codes):
+        return np.zeros(0, np.uint32)
     anchor = (codes & np.uint64(1)).astype(bool)
     place = np.arange(len(codes))
     content = place[~anchor]
@@ -248,7 +258,7 @@ def _compared(anchors: list[str], id_type: pa.DataType, least: float) -> Callabl
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spot = Spotter(anchors)
         out, held = [], 0
-        last = None  # (range, id, text, signatures)
+        last = None  # (range, id, text, signatures, place, codes of the words before the place)
 
         def batch_of(rows: list[tuple]) -> pa.RecordBatch:
             columns = list(zip(*rows, strict=True))
@@ -261,28 +271,30 @@ def _compared(anchors: list[str], id_type: pa.DataType, least: float) -> Callabl
                 if last is None and look:
                     continue  # a further copy of the first row of the next range
                 text = text or ""
-                own = last[3] if last and last[2] == text else spot(text)
+                own = last[3:] if last and last[2] == text else spot.split(text, len(text) - len(text) // 3)
                 if last is not None:
                     if last[0] != at:
                         raise RuntimeError("a range of ids came without the first row of the next one")
-                    whole = edited(last[2], text)
-                    other = spot(whole)
+                    _, before_id, before, found, place, head = last
+                    whole = edited(before, text)
+                    # Up to `place` the edited text has the words of the text.
+                    other = signatures(np.concatenate([head, spot.codes(whole[place:])]))
                     row = (
-                        last[1],
-                        len(last[2]),
-                        len(last[3]),
+                        before_id,
+                        len(before),
+                        len(found),
                         hashlib.sha256(whole.encode()).hexdigest(),
-                        fingerprint(last[3]),
+                        fingerprint(found),
                         fingerprint(other),
-                        pruned_jaccard(last[3], other, least),
-                        pruned_jaccard(last[3], own, least),
+                        pruned_jaccard(found, other, least),
+                        pruned_jaccard(found, own[0], least),
                     )
                     out.append(row)
                     held += len(row[4]) + len(row[5]) + 200
                     if held >= BATCH_BYTES:
                         yield batch_of(out)
                         out, held = [], 0
-                last = None if look else (at, key, text, own)
+                last = None if look else (at, key, text, *own)
         if out:
             yield batch_of(out)
 

@@ -106,6 +106,17 @@ def test_duplicate_rows_of_a_file_are_rejected(spark, tmp_path):
     assert {r.error_reason for r in store.errors().collect()} == {"duplicate record in file"}
 
 
+def test_rows_that_round_alike_are_no_duplicates(spark, tmp_path):
+    store = Store(spark, str(tmp_path / "store"))
+    key = ("A", "B", golden.DAY)
+    golden.write(spark, [(*key, 1.00001, 2.0), (*key, 1.00002, 2.0), (*key, 1.00001, 2.0), (*key, 1.00001, 2.001)], tmp_path / "in")
+    ingest_files(store, scan(spark, str(tmp_path / "in")), run_ts=T0)
+    commit = store.commits().first()
+    assert (commit.valid, commit.invalid, commit.duplicate) == (3, 0, 1)
+    assert [r.row_number for r in store.errors().collect()] == [2]
+    assert {(r.quantity, r.amount) for r in store.staging().collect()} == {(Decimal("1.0000"), Decimal("2.00"))}
+
+
 def test_last_staged_row_wins(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     key = ("A", "B", golden.DAY)

@@ -31,7 +31,8 @@ from tidemark.sources.footers import footers, scan_mixed
 
 # A file list is broadcast up to this many bytes of paths; see `not_landed`.
 BROADCAST_BYTES = 64 << 20
-DUPLICATE_KEY = ["source_file", "record_hash"]
+# Rows repeat each other if the file has the same values for them; the stored decimals may be coarser.
+DUPLICATE_KEY = ["source_file", *FIELDS]
 
 
 def ingest_files(
@@ -164,15 +165,13 @@ def ingest_listed(
 def _repeats(store: Store, checked: DataFrame, work: dict) -> DataFrame | None:
     """Pieces with repeats, or None. Both steps are written, so that the next
     one knows whether its smaller side may be broadcast."""
-    good = checked.filter("is_valid")
-    content = ["source_file", *FIELDS]
+    good = checked.filter("is_valid").select(*DUPLICATE_KEY, "row_number")
     digests_path = store.path("work", **work, step="digests")
-    possible_repeats(typed(good), content).write.mode("overwrite").parquet(digests_path)
+    possible_repeats(good, DUPLICATE_KEY).write.mode("overwrite").parquet(digests_path)
     digests = store.spark.read.parquet(digests_path)
     if digests.isEmpty():
         return None
-    candidates = good.select(*DUPLICATE_KEY, "row_number", *FIELDS)
-    narrowed = with_digest_in(typed(candidates), digests, content)
+    narrowed = with_digest_in(good, digests, DUPLICATE_KEY)
     pieces_path = store.path("work", **work, step="pieces")
     repeated_pieces(narrowed, DUPLICATE_KEY, "row_number").write.mode("overwrite").parquet(pieces_path)
     return store.spark.read.parquet(pieces_path)

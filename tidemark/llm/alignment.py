@@ -50,7 +50,7 @@ from tidemark.llm.common import pieces, stored, type_of
 
 TEXT_BYTES = 1 << 18  # tokenized at a time
 PRODUCT = 1 << 20  # entries of a product held at a time
-SEGMENTS = 1 << 18  # of a block
+SEGMENTS = 1 << 17  # of a block
 SEGMENT_BYTES = 1 << 24
 REFERENCES = 1 << 21
 BLOCK_DOCS = 1 << 16

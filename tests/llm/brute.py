@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import unicodedata
 from collections import Counter, defaultdict
 
 SPACE = " \t\n\x0b\x0c\r"
@@ -279,3 +280,51 @@ def spelling(ids: list, texts: list, every: int = 199) -> list[tuple]:
             root = form[root]
         out.append((w, form[w], root, n, len(near[w]), counts[form[w]] if form[w] else None))
     return out
+
+
+def letter_words(text: str | None) -> list[tuple[int, int]]:
+    """(start, end) of words: a letter and the letters and marks after it."""
+    found, inside = [], False
+    for i, c in enumerate(text or ""):
+        letter = c.isalpha()
+        if letter and not inside:
+            found.append([i, i])
+        inside = letter or (inside and unicodedata.category(c)[0] == "M")
+        if inside:
+            found[-1][1] = i + 1
+    return [tuple(w) for w in found]
+
+
+def triple_bucket(before: int, at: int, after: int) -> int:
+    """The hashed place of three code points (0 outside a word)."""
+    full = (1 << 64) - 1
+    x = (before * 0x9E3779B97F4A7C15 + at * 0xC2B2AE3D27D4EB4F) & full
+    x = ((x ^ (x >> 29)) * 0xBF58476D1CE4E5B9 + after * 0x165667B19E3779F9) & full
+    return (((x ^ (x >> 32)) * 0x94D049BB133111EB) & full) >> 48
+
+
+def language_scores(text: str, model, script_of) -> list[list[float]]:
+    """Per word and language the score of the word's triples; other scripts as the worst and 16 less."""
+    out = []
+    for start, end in letter_words(text):
+        code = [0, *(ord(c.lower()) if len(c.lower()) == 1 else ord(c) for c in text[start:end]), 0]
+        scores = [0.0] * len(model.languages)
+        for i in range(1, len(code) - 1):
+            row = model.scores[triple_bucket(*code[i - 1 : i + 2])]
+            scores = [a + float(b) for a, b in zip(scores, row, strict=True)]
+        known = model.scripts[script_of(code[1])]
+        if known.any():
+            worst = min(scores)
+            scores = [s if k else worst - 16.0 for s, k in zip(scores, known, strict=True)]
+        out.append(scores)
+    return out
+
+
+def best_path(scores: list[list[float]], penalty: float) -> float:
+    """The score of the best sequence of languages, tried one word after another."""
+    best = list(scores[0])
+    for word in scores[1:]:
+        best = [
+            max(b - (penalty if j != i else 0.0) for j, b in enumerate(best)) + s for i, s in enumerate(word)
+        ]
+    return max(best)

@@ -29,7 +29,7 @@ def model(spark):
 def test_languages(spark, model, documents, empty):
     texts = [
         (1, text_in("abcdefgh", 99, 20), "xa"), (2, text_in(GREEK, 98, 5), "el"), (3, None, "und"), (4, "", "und"),
-        (5, "12 34 !!", "und"), (6, text_in("qrstuvwxyz", 97, 9000), "xb"), (6, text_in("qrstuvwxyz", 97, 9000), "xb"),
+        (5, "12 34 !!", "und"), (7, "\u0301", "und"), (8, " \u0301\u0302, 5\u0940 ", "und"), (9, "\u0301a\u0301bc", "xa"), (6, text_in("qrstuvwxyz", 97, 9000), "xb"), (6, text_in("qrstuvwxyz", 97, 9000), "xb"),
     ]
     frame = spark.createDataFrame(texts, "doc_id long, text string, score string")
     found = language_id.identify(frame, model).collect()
@@ -47,6 +47,33 @@ def test_mixed_spans(spark, model):
     assert row.lang_pred == "xa" and 0.4 < row.score < 0.8
 
 
+def test_labels_are_the_best_path(spark, model):
+    """The labels of a text score as much as the best of all paths does, word by word."""
+    scripts = [range_ for _, range_ in language_id.SCRIPTS]
+
+    def script_of(code: int) -> int:
+        return next((n for n, ranges in enumerate(scripts, 1) if any(a <= code <= b for a, b in ranges)), 0)
+
+    draw, penalty = random.Random(5), 8.0
+    letters = ["abcdefgh", "qrstuvwxyz", GREEK, CYRILLIC, "abqr\u0301xy", "אבגד", "abαбQ\u0301"]
+    texts = []
+    for i in range(60):
+        parts = [text_in(draw.choice(letters), 1000 * i + k, draw.randint(1, 4)) for k in range(draw.randint(1, 6))]
+        texts.append(draw.choice([" ", ", 7 ", "-", " \u0301 "]).join(parts))
+    frame = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    switches = 0
+    for row in language_id.identify(frame, model, penalty=penalty).collect():
+        words = brute.letter_words(row.text)
+        scores = brute.language_scores(row.text, model, script_of)
+        spans = [(s.start, s.end, model.languages.index(s.lang)) for s in row.lang_spans]
+        path = [next(k for a, b, k in spans if a <= w[0] and w[1] <= b) for w in words]
+        changes = sum(a != b for a, b in zip(path, path[1:], strict=False))
+        made = sum(s[k] for s, k in zip(scores, path, strict=True)) - penalty * changes
+        assert abs(made - brute.best_path(scores, penalty)) < 1e-3 * (1 + len(words))
+        switches += changes
+    assert switches > 30
+
+
 def test_without_training(spark, documents):
     model = language_id.train(documents)
     assert model.languages == []

@@ -1,6 +1,6 @@
 """Language identification of words, spans and documents.
 
-A word is a run of letters (and marks). Its script, from ranges of code points,
+A word is a letter and the letters and marks after it. Its script, from ranges of code points,
 narrows the languages to those that training has seen in that script; each of
 them scores the word by its letter triples, word edges included. A Viterbi pass
 over the words of a text, with a penalty for a change of language, labels spans;
@@ -12,8 +12,8 @@ Its counts are made over all training rows, combined per task and then per
 (language, triple), so at most BUCKETS x languages numbers reach the driver;
 more than `MAX_LANGUAGES` languages are refused.
 
-Defined cases: null, empty and letterless texts are `und` with score 0 and no
-spans; words in a script that no language was seen in are open to all languages
+Defined cases: null, empty and letterless texts (marks alone are no letters) are
+`und` with score 0 and no spans; words in a script that no language was seen in are open to all languages
 and weigh the same for all; ties go to the language first in order; without
 training rows every text is `und`; repeated rows are labelled alike. Other
 columns are carried along.
@@ -55,8 +55,8 @@ SCRIPTS = (
 )
 
 
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    """Is a code point part of a word; and its script. Beyond the second plane, letters are what a script lists."""
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Is a code point a letter; a mark; and its script. Beyond the second plane, letters are what a script lists."""
     scripts = np.zeros(0x110000, np.uint8)
     for number, (_, ranges) in enumerate(SCRIPTS, 1):
         for low, high in ranges:
@@ -64,19 +64,27 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
     letters = scripts > 0
     known = 0x20000
     letters[:known] = np.fromiter((chr(c).isalpha() for c in range(known)), bool, known)
-    letters[[c for c in range(0x300, known) if unicodedata.category(chr(c))[0] == "M"]] = True
-    return letters, scripts
+    marks = np.zeros(0x110000, bool)
+    marks[[c for c in range(0x300, known) if unicodedata.category(chr(c))[0] == "M"]] = True
+    return letters, marks, scripts
 
 
-def _words(texts: list[str | None], tables: tuple[np.ndarray, np.ndarray]):
+def _words(texts: list[str | None], tables: tuple[np.ndarray, np.ndarray, np.ndarray]):
     """Of many texts at once: triple bucket and word per letter; text, start, end and script per word."""
-    letters, scripts = tables
+    letters, marks, scripts = tables
     # Lower case only where the length stays, so that places in the text stay.
     texts = [t or "" for t in texts]
     lower = [x if len(x := t.lower()) == len(t) else "".join(c.lower() if len(c.lower()) == 1 else c for c in t) for t in texts]
     joined = "\n" + "\n".join(lower) + "\n"
     code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     inside = letters[code]
+    mark = np.flatnonzero(marks[code] & ~inside)
+    if len(mark):
+        # A mark belongs to a word if the nearest place before it without a mark is a letter.
+        base = np.ones(len(code), bool)
+        base[mark] = False
+        nearest = np.maximum.accumulate(np.where(base, np.arange(len(code)), 0))
+        inside[mark] = inside[nearest[mark]]
     at = np.flatnonzero(inside)
     begins = at[~inside[at - 1]]
     ends = at[~inside[at + 1]] + 1

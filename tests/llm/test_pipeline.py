@@ -115,6 +115,19 @@ def test_pipeline(spark, docs):
     assert all(r.text == text[r.doc_id] and r.n_chars == len(r.text) for r in made)
 
 
+def test_equal_rows_pass_once(spark):
+    """A table loaded twice leaves near dedup as it would loaded once; equal texts of other ids go, too."""
+    texts = [" ".join(f"w{i}x{j}" for j in range(40)) for i in range(6)]
+    rows = [(i, t, None, f"s{i}", None) for i, t in enumerate([*texts, None, "", "one"])]
+    rows += [(None, "no id here", None, "s", None), (3, texts[3], None, "a", None), (20, texts[3], None, "s", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    stage = dict(corpus_pipeline.STAGES)["near_dedup"]
+    once = Counter(map(tuple, stage(spark, spark.createDataFrame(rows, schema), SF_DIR).collect()))
+    twice = Counter(map(tuple, stage(spark, spark.createDataFrame(rows + rows, schema).repartition(4), SF_DIR).collect()))
+    assert once == twice and set(once.values()) == {1}
+    assert {r[0] for r in once} == {*range(9), None} and (3, texts[3], None, "a", None) in once
+
+
 def test_stages_on_nothing(spark, empty):
     empty = empty.select("doc_id", "text", "lang", "source", "n_chars")
     for _, stage in corpus_pipeline.STAGES:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import decontamination, language_id, line_dedup, mixing, near_dedup
-from tidemark.llm.common import stored, table
+from tidemark.llm.common import packed, same, stored, table, text_key
 
 MIN_SHARE = 0.5  # of the letters in the language of the document
 MIX_SEED = 20
@@ -38,9 +38,26 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return _with_text(line_dedup.keep_lines(docs, line_dedup.line_bitmaps(docs)), "kept_text")
 
 
+def _equal_rows_once(docs: DataFrame) -> DataFrame:
+    """One of the rows that repeat both id and text, the first in the order of their JSON.
+
+    Ids and hashes of texts tell whether there are such rows; only theirs are read as groups.
+    """
+    rows = packed(docs, [], id=F.col("doc_id"), key=text_key("text"))
+    again = rows.groupBy("id", "key").agg(F.count("*").alias("n")).where("n > 1").select("id", "key")
+    again = stored(again, "equal-rows")
+    if again.isEmpty():
+        return docs
+    others = rows.join(again, same(rows, again, ["id", "key"]), "left_anti").select("row")
+    groups = rows.join(again, same(rows, again, ["id", "key"]), "left_semi").groupBy("id", "row.text")
+    chosen = groups.agg(F.min_by("row", F.to_json("row")).alias("row")).select("row")
+    return stored(others.unionByName(chosen).select("row.*"), "rows-once")
+
+
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near duplicates (five-word shingles, similarity 0.8)."""
-    return near_dedup.near_duplicates(docs).where("kept").select(*(f"`{c}`" for c in docs.columns))
+    found = near_dedup.near_duplicates(_equal_rows_once(docs))
+    return found.where("kept").select(*(f"`{c}`" for c in docs.columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

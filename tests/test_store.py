@@ -2,6 +2,7 @@
 
 import datetime as dt
 import json
+import os
 from decimal import Decimal
 
 import golden
@@ -106,6 +107,53 @@ def test_duplicate_rows_of_a_file_are_rejected(spark, tmp_path):
     assert {r.error_reason for r in store.errors().collect()} == {"duplicate record in file"}
 
 
+@pytest.mark.parametrize("limit", [1 << 30, -1])
+def test_grown_file_repeats_a_row_of_an_earlier_run(spark, tmp_path, monkeypatch, limit):
+    monkeypatch.setattr("tidemark.plans.ingest.BROADCAST_BYTES", limit)
+    store, path = Store(spark, str(tmp_path / "store")), tmp_path / "in" / "grows.parquet"
+    path.parent.mkdir()
+
+    def write(rows):
+        names = ["account_id", "asset_id", "reference_date", "quantity", "amount"]
+        pq.write_table(pa.table(dict(zip(names, zip(*rows, strict=True), strict=True))), path)
+
+    write(golden.FILE[:4])
+    ingest_files(store, scan(spark, str(path.parent)), run_ts=T0)
+    write([*golden.FILE[:4], golden.FILE[1], golden.FILE[5], golden.FILE[5]])
+    ingest_files(store, scan(spark, str(path.parent)), run_ts=T1)
+    second = store.commit(2)
+    assert (second.rows, second.valid, second.invalid, second.duplicate) == (3, 1, 0, 2)
+    assert sorted(r.row_number for r in store.errors().collect()) == [4, 6]
+    assert sorted(r.row_number for r in store.staging().collect()) == [0, 1, 2, 3, 5]
+    # Without a new row nothing is read for repeats, and nothing lands.
+    ingest_files(store, scan(spark, str(path.parent)), run_ts=T1)
+    assert store.commit(3).rows == 0
+
+
+@pytest.mark.parametrize("files, shapes, runs", [(2, 200, 4), (100, 1, 3), (100, 200, 1)])
+def test_long_lists_are_landed_by_runs(spark, tmp_path, monkeypatch, files, shapes, runs):
+    """Runs hold so many files and shapes at most, follow the times of the files and leave none out."""
+    monkeypatch.setattr("tidemark.plans.ingest.RUN_FILES", files)
+    monkeypatch.setattr("tidemark.plans.ingest.RUN_SHAPES", shapes)
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for n in range(7):
+        quantity = pa.array([n + 1], pa.int32() if 2 <= n < 4 else pa.float64())
+        columns = {"account_id": ["A"], "asset_id": ["X"], "reference_date": [golden.DAY], "quantity": quantity, "amount": [1.0]}
+        pq.write_table(pa.table(columns), folder / f"{9 - n}.parquet")
+        os.utime(folder / f"{9 - n}.parquet", (1_700_000_000 + n, 1_700_000_000 + n))
+    (folder / "bad.parquet").write_bytes(b"PAR1")
+    store = Store(spark, str(tmp_path / "store"))
+    listed = listed_files(spark, str(folder)).select(F.col("source_file").alias("path"))
+    last = ingest_listed(store, listed, run_ts=T0)
+    assert last == store.last_commit() >= runs and (files == 2 or last == runs)
+    assert store.commits().agg(F.sum("files"), F.max("files") <= files).first() == (7, True)
+    assert [int(r.quantity) for r in store.staging().orderBy("seq").collect()] == [1, 2, 3, 4, 5, 6, 7]
+    assert [r.ok for r in store.attempts().collect()] == [False]
+    merge_pending(store, T1)
+    assert [int(r.quantity) for r in store.principal().collect()] == [7]
+
+
 def test_rows_that_round_alike_are_no_duplicates(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"))
     key = ("A", "B", golden.DAY)

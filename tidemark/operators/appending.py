@@ -56,13 +56,13 @@ def manifest(files: DataFrame, ledger: DataFrame, next_seq: int = 0) -> DataFram
     )
 
 
-def not_landed(rows: DataFrame, files: DataFrame, small: bool) -> DataFrame:
-    """The rows from `first_new` on, with their `seq`.
+def unfinished(rows: DataFrame, files: DataFrame, small: bool) -> DataFrame:
+    """All rows of files that have rows to land, with their `seq` and `first_new`.
 
     A `small` manifest is broadcast. A long one is joined by file and piece of the
     file, so that one huge file does not end up in one task.
     """
-    columns = files.select("source_file", "file_rows", "first_new", "file_start")
+    columns = files.filter("first_new < file_rows").select("source_file", "file_rows", "first_new", "file_start")
     if small:
         joined = rows.join(F.broadcast(columns), "source_file")
     else:
@@ -72,11 +72,12 @@ def not_landed(rows: DataFrame, files: DataFrame, small: bool) -> DataFrame:
         joined = (
             rows.withColumn("_piece", piece_of(F.col("row_number"))).join(pieces, ["source_file", "_piece"]).drop("_piece")
         )
-    return (
-        joined.filter(F.col("row_number") >= F.col("first_new"))
-        .withColumn("seq", F.col("file_start") + F.col("row_number"))
-        .drop("file_rows", "first_new", "file_start")
-    )
+    return joined.withColumn("seq", F.col("file_start") + F.col("row_number")).drop("file_rows", "file_start")
+
+
+def not_landed(rows: DataFrame) -> DataFrame:
+    """Of `unfinished` rows those from `first_new` on."""
+    return rows.filter(F.col("row_number") >= F.col("first_new")).drop("first_new")
 
 
 def high_water_marks(files: DataFrame, staged: DataFrame) -> DataFrame:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, Observation, Row
 from pyspark.sql import functions as F
 
 from tidemark.functions.rules import DEFAULT_RULES, Rule
-from tidemark.operators.appending import bucket_of, file_lengths, file_states, manifest, not_landed, plain_path
+from tidemark.operators.appending import bucket_of, file_lengths, file_states, manifest, not_landed, plain_path, unfinished
 from tidemark.operators.dedup import (
     mark_repeats,
     possible_repeats,
@@ -29,8 +30,10 @@ from tidemark.plans.store import COMMITS, RunExists, Store
 from tidemark.schemas import STAGING
 from tidemark.sources.footers import footers, scan_mixed
 
-# A file list is broadcast up to this many bytes of paths; see `not_landed`.
+# A file list is broadcast up to this many bytes of paths; see `unfinished`.
 BROADCAST_BYTES = 64 << 20
+# A run takes at most so many files, and files of at most so many sets of column types.
+RUN_FILES, RUN_SHAPES = 100_000, 200
 # Rows repeat each other if the file has the same values for them; the stored decimals may be coarser.
 DUPLICATE_KEY = ["source_file", *FIELDS]
 
@@ -75,15 +78,15 @@ def ingest_files(
         F.coalesce(F.max(F.col("file_start") + F.col("file_rows")), F.lit(next_seq)).alias("next_seq"),
     ).first()
 
-    # 2. Repeats inside a file. There are usually none, and then the large pass
-    #    below has no shuffle at all.
-    new = not_landed(rows, listed, small=size["bytes"] <= BROADCAST_BYTES)
-    checked = flag(new, rules, hash_text)
+    # 2. Repeats inside a file, also of rows that an earlier run took from it when it
+    #    was shorter. There are usually none, and then the large pass below has no
+    #    shuffle at all.
+    checked = flag(unfinished(rows, listed, small=size["bytes"] <= BROADCAST_BYTES), rules, hash_text)
     repeats = _repeats(store, checked, work) if check_duplicates else None
     if repeats is None:
-        marked = checked.withColumn("is_repeat", F.lit(False))
+        marked = not_landed(checked).withColumn("is_repeat", F.lit(False))
     else:
-        marked = mark_repeats(checked, repeats, DUPLICATE_KEY, "row_number")
+        marked = mark_repeats(not_landed(checked), repeats, DUPLICATE_KEY, "row_number")
 
     # 3. One pass over the data lands good and bad rows together and counts them.
     #    The write has no shuffle behind it, so every task counts once.
@@ -122,11 +125,16 @@ def ingest_listed(
 ) -> int | None:
     """Lands the readable files of a list (column `path`), except those given up.
 
-    A pass over the footers comes first. Files that are missing or unreadable are
-    all noted in this run and tried again with the next list; after `max_attempts`
-    failures they are left out. The others are read with the types they have. With
-    a column `file_time`, files that the ledger has with that time are not opened.
-    Names reach the driver, which needs them to plan the scan.
+    A pass over the footers comes first, and its result is a table. Files that are
+    missing or unreadable are all noted and tried again with the next list; after
+    `max_attempts` failures they are left out. The others are read with the types
+    they have. With a column `file_time`, files that the ledger has with that time
+    are not opened.
+
+    The files are landed in the order of their times and names, by runs of at most
+    `RUN_FILES` files and `RUN_SHAPES` sets of column types; the names of about one
+    run are on the driver, which needs them to plan the scan. Returns the number of
+    the last run, or None.
     """
     spark, run_ts = store.spark, run_ts or dt.datetime.now()
     states = file_states(store.attempts(), max_attempts)
@@ -140,28 +148,55 @@ def ingest_listed(
         names = known.join(landed, same, "left_anti").select("path").distinct()
     again = tried.where("status = 'retry'").select("path")
     names = names.unionByName(again).distinct().join(tried.where("status = 'dead'"), "path", "left_anti")
-    found = footers(names.repartition(spark.sparkContext.defaultParallelism)).collect()
-    failed = {r["path"]: r["error"] for r in found if r["error"]}
-    if failed:
-        store.record_failures(failed, run_ts)
-    shapes: dict[str, list[str]] = {}
-    for row in found:
-        if not row["error"]:
-            shapes.setdefault(row["shape"], []).append(row["path"])
-    if not shapes:
-        return None
+    work = {"list": uuid.uuid4().hex[:12]}
+    found_path = store.path("work", **work, step="footers")
+    footers(names.repartition(spark.sparkContext.defaultParallelism)).write.parquet(found_path)
+    found = spark.read.parquet(found_path)
+    good = found.filter("error is null")
+    size = found.agg(F.count_if(F.col("error").isNull()).alias("good"), F.count("error").alias("bad")).first()
+    if size["bad"]:
+        failed = found.filter("error is not null")
+        store.record_attempts(failed.select(F.col("path").alias("source_file"), F.lit(False).alias("ok"), "error"), run_ts)
+    batch = None
     before = spark.conf.get(NANOS_AS_LONG)
     spark.conf.set(NANOS_AS_LONG, "true")
     try:
-        batch = ingest_files(store, scan_mixed(spark, shapes), run_ts=run_ts, **options)
+        for shapes in _runs(store, good, size["good"], work):
+            batch = ingest_files(store, scan_mixed(spark, shapes), run_ts=run_ts, **options)
     finally:
         spark.conf.set(NANOS_AS_LONG, before)
-    recovered = [r["path"] for r in again.collect() if r["path"] not in failed]
-    if recovered:
-        store.record_failures(dict.fromkeys(recovered), run_ts, ok=True)
+    recovered = good.join(again, "path", "left_semi").select(F.col("path").alias("source_file"), F.lit(True).alias("ok"), "error")
+    if batch is not None and not recovered.isEmpty():
+        store.record_attempts(recovered, run_ts)
     return batch
 
 
+def _runs(store: Store, good: DataFrame, count: int, work: dict) -> Iterator[dict[str, list[str]]]:
+    """The files of one run after another, in the order of time and name: per shape its paths.
+
+    A long list is cut into ranges by Spark, each of about one run; one is read at a time.
+    """
+    order = ["file_time", "path"]
+    parts = -(-count // RUN_FILES)
+    if parts > 1:
+        path = store.path("work", **work, step="ranges")
+        ranged = good.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id())
+        ranged.write.partitionBy("part").parquet(path)
+        good = store.spark.read.schema("path string, file_time timestamp, shape string, part int").parquet(path)
+    for part in range(parts):
+        shapes: dict[str, list[str]] = {}
+        files = 0
+        rows = good.filter(F.col("part") == part) if parts > 1 else good
+        for row in rows.select(*order, "shape").orderBy(*order).collect():
+            if files == RUN_FILES or (row["shape"] not in shapes and len(shapes) == RUN_SHAPES):
+                yield shapes
+                shapes, files = {}, 0
+            shapes.setdefault(row["shape"], []).append(row["path"])
+            files += 1
+        if shapes:
+            yield shapes
+
+
 def _repeats(store: Store, checked: DataFrame, work: dict) -> DataFrame | None:
     """Pieces with repeats, or None. Both steps are written, so that the next
     one knows whether its smaller side may be broadcast."""

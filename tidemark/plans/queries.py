@@ -184,7 +184,7 @@ def staging_append(spark, sf_dir):
     rows = _with_files(X.staged(spark, sf_dir)).drop("seq").withColumn("file_time", F.lit(RUN_TIME))
     ledger = appending.manifest(appending.file_lengths(landed), X.no_rows(spark, LEDGER))
     listed = appending.manifest(appending.file_lengths(rows), ledger)
-    return appending.not_landed(rows, listed, small=False).select(
+    return appending.not_landed(appending.unfinished(rows, listed, small=False)).select(
         F.lit("run-1").alias("batch_id"), "source_file", "row_number", *KEY, *VALUES
     )
 

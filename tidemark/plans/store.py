@@ -310,10 +310,10 @@ class Store:
         """Failed reads, one row each."""
         return self.read("attempts", ATTEMPTS)
 
-    def record_failures(self, errors: dict[str, str | None], at: dt.datetime, ok: bool = False) -> None:
-        """One row per file; `ok` notes that a file could be read after all."""
-        rows = [(name, ok, error, at) for name, error in sorted(errors.items())]
-        self.spark.createDataFrame(rows, ATTEMPTS).coalesce(1).write.mode("append").parquet(self.path("attempts"))
+    def record_attempts(self, files: DataFrame, at: dt.datetime) -> None:
+        """Appends (source_file, ok, error); `ok` notes that a file could be read after all."""
+        stamp = F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+        files.select("source_file", "ok", "error", stamp.alias("at")).write.mode("append").parquet(self.path("attempts"))
 
     # ---- merge side --------------------------------------------------------
 

@@ -19,11 +19,10 @@ from tidemark.schemas import INPUT
 from tidemark.sources.files import literal_path, nanoseconds_to_timestamp, scan
 
 NANOSECONDS = "nanoseconds"
-MAX_SHAPES = 1000
 
 
 def footers(names: DataFrame) -> DataFrame:
-    """(path, shape, error) of a column `path`; `shape` lists the input columns and their types."""
+    """(path, file_time, shape, error) of a column `path`; `shape` lists the input columns and their types."""
     wanted = set(INPUT.names)
 
     def spark_type(kind) -> str:
@@ -48,7 +47,7 @@ def footers(names: DataFrame) -> DataFrame:
         from pyarrow import fs
 
         for batch in batches:
-            shapes, errors = [], []
+            times, shapes, errors = [], [], []
             for path in batch.column(0).to_pylist():
                 try:
                     if path.startswith("file:") or path.startswith("/"):
@@ -56,16 +55,18 @@ def footers(names: DataFrame) -> DataFrame:
                     else:
                         files, place = fs.FileSystem.from_uri(quote(path, safe=":/@"))
                     schema = pq.read_schema(place, filesystem=files)
-                    shapes.append(",".join(f"{f.name} {spark_type(f.type)}" for f in schema if f.name in wanted))
+                    shape = ",".join(f"{f.name} {spark_type(f.type)}" for f in schema if f.name in wanted)
+                    times.append(files.get_file_info(place).mtime)
+                    shapes.append(shape)
                     errors.append(None)
                 except Exception as error:  # noqa: BLE001 - whatever a footer raises, the file is not readable
+                    times.append(None)
                     shapes.append(None)
                     errors.append(f"{type(error).__name__}: {error}".split("\n", 1)[0][:500])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(shapes, pa.string()), pa.array(errors, pa.string())], ["path", "shape", "error"]
-            )
+            columns = [pa.array(times, pa.timestamp("us", "UTC")), pa.array(shapes, pa.string()), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["path", "file_time", "shape", "error"])
 
-    return names.select("path").mapInArrow(run, "path string, shape string, error string")
+    return names.select("path").mapInArrow(run, "path string, file_time timestamp, shape string, error string")
 
 
 def scan_shape(spark: SparkSession, paths: list[str], shape: str) -> DataFrame:
@@ -102,7 +103,5 @@ def shape_columns(shape: str) -> list[str]:
 
 
 def scan_mixed(spark: SparkSession, shapes: dict[str, list[str]]) -> DataFrame:
-    """Files of several shapes, each read with its own types."""
-    if len(shapes) > MAX_SHAPES:
-        raise ValueError(f"{len(shapes)} different sets of column types in one list")
+    """Files of several shapes, each read with its own types; one scan a shape."""
     return reduce(DataFrame.unionByName, (scan_shape(spark, p, s) for s, p in sorted(shapes.items())))

@@ -335,3 +335,13 @@ def test_last_values(spark):
     rows = spark.createDataFrame([(2, 5, None), (1, 9, 3.0), (3, 7, 2.0)], "batch long, total long, ms double")
     assert tuple(reporting.last_values(rows, ["total", "ms"]).first()) == (7, 2.0)
     assert tuple(reporting.last_values(rows.limit(0), ["total", "ms"]).first()) == (0, 0.0)
+
+
+@pytest.mark.parametrize("width", [1, 7, 1 << 20])
+def test_nth_value_equals_sorting(spark, width):
+    values = sorted(random.Random(3).sample(range(200), 40))
+    rows = spark.createDataFrame([(v,) for v in values], "seq long").repartition(3)
+    for n in (1, 2, 20, 40):
+        assert ordering.nth_value(rows, "seq", n, width).collect() == [(values[n - 1],)]
+    for n in (0, 41):
+        assert ordering.nth_value(rows, "seq", n, width).collect() == []

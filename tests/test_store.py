@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.appending import file_states
 from tidemark.plans.ingest import ingest_files, ingest_listed
-from tidemark.plans.merge import merge_pending, seed_principal
+from tidemark.plans.merge import merge_all, merge_pending, seed_principal
 from tidemark.plans.store import RunExists, Store
 from tidemark.sources.files import listed_files, scan, scan_nanoseconds
 from tidemark.streaming.queries import await_batches, ingest_stream, merge_stream
@@ -248,6 +248,43 @@ def test_appended_and_rewritten_dates(spark, tmp_path, monkeypatch):
     assert store.metrics().agg(F.max("total_processed")).first()[0] == 4
 
 
+@pytest.mark.parametrize("limit", [-1, 1 << 30])
+@pytest.mark.parametrize("size", [1, 3, 7, 100])
+def test_merges_of_so_many_rows(spark, tmp_path, monkeypatch, size, limit):
+    """Batches that end inside a run, at its end and behind all runs, with rejected rows between."""
+    monkeypatch.setattr("tidemark.plans.merge.BROADCAST_BYTES", limit)
+    key = [("A", "X", golden.DAY), ("B", "Y", golden.DAY)]
+    runs = [
+        [(*key[0], 1.0, 1.0), ("", "X", golden.DAY, 1.0, 1.0), (*key[1], 1.0, 1.0)],
+        [(*key[0], 2.0, 1.0), (*key[1], 1.0, 1.0), (*key[0], 3.0, 1.0), ("C", "Z", golden.DAY, 5.0, 5.0)],
+        [("", "", golden.DAY, 1.0, 1.0)],
+        [(*key[0], 3.0, 1.0)],
+    ]
+    store = Store(spark, str(tmp_path / "store"))
+    for n, rows in enumerate(runs):
+        golden.write(spark, rows, tmp_path / f"{n}")
+        ingest_files(store, scan(spark, str(tmp_path / f"{n}")), run_ts=T0)
+    good = [r for rows in runs for r in rows if r[0]]
+    state, pending = {}, len(good)
+    for at in range(0, len(good), size):
+        batch = good[at : at + size]
+        last = {r[:3]: r[3:] for r in batch}
+        inserted = sum(k not in state for k in last)
+        updated = sum(k in state and state[k] != v for k, v in last.items())
+        assert store.pending().count() == store.counts()["staging"] == pending
+        counts = merge_pending(store, T1, max_rows=size)
+        assert (counts.inserted, counts.updated, counts.staged) == (inserted, updated, len(batch))
+        pending -= len(batch)
+        state |= last
+    assert merge_all(store, lambda: T1, max_rows=size) == []
+    assert store.last_merged() == len(runs) and store.pending().count() == 0
+    assert {k: tuple(map(float, v[:2])) for k, v in principal(store).items()} == {
+        (a, b, dt.date.fromisoformat(str(d)[:10])): v for (a, b, d), v in state.items()
+    }
+    with pytest.raises(ValueError):
+        merge_pending(store, T1, max_rows=0)
+
+
 def test_large_manifest_path_gives_the_same_rows(spark, tmp_path, monkeypatch):
     golden.write(spark, golden.FILE, tmp_path / "in")
     golden.write(spark, golden.FILE[::-1], tmp_path / "in")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import datasets, reporting
 from tidemark.plans.ingest import ingest_listed
-from tidemark.plans.merge import merge_pending, seed_principal
+from tidemark.plans.merge import merge_all, seed_principal
 from tidemark.plans.store import Store
 from tidemark.session import build_session
 from tidemark.sources import files
@@ -50,6 +50,7 @@ def parser() -> argparse.ArgumentParser:
     merge.add_argument("--checkpoint", help="needed for --continuous")
     merge.add_argument("--delay", type=float, default=0.5, help="seconds between merges")
     merge.add_argument("--max-runs", type=int, help="ingest runs per merge of --continuous")
+    merge.add_argument("--batch-size", type=int, help="staged rows per merge; all without it")
     merge.add_argument("--max-iterations", type=int, default=0, help="stop after so many merges")
     merge.add_argument("--metrics-csv", help="folder for the metrics as CSV")
 
@@ -110,14 +111,14 @@ def _merge(spark, store, args) -> None:
     if args.continuous:
         if not args.checkpoint:
             raise SystemExit("--continuous needs --checkpoint")
-        query = streams.merge_stream(store, args.checkpoint, f"{args.delay} seconds", args.max_runs)
+        query = streams.merge_stream(store, args.checkpoint, f"{args.delay} seconds", args.max_runs, args.batch_size)
         if args.max_iterations:
             streams.await_batches(query, args.max_iterations, timeout=float("inf"))
         else:
             query.awaitTermination()
     else:
-        counts = merge_pending(store)
-        print("staging is empty" if counts is None else counts)
+        merged = merge_all(store, max_rows=args.batch_size)
+        print(*merged or ["staging is empty"], sep="\n")
     if args.metrics_csv:
         files.write_metrics_csv(store.metrics().where(F.col("snapshot") > before), args.metrics_csv)
 

@@ -87,16 +87,28 @@ def _stamps(target: DataFrame, run_ts: Column | None) -> list[Column]:
 
 
 def merge_actions(
-    collapsed: DataFrame, target: DataFrame, key: list[str] = KEY, values: list[str] = VALUES
+    collapsed: DataFrame,
+    target: DataFrame,
+    key: list[str] = KEY,
+    values: list[str] = VALUES,
+    carried: Sequence[str] = (),
 ) -> DataFrame:
-    """Per staged key: `action`, and `superseded`, its older staged versions."""
+    """Per staged key: `action`, and `superseded`, its older staged versions.
+
+    Columns named in `carried` come from the target as `_target_*`; null for new keys.
+    """
     names = {v: f"_target_{v}" for v in values}
+    extra = [f"_target_{c}" for c in carried]
     current = target.select(
-        *key, *[F.col(v).alias(n) for v, n in names.items()], F.lit(True).alias("_present")
+        *key,
+        *[F.col(v).alias(n) for v, n in names.items()],
+        *[F.col(c).alias(n) for c, n in zip(carried, extra, strict=True)],
+        F.lit(True).alias("_present"),
     )
     changed = differs([F.col(v) for v in values], [F.col(n) for n in names.values()])
     return collapsed.join(current, key, "left").select(
         *collapsed.columns,
+        *extra,
         F.when(F.col("_present").isNull(), F.lit(INSERTED))
         .when(changed, F.lit(UPDATED))
         .otherwise(F.lit(UNCHANGED))

@@ -73,6 +73,23 @@ def first_rows(rows: DataFrame, order: str, count: int) -> DataFrame:
     return rows.orderBy(order).limit(count)
 
 
+def nth_value(rows: DataFrame, order: str, n: int, width: int = WIDTH) -> DataFrame:
+    """The `n`-th smallest value of the order column as one row; none if there are fewer rows.
+
+    Rows are counted per range; only the values of the one range with the n-th are
+    ordered, at most `width` of them.
+    """
+    cut = rows.select(F.col(order).alias("_order"), int_div(F.col(order), width).alias("_range"))
+    counts = cut.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    edge = counts.withColumn("_left", F.lit(n) - F.coalesce(F.sum("_rows").over(before), F.lit(0))).filter(
+        "_left > 0 and _left <= _rows"
+    )
+    inside = cut.join(F.broadcast(edge.select("_range", "_left")), "_range")
+    ranked = inside.withColumn("_rank", F.row_number().over(Window.orderBy("_order")))
+    return ranked.filter("_rank = _left").select(F.col("_order").alias(order))
+
+
 def sample_rows(
     rows: DataFrame, key: list[str], count: int | Column, seed: int = 0, hashed: Hash = fast_hash
 ) -> DataFrame:

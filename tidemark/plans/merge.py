@@ -4,17 +4,22 @@ from __future__ import annotations
 
 import datetime as dt
 import time
+from collections.abc import Callable
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators import merging
+from tidemark.operators.ordering import nth_value
 from tidemark.plans.store import METRICS_FILES, SNAPSHOTS, Head, Store
 from tidemark.schemas import KEY, PRINCIPAL, VALUES
 
 # A date is written anew instead of getting one more folder beyond this many.
 MAX_VERSIONS = 8
+# Staged keys are broadcast up to this many bytes.
+BROADCAST_BYTES = 64 << 20
+KEY_BYTES = "length(account_id) + length(asset_id) + 64"
 
 
 @dataclass(frozen=True)
@@ -31,12 +36,18 @@ class MergeCounts:
 
 
 def merge_pending(
-    store: Store, run_ts: dt.datetime | None = None, up_to: int | None = None
+    store: Store,
+    run_ts: dt.datetime | None = None,
+    up_to: int | None = None,
+    max_rows: int | None = None,
 ) -> MergeCounts | None:
-    """Merges all complete ingest runs not merged yet (up to run `up_to`).
+    """Merges what complete ingest runs have staged and no merge has taken (up to run `up_to`).
 
-    Returns None if there is nothing to do.
+    With `max_rows`, the first so many staged rows in the order of `seq`, exactly;
+    the next call goes on behind them. Returns None if there is nothing to do.
     """
+    if max_rows is not None and max_rows < 1:
+        raise ValueError("max_rows must be at least 1")
     spark = store.spark
     started = time.time()
     run_ts = run_ts or dt.datetime.now()
@@ -48,23 +59,27 @@ def merge_pending(
     snapshot = head.snapshot + 1
     stamp = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz")
 
-    # 1. One row per staged key, written: the joins below see its real size and
-    #    broadcast it only if it is small.
-    pending = store.staged_between(head.last_ingest_batch + 1, last)
+    # 1. One row per staged key, written: the join below sees its real size.
+    last, below = _batch_end(store, head, last, max_rows)
+    pending = store.staged_between(head.last_ingest_batch + 1, last).filter(F.col("seq") >= head.merged_below)
+    if below is not None:
+        pending = pending.filter(F.col("seq") < below)
     collapsed_path = store.path("work", merge=snapshot)
     merging.collapse(pending).write.mode("overwrite").parquet(collapsed_path)
     collapsed = spark.read.parquet(collapsed_path)
+    staged = collapsed.groupBy("reference_date").agg(F.sum(F.expr(KEY_BYTES)).alias("bytes")).collect()
 
-    # 2. Compare with the target, reading only the dates that were staged. The
-    #    keys found are written before the rest is derived from them.
+    # 2. One join with the target decides about every key. Only the dates that were
+    #    staged are read, and of a small staging's target only its keys are shuffled.
     layout = head.layout
-    staged_dates = {r[0] for r in collapsed.select("reference_date").distinct().collect()}
+    staged_dates = {r["reference_date"] for r in staged}
     target = store.partitions([(d, v) for d, v in layout if d in staged_dates])
-    changes_path = store.path("changes", snapshot=snapshot)
-    _matched(collapsed, target, stamp).write.mode("overwrite").parquet(f"{changes_path}/kind=matched")
-    matched = spark.read.parquet(f"{changes_path}/kind=matched")
-    _fresh(collapsed, matched, stamp).write.mode("overwrite").parquet(f"{changes_path}/kind=fresh")
-    changes = spark.read.option("basePath", changes_path).parquet(changes_path)
+    if sum(r["bytes"] for r in staged) <= BROADCAST_BYTES:
+        target = target.join(F.broadcast(collapsed.select(*KEY)), KEY, "left_semi")
+    _decided(collapsed, target, stamp).write.mode("overwrite").partitionBy("action").parquet(
+        store.path("changes", snapshot=snapshot)
+    )
+    changes = store.changes_of(snapshot)
 
     # 3. New folders: dates with updates are rewritten, dates with inserts only
     #    get a folder more.
@@ -100,7 +115,9 @@ def merge_pending(
     seconds = time.time() - started
     after = Head(
         snapshot=snapshot,
-        last_ingest_batch=last,
+        last_ingest_batch=last if below is None else last - 1,
+        merged_rows=head.merged_rows + counts.staged,
+        merged_below=below or 0,
         table_rows=head.table_rows + counts.inserted,
         total_processed=head.total_processed + counts.inserted + counts.updated,
         total_seconds=head.total_seconds + seconds,
@@ -111,27 +128,51 @@ def merge_pending(
     return counts
 
 
-def _matched(collapsed: DataFrame, target: DataFrame, stamp) -> DataFrame:
-    found = merging.matched_rows(collapsed, target)
-    changed = F.col("changed")
-    return found.select(
-        *KEY,
-        *[F.col(f"_staged_{v}").alias(v) for v in VALUES],
-        F.when(changed, stamp).otherwise(F.col("updated_at")).alias("updated_at"),
-        "created_at",
-        F.when(changed, F.lit(merging.UPDATED)).otherwise(F.lit(merging.UNCHANGED)).alias("action"),
-        (F.col("versions") - 1).alias("superseded"),
-    )
+def merge_all(
+    store: Store,
+    clock: Callable[[], dt.datetime] = dt.datetime.now,
+    up_to: int | None = None,
+    max_rows: int | None = None,
+) -> list[MergeCounts]:
+    """Merges until nothing is pending (up to run `up_to`), at most `max_rows` staged rows at a time."""
+    done = []
+    while (counts := merge_pending(store, clock(), up_to, max_rows)) is not None:
+        done.append(counts)
+    return done
+
 
+def _batch_end(store: Store, head: Head, last: int, max_rows: int | None) -> tuple[int, int | None]:
+    """The last run of a merge, and the `seq` before which it ends there (None: after the run)."""
+    if max_rows is None:
+        return last, None
+    runs = store.commits().filter(F.col("ingest_batch").between(head.last_ingest_batch + 1, last))
+    run = runs.filter(F.col("total_valid") > head.merged_rows + max_rows).agg(F.min("ingest_batch")).first()[0]
+    if run is None:
+        return last, None
+    # Rows of earlier runs come first; `left` rows of this one follow.
+    taken = max(store.commit(run - 1)["total_valid"], head.merged_rows)
+    left = max_rows - (taken - head.merged_rows)
+    if not left:
+        return run - 1, None
+    rows = store.staged_between(run, run).filter(F.col("seq") >= head.merged_below)
+    return run, nth_value(rows, "seq", left).first()["seq"] + 1
 
-def _fresh(collapsed: DataFrame, matched: DataFrame, stamp) -> DataFrame:
-    return merging.inserted_rows(collapsed, matched).select(
+
+def _decided(collapsed: DataFrame, target: DataFrame, stamp) -> DataFrame:
+    """Per staged key the row that the table has after the merge, and the action.
+
+    A new key takes `created_at` from staging, others keep theirs; `updated_at`
+    moves with the values only.
+    """
+    actions = merging.merge_actions(collapsed, target, carried=("updated_at", "created_at"))
+    new, same = F.col("action") == merging.INSERTED, F.col("action") == merging.UNCHANGED
+    return actions.select(
         *KEY,
         *VALUES,
-        stamp.alias("updated_at"),
-        "created_at",
-        F.lit(merging.INSERTED).alias("action"),
-        (F.col("versions") - 1).alias("superseded"),
+        F.when(same, F.col("_target_updated_at")).otherwise(stamp).alias("updated_at"),
+        F.when(new, F.col("created_at")).otherwise(F.col("_target_created_at")).alias("created_at"),
+        "superseded",
+        "action",
     )
 
 
@@ -152,7 +193,14 @@ def _write_version(store: Store, changes: DataFrame, layout, rewritten, snapshot
 
 
 def _write_snapshot(store: Store, head: Head) -> None:
-    shared = (head.last_ingest_batch, head.table_rows, head.total_processed, head.total_seconds)
+    shared = (
+        head.last_ingest_batch,
+        head.table_rows,
+        head.total_processed,
+        head.total_seconds,
+        head.merged_rows,
+        head.merged_below,
+    )
     rows = [(d, v, *shared) for d, v in head.layout] or [(None, None, *shared)]
     store.spark.createDataFrame(rows, SNAPSHOTS).coalesce(1).write.mode("overwrite").parquet(
         store.path("snapshots", snapshot=head.snapshot)

@@ -517,6 +517,25 @@ ORACLES: dict[str, str] = {
           UNION ALL SELECT 'counter', 'duplicate', CASE WHEN is_valid AND twice THEN 1 ELSE 0 END FROM landed)
         SELECT kind, name, CAST(sum(n) AS BIGINT) AS n FROM named GROUP BY kind, name""",
     "merge_store": LAST_OF_ALL,
+    "merge_batches": f"""
+        WITH {sides()},
+        pos AS (SELECT s.*, (row_number() OVER (ORDER BY seq) - 1) // (SELECT count(*) // 3 + 1 FROM staged) + 1 AS batch
+                FROM staged s),
+        states AS (
+          SELECT 0 AS batch, account_id, asset_id, reference_date, quantity, amount, 1 AS versions FROM tgt
+          UNION ALL
+          SELECT batch, account_id, asset_id, reference_date, arg_max(quantity, seq), arg_max(amount, seq), count(*)
+          FROM pos GROUP BY ALL),
+        steps AS (
+          SELECT *, lag(batch) OVER k IS NULL AS fresh,
+                 lag(quantity) OVER k IS DISTINCT FROM quantity OR lag(amount) OVER k IS DISTINCT FROM amount AS moved
+          FROM states WINDOW k AS (PARTITION BY account_id, asset_id, reference_date ORDER BY batch)),
+        counted AS (
+          SELECT batch, count(*) FILTER (fresh) AS inserted, count(*) FILTER (NOT fresh AND moved) AS updated,
+                 count(*) FILTER (NOT fresh AND NOT moved) AS unchanged,
+                 CAST(sum(versions - 1) AS BIGINT) AS superseded
+          FROM steps WHERE batch > 0 GROUP BY batch)
+        SELECT *, CAST(sum(inserted + updated) OVER (ORDER BY batch) AS BIGINT) AS total_processed FROM counted""",
     "load_store": f"""
         WITH {LINES}
         SELECT account_id, asset_id, CAST(CAST(date_trunc('month', reference_date) AS DATE) AS VARCHAR) AS reference_date,

@@ -25,7 +25,7 @@ from tidemark.operators import (
 )
 from tidemark.plans import fixtures as X
 from tidemark.plans.ingest import ingest_files, ingest_listed
-from tidemark.plans.merge import merge_pending, seed_principal
+from tidemark.plans.merge import merge_all, merge_pending, seed_principal
 from tidemark.plans.store import LEDGER, Store
 from tidemark.schemas import KEY, VALUES
 from tidemark.session import scratch_dir
@@ -621,6 +621,24 @@ def merge_store(spark, sf_dir):
     return store.principal().select(*KEY, *VALUES)
 
 
+@registered
+def merge_batches(spark, sf_dir):
+    """Staging merged in three batches of rows; the second and third begin inside an ingest run."""
+    root = scratch_dir(spark, "store")
+    store = Store(spark, f"{root}/tables")
+    staged = X.staged(spark, sf_dir)
+    seed_principal(store, X.target_values(spark, sf_dir), RUN_TIME)
+    ordered = staged.withColumn("reference_date", F.col("reference_date").cast("timestamp_ntz"))
+    ordered.orderBy("seq").select(*KEY, *[F.col(v).cast("double").alias(v) for v in VALUES]).write.parquet(f"{root}/in")
+    # One time for all files, so that their names order them.
+    rows = files.scan(spark, f"{root}/in").withColumn("file_time", F.lit(RUN_TIME))
+    ingest_files(store, rows, run_ts=RUN_TIME)
+    merge_all(store, lambda: RUN_TIME, max_rows=store.counts()["staging"] // 3 + 1)
+    return store.metrics().select(
+        (F.col("snapshot") - 1).alias("batch"), "inserted", "updated", "unchanged", "superseded", "total_processed"
+    )
+
+
 @registered
 def load_store(spark, sf_dir):
     """Monthly positions from the line items, landed and merged into a new table."""

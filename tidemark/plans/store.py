@@ -3,7 +3,7 @@
     landed/ingest_batch=<n>/attempt=<a>/outcome=<staged|rejected>/   rows of one ingest run
     ledger/bucket=<b>/ingest_batch=<n>/attempt=<a>/      one row per file of the run, by a hash of its name
     commits/ingest_batch=<n>/attempt=<a>/                one row: the run is complete
-    changes/snapshot=<r>/kind=<matched|fresh>/           what merge r decided per key
+    changes/snapshot=<r>/action=<inserted|updated|unchanged>/   what merge r decided per key
     principal/version=<r>/reference_date=<d>/            rows written by merge r
     attempts/                                            files that could not be read
     snapshots/snapshot=<r>/                              which versions make up the table
@@ -79,6 +79,17 @@ SNAPSHOTS = T.StructType(
         T.StructField("table_rows", T.LongType()),
         T.StructField("total_processed", T.LongType()),
         T.StructField("total_seconds", T.DoubleType()),
+        T.StructField("merged_rows", T.LongType()),
+        T.StructField("merged_below", T.LongType()),
+    ]
+)
+
+CHANGES = T.StructType(
+    schemas.PRINCIPAL.fields
+    + [
+        T.StructField("superseded", T.LongType()),
+        T.StructField("action", T.StringType()),
+        T.StructField("snapshot", T.LongType()),
     ]
 )
 
@@ -89,13 +100,19 @@ class RunExists(RuntimeError):
 
 @dataclass(frozen=True)
 class Head:
-    """The current snapshot."""
+    """The current snapshot.
+
+    All staged rows up to run `last_ingest_batch` are merged, and of the run after
+    it those with a `seq` under `merged_below`: `merged_rows` staged rows in all.
+    """
 
     snapshot: int = 0
     last_ingest_batch: int = 0
     table_rows: int = 0
     total_processed: int = 0
     total_seconds: float = 0.0
+    merged_rows: int = 0
+    merged_below: int = 0
     layout: tuple[tuple[dt.date, int], ...] = ()
 
 PRINCIPAL_FILES = T.StructType(
@@ -297,7 +314,9 @@ class Store:
 
     def pending(self) -> DataFrame:
         """Staged rows that no merge has taken yet."""
-        return self.staged_between(self.last_merged() + 1, self.last_commit())
+        head = self.head()
+        rows = self.staged_between(head.last_ingest_batch + 1, self.last_commit())
+        return rows.filter(F.col("seq") >= head.merged_below)
 
     def errors(self) -> DataFrame:
         return (
@@ -327,6 +346,8 @@ class Store:
             layout = sorted((r["reference_date"], r["version"]) for r in rows if r["reference_date"])
             first = rows[0].asDict()
             shared = {n: first[n] for n in SNAPSHOTS.names if n not in ("reference_date", "version")}
+            if shared["merged_rows"] is None:  # written before merges could end inside a run
+                shared |= {"merged_rows": self.commit(shared["last_ingest_batch"])["total_valid"], "merged_below": 0}
             self._contents[path] = Head(snapshot=snapshot, layout=tuple(layout), **shared)
         return self._contents[path]
 
@@ -357,20 +378,22 @@ class Store:
 
     def changes(self) -> DataFrame:
         """Per merged key and snapshot: the action taken."""
-        path = self.path("changes")
-        done = self.last_snapshot()
-        return self.spark.read.option("basePath", path).parquet(path).filter(F.col("snapshot") <= done)
+        return self.read("changes", CHANGES).filter(F.col("snapshot") <= self.last_snapshot())
+
+    def changes_of(self, snapshot: int) -> DataFrame:
+        """The decisions of one merge, complete or not."""
+        path = self.path("changes", snapshot=snapshot)
+        return self.spark.read.schema(CHANGES).option("basePath", self.path("changes")).parquet(path)
 
     def metrics(self) -> DataFrame:
         return self.read("metrics", METRICS_FILES).filter(F.col("snapshot") <= self.last_snapshot())
 
     def counts(self) -> dict[str, int]:
-        """Staging, principal and error counts, from two commits and the snapshot."""
+        """Staging, principal and error counts, from the last commit and the snapshot."""
         head = self.head()
         newest = self.commit(self.last_commit())
-        merged = self.commit(head.last_ingest_batch)
         return {
-            "staging": newest["total_valid"] - merged["total_valid"],
+            "staging": newest["total_valid"] - head.merged_rows,
             "principal": head.table_rows,
             "errors": newest["total_rejected"],
         }

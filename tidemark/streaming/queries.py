@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tidemark.plans.ingest import ingest_listed
-from tidemark.plans.merge import merge_pending
+from tidemark.plans.merge import merge_all
 from tidemark.plans.store import COMMITS, Store
 from tidemark.sources.files import new_files
 
@@ -54,12 +54,14 @@ def merge_stream(
     checkpoint: str,
     every: str | None = None,
     max_runs: int | None = None,
+    max_rows: int | None = None,
     clock: Callable[[], dt.datetime] = dt.datetime.now,
 ) -> StreamingQuery:
     """Merges whenever ingest runs are committed.
 
     The commit folder is the stream: one small file per run. What is merged
-    follows from the snapshot, so a replay has nothing left to merge.
+    follows from the snapshot, so a replay has nothing left to merge. With `max_rows`,
+    one micro-batch is as many merges of at most so many staged rows as it takes.
     """
     store.make(store.path("commits"))  # a stream may start before the first run
     reader = store.spark.readStream.schema(COMMITS).option("recursiveFileLookup", "false")
@@ -69,7 +71,7 @@ def merge_stream(
     def merge(commits: DataFrame, epoch: int) -> None:
         last = commits.agg({"ingest_batch": "max"}).first()[0]
         if last is not None:
-            merge_pending(store, run_ts=clock(), up_to=last)
+            merge_all(store, clock, last, max_rows)
 
     writer = reader.parquet(store.path("commits")).writeStream.foreachBatch(merge)
     return _started(writer, checkpoint, every)

@@ -113,9 +113,10 @@ def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): every linked node and the smallest node it reaches.
 
     `links` has two long columns. Alternating large and small stars; each round
-    is a minimum per node (combined before the shuffle) and a join, so a node
-    with very many links is never gathered in one place. Rounds grow with the
-    logarithm of the longest chain. Nodes without links are not returned.
+    is a minimum per node (combined before the shuffle) and a join. Each task first
+    cuts its links to a spanning forest, but the join sends what is left of a node
+    with very many links to one task. Rounds grow with the logarithm of the longest
+    chain. Nodes without links are not returned.
     """
     a, b = links.columns
     links = links.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u != v")

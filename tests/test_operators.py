@@ -312,6 +312,34 @@ def test_spaced_rows(spark, block, monkeypatch):
     assert spacing.spaced(rows.limit(0), "ts", 2.5, "n").count() == 0
 
 
+@pytest.mark.parametrize(("block", "times", "cells"), [(1, 1, 4), (3, 5, 8), (8, 10, 50), (4096, 30, 4096), (4096, 200, 7)])
+def test_spaced_rows_of_dense_times(spark, block, times, cells, monkeypatch):
+    for name, value in {"BLOCK": block, "TIMES": times, "CELLS": cells}.items():
+        monkeypatch.setattr(spacing, name, value)
+    rnd = random.Random(times)
+    base = dt.datetime(2024, 3, 1)
+    # Run a: dense throughout; b: rows at the start of intervals only; c: dense, empty and thin stretches; null: few.
+    seconds = [("a", rnd.random() * 30) for _ in range(700)]
+    seconds += [("b", 2.5 * rnd.randrange(40) + rnd.random() / 4) for _ in range(300)]
+    seconds += [("c", x + y) for x, n in ((0, 200), (60, 9), (500, 150)) for y in (rnd.random() * 12 for _ in range(n))]
+    seconds += [(None, rnd.random() * 20) for _ in range(20)]
+    data = [(r, base + dt.timedelta(seconds=round(s, 2)), n) for n, (r, s) in enumerate(seconds)]
+    rows = spark.createDataFrame(data, "run string, ts timestamp, n long").repartition(3)
+    wanted = set()
+    for run in ("a", "b", "c", None):
+        last = None
+        for t, n in sorted((t, n) for r, t, n in data if r == run):
+            if last is None or t - last >= dt.timedelta(seconds=2.5):
+                wanted.add((run, t, n))
+                last = t
+    assert {tuple(r) for r in spacing.spaced(rows, "ts", 2.5, "n", "run").collect()} == wanted
+    held = rows.selectExpr("run", "unix_micros(ts) as at").distinct()
+    # A slice ends with the cell that fills it.
+    cell = held.groupBy("run", F.expr(f"floor(at / {2_500_000 * block})"), F.expr(f"pmod(at, 2500000) * {cells} div 2500000")).count()
+    largest = spacing.slices(held, 2_500_000).groupBy(*spacing.GROUP).count().agg({"count": "max"}).first()[0]
+    assert largest < times + cell.agg({"count": "max"}).first()[0]
+
+
 def test_await_conditions(spark):
     runs = {
         "merged": [0, 5, 5, 3, 2, 1, 1, 0, 0],

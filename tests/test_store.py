@@ -285,6 +285,29 @@ def test_merges_of_so_many_rows(spark, tmp_path, monkeypatch, size, limit):
         merge_pending(store, T1, max_rows=0)
 
 
+def test_many_staged_keys_are_shuffled_once(spark, tmp_path, monkeypatch):
+    from tidemark.plans import merge
+
+    decided, plans = merge._decided, []
+
+    def noted(*frames):
+        found = decided(*frames)
+        plans.append(found._jdf.queryExecution().executedPlan().toString())
+        return found
+
+    monkeypatch.setattr(merge, "_decided", noted)
+    monkeypatch.setattr(merge, "BROADCAST_BYTES", 0)
+    store = Store(spark, str(tmp_path / "store"))
+    for n, rows in enumerate((golden.SEED, golden.FILE)):
+        golden.write(spark, rows, tmp_path / f"in{n}")
+        ingest_files(store, scan(spark, str(tmp_path / f"in{n}")), run_ts=T1)
+        counts = merge_pending(store, T1)
+        assert not store.exists(store.path("work", merge=counts.snapshot))
+    assert (counts.inserted, counts.updated, counts.unchanged, counts.superseded) == (17, 3, 0, 0)
+    # The aggregate's shuffle, and in the second merge that of the target.
+    assert [plan.count("Exchange hashpartitioning") for plan in plans] == [1, 2]
+
+
 def test_large_manifest_path_gives_the_same_rows(spark, tmp_path, monkeypatch):
     golden.write(spark, golden.FILE, tmp_path / "in")
     golden.write(spark, golden.FILE[::-1], tmp_path / "in")

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import merging
 from tidemark.operators.ordering import nth_value
-from tidemark.plans.store import METRICS_FILES, SNAPSHOTS, Head, Store
+from tidemark.plans.store import CODEC, METRICS_FILES, SNAPSHOTS, Head, Store
 from tidemark.schemas import KEY, PRINCIPAL, VALUES
 
 # A date is written anew instead of getting one more folder beyond this many.
@@ -59,24 +59,32 @@ def merge_pending(
     snapshot = head.snapshot + 1
     stamp = F.lit(run_ts.isoformat(sep=" ")).cast("timestamp_ntz")
 
-    # 1. One row per staged key, written: the join below sees its real size.
+    # 1. What is staged, and one row per key of it. Few keys are written: the join below
+    #    sees their real size. Many go from the aggregate into the join, which needs no
+    #    other distribution: they are shuffled once.
     last, below = _batch_end(store, head, last, max_rows)
     pending = store.staged_between(head.last_ingest_batch + 1, last).filter(F.col("seq") >= head.merged_below)
     if below is not None:
         pending = pending.filter(F.col("seq") < below)
-    collapsed_path = store.path("work", merge=snapshot)
-    merging.collapse(pending).write.mode("overwrite").parquet(collapsed_path)
-    collapsed = spark.read.parquet(collapsed_path)
-    staged = collapsed.groupBy("reference_date").agg(F.sum(F.expr(KEY_BYTES)).alias("bytes")).collect()
+    collapsed = merging.collapse(pending)
+    staged = pending.groupBy("reference_date").agg(F.sum(F.expr(KEY_BYTES)).alias("bytes")).collect()
+    small = sum(r["bytes"] for r in staged) <= BROADCAST_BYTES
+    if small:
+        collapsed_path = store.path("work", merge=snapshot)
+        collapsed.write.mode("overwrite").parquet(collapsed_path)
+        collapsed = spark.read.parquet(collapsed_path)
 
     # 2. One join with the target decides about every key. Only the dates that were
     #    staged are read, and of a small staging's target only its keys are shuffled.
     layout = head.layout
     staged_dates = {r["reference_date"] for r in staged}
-    target = store.partitions([(d, v) for d, v in layout if d in staged_dates])
-    if sum(r["bytes"] for r in staged) <= BROADCAST_BYTES:
+    read = [(d, v) for d, v in layout if d in staged_dates]
+    target = store.partitions(read)
+    if not read:
+        target = F.broadcast(target)  # no rows: the staged keys need not be shuffled or sorted
+    elif small:
         target = target.join(F.broadcast(collapsed.select(*KEY)), KEY, "left_semi")
-    _decided(collapsed, target, stamp).write.mode("overwrite").partitionBy("action").parquet(
+    _decided(collapsed, target, stamp).write.mode("overwrite").option("compression", CODEC).partitionBy("action").parquet(
         store.path("changes", snapshot=snapshot)
     )
     changes = store.changes_of(snapshot)
@@ -189,7 +197,7 @@ def _write_version(store: Store, changes: DataFrame, layout, rewritten, snapshot
         changes.filter(F.col("action") == merging.UPDATED).select(*KEY), KEY, "left_anti"
     )
     rows = new.unionByName(stay) if rewritten else new
-    rows.write.mode("overwrite").partitionBy("reference_date").parquet(path)
+    rows.write.mode("overwrite").option("compression", CODEC).partitionBy("reference_date").parquet(path)
 
 
 def _write_snapshot(store: Store, head: Head) -> None:
@@ -244,7 +252,7 @@ def seed_principal(store: Store, records: DataFrame, run_ts: dt.datetime | None
     shaped = (
         shaped.groupBy(*KEY).agg(F.max(F.struct(*others)).alias("kept")).select(*KEY, "kept.*").select(*PRINCIPAL.names)
     )
-    shaped.hint("rebalance", "reference_date").write.mode("overwrite").partitionBy(
+    shaped.hint("rebalance", "reference_date").write.mode("overwrite").option("compression", CODEC).partitionBy(
         "reference_date"
     ).parquet(path)
     written = store.spark.read.schema("reference_date date").parquet(path)

@@ -30,6 +30,9 @@ from pyspark.sql import types as T
 from tidemark import schemas
 from tidemark.operators.routing import REJECTED, STAGED
 
+# Of the tables of rows. Hashes in hexadecimal need a codec that codes symbols, too.
+CODEC = "zstd"
+
 LANDED = T.StructType(
     schemas.STAGING.fields
     + [f for f in schemas.ERROR.fields if f.name in ("payload", "error_reason")]

@@ -3,6 +3,7 @@
 import hashlib
 import json
 import math
+from decimal import Decimal
 
 import golden
 from hypothesis import given, settings
@@ -10,8 +11,9 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions import keys, numbers
+from tidemark.functions.rules import DEFAULT_RULES
 from tidemark.functions.text import WHITESPACE, float_text, is_blank, record_hash, row_payload
-from tidemark.schemas import INPUT
+from tidemark.schemas import AMOUNT, INPUT, QUANTITY
 
 EDGES = [
     0.0, -0.0, 1.0, -100.0, 1e-3, 9.99e-4, 1e-4, 9.9e-5, 1.2345e-4, 1e7, 12345678.9, 1e15,
@@ -116,3 +118,17 @@ def test_nanoseconds(spark):
         "1970-01-01 00:00:00",
         "None",
     ]
+
+
+def test_range_rules_cast_none_but_large_numbers(spark):
+    """The range test equals the cast, also next to the bounds and where a double is coarser than the column."""
+    doubles = [0.0, 1.5, 9999999999999.99, 1e13, 1e14, 1e15, 1e16, 1e300]
+    doubles += [math.nextafter(x, to) for x in (1e13, 1e14, 1e15, 1e16) for to in (0.0, math.inf)]
+    decimals = ["99999999999999.999", "99999999999999.9999", "99999999999999.99995", "100000000000000.0000", "1"]
+    wide = spark.createDataFrame([(Decimal(d),) for d in decimals], "v decimal(38,10)")
+    for values in (spark.createDataFrame([(d,) for d in doubles], "v double"), wide):
+        for rule, kind in zip(DEFAULT_RULES[-2:], (QUANTITY, AMOUNT), strict=True):
+            rows = values.withColumnRenamed("v", rule.name)
+            cast = f"try_cast({rule.name} as {kind.simpleString()}) is null"
+            assert rows.filter(f"({rule.broken}) <> ({cast})").count() == 0
+            assert 0 < rows.filter(rule.broken).count() < rows.count() or kind == AMOUNT

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+from pyspark.sql.types import DecimalType
+
 from tidemark.functions.text import is_blank
 from tidemark.schemas import AMOUNT, QUANTITY
 
@@ -26,11 +28,14 @@ def _not_a_size(c: str) -> str:
     return f"({c} is null or isnan({x}) or {x} < 0)"
 
 
-def _size_rule(name: str, kind: str) -> Rule:
+def _size_rule(name: str, kind: DecimalType) -> Rule:
+    """A size that the stored decimal holds. Only numbers with as many digits before the
+    point as it has, or nearly, are cast: that is an object and its text for each row."""
     invalid = _not_a_size(name)
+    large = f"cast({name} as double) >= 1e{kind.precision - kind.scale - 1}D"
     return Rule(
         name,
-        f"({invalid} or try_cast({name} as {kind}) is null)",
+        f"({invalid} or {large} and try_cast({name} as {kind.simpleString()}) is null)",
         f"concat(if({invalid}, '{name} is invalid: ', '{name} is out of range: '), {name}_text)",
     )
 
@@ -39,8 +44,8 @@ DEFAULT_RULES = [
     Rule("account_id", is_blank("account_id"), "'account_id is empty'"),
     Rule("asset_id", is_blank("asset_id"), "'asset_id is empty'"),
     Rule("reference_date", "reference_date is null", "'reference_date is null'"),
-    _size_rule("quantity", QUANTITY.simpleString()),
-    _size_rule("amount", AMOUNT.simpleString()),
+    _size_rule("quantity", QUANTITY),
+    _size_rule("amount", AMOUNT),
 ]
 
 

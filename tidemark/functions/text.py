@@ -26,10 +26,10 @@ def quoted(text: str) -> str:
 def is_blank(c: str) -> str:
     """True for null, empty and white-space-only text.
 
-    `btrim` with a character list stops at the first other character, so a
-    normal id costs two comparisons.
+    `ltrim` with a character list stops at the first other character, so a
+    normal id costs one comparison.
     """
-    return f"coalesce(btrim({c}, {quoted(WHITESPACE)}) = '', true)"
+    return f"coalesce(ltrim({quoted(WHITESPACE)}, {c}) = '', true)"
 
 
 def float_text(c: str) -> str:

@@ -174,6 +174,15 @@ class Store:
         fs, hadoop_path = self._hadoop(path)
         fs.mkdirs(hadoop_path)
 
+    def move(self, path: str, target: str) -> bool:
+        """Moves a folder to a new name; False if there is none."""
+        fs, hadoop_path = self._hadoop(path)
+        if not fs.exists(hadoop_path):
+            return False
+        if not fs.rename(hadoop_path, self._hadoop(target)[1]):
+            raise OSError(f"{path} was not moved to {target}")
+        return True
+
     def drop(self, path: str) -> None:
         fs, hadoop_path = self._hadoop(path)
         fs.delete(hadoop_path, True)

@@ -1,9 +1,12 @@
 """Operators on documents against plain versions, on rows with everything odd in them."""
 
 import hashlib
+import random
+import tracemalloc
 from collections import Counter
 
 import brute
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,6 +55,38 @@ def test_suffix_lengths(spark, length):
     assert found == dict(enumerate(brute.suffix(texts, length)))
 
 
+def test_suffix_parts(spark, documents, rows, monkeypatch):
+    """Texts cut into many parts, sets ranked a few at a time."""
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 700)
+    monkeypatch.setattr(suffix_dedup, "ROWS", 50)
+    found = suffix_dedup.removal_digest(documents)
+    wanted = [(i, *x) for (i, _), x in zip(rows, brute.suffix([t for _, t in rows]), strict=True)]
+    assert Counter(map(tuple, found.collect())) == Counter(wanted)
+
+
+def test_suffix_memory():
+    """What a task holds does not grow with the length of a text, nor with the sets of a batch."""
+
+    def peak(run, batch):
+        tracemalloc.start()
+        n, most = 0, 0
+        for out in run(iter([batch])):
+            n, most = n + out.num_rows, max(most, out.num_rows)
+        size = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return n, most, size
+
+    text = random.Random(1).randbytes(1 << 22).hex()  # 8 MB
+    ids = [pa.array([7], pa.int64()), pa.array([8], pa.int32()), pa.array([text])]
+    n, _, size = peak(suffix_dedup._first_ranks(400), pa.RecordBatch.from_arrays(ids, ["t1", "t2", "text"]))
+    assert n > len(text) / 256
+    assert size < 25 * len(text)
+    sets = pa.array([[{"at": at, "low": 0, "high": 255} for at in range(255, 1 << 20, 130)]])
+    n, most, size = peak(suffix_dedup._next_ranks(400, 16), pa.RecordBatch.from_arrays([*ids, sets], ["t1", "t2", "text", "sets"]))
+    assert n == 16 * len(sets[0]) and most <= suffix_dedup.ROWS
+    assert size < 6 * len(text)
+
+
 @pytest.mark.parametrize("words", [2, 5])
 def test_near_duplicates(documents, empty, rows, words):
     made = ["n_shingles", "component_id", "kept"]

@@ -64,6 +64,40 @@ def test_suffix_parts(spark, documents, rows, monkeypatch):
     assert Counter(map(tuple, found.collect())) == Counter(wanted)
 
 
+def test_suffix_copies(spark, monkeypatch):
+    """Joins on texts are split where one text has very many copies."""
+    draw, plans, store = random.Random(2), {}, suffix_dedup.stored
+    texts = [draw.randbytes(300).hex() for _ in range(60)]
+    texts += [texts[0]] * 300 + [t[:500] + draw.randbytes(50).hex() for t in texts[1:]]
+    draw.shuffle(texts)
+    other = spark.newSession()
+    for name, value in {
+        "autoBroadcastJoinThreshold": "-1",
+        "shuffle.partitions": "16",
+        "adaptive.coalescePartitions.enabled": "false",
+        "adaptive.advisoryPartitionSizeInBytes": "2k",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "2k",
+        "adaptive.skewJoin.skewedPartitionFactor": "2",
+    }.items():
+        other.conf.set(f"spark.sql.{name}", value)
+
+    def rows(frame, label):
+        found = frame.collect()
+        plans[label] = frame._jdf.queryExecution().executedPlan().toString()
+        return found
+
+    def watched(frame, label):
+        if label == "suffix-texts":
+            rows(frame, label)
+        return store(frame, label)
+
+    monkeypatch.setattr(suffix_dedup, "stored", watched)
+    frame = other.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(12)
+    found = {r[0]: tuple(r)[1:] for r in rows(suffix_dedup.removal_digest(frame), "result")}
+    assert found == dict(enumerate(brute.suffix(texts)))
+    assert all("skew=true" in plans[label].split("Initial Plan")[0] for label in ("suffix-texts", "result"))
+
+
 def test_suffix_memory():
     """What a task holds does not grow with the length of a text, nor with the sets of a batch."""
 

@@ -6,6 +6,7 @@ from collections import Counter
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from tidemark.llm import alignment
@@ -35,6 +36,42 @@ def test_alignment(spark, documents, empty, rows, monkeypatch, small):
     assert alignment.token_alignment(empty, A, B).count() == 0
 
 
+def _stored_blocks(monkeypatch):
+    """Frames of stored blocks, in the order they are made."""
+    made, real = [], alignment.stored
+
+    def stored(frame, label, **options):
+        out = real(frame, label, **options)
+        made.extend([out] if label == "token-pairs" else [])
+        return out
+
+    monkeypatch.setattr(alignment, "stored", stored)
+    return made
+
+
+def test_stored_rows_and_row_groups_are_small(spark, monkeypatch):
+    """What a reader or writer of the blocks holds at once does not grow with a block or a file."""
+    draw, made = random.Random(7), _stored_blocks(monkeypatch)
+    texts = [(i, " ".join("".join(draw.choices("abcdefghij", k=6)) for _ in range(1000))) for i in range(400)]
+    frame = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    assert alignment.token_alignment(frame, A, B).count() == len(texts)
+    files = [pq.ParquetFile(p.removeprefix("file://")) for p in made[0].inputFiles()]
+    sizes = [f.metadata.row_group(i).total_byte_size for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(sizes) > 6e6 and max(sizes) < 5e6
+    assert max(batch.nbytes for f in files for batch in f.iter_batches(1)) < 1 << 18
+
+
+def test_alignment_of_chunks(spark, documents, rows, monkeypatch):
+    for name, value in (("CHUNK", 64), ("SEGMENTS", 200)):
+        monkeypatch.setattr(alignment, name, value)
+    made = _stored_blocks(monkeypatch)
+    columns = ["id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256", "n_group_links"]
+    found = alignment.token_alignment(documents.repartition(3), A, B).select(*columns).collect()
+    wanted = brute.alignment([t for _, t in rows])
+    assert Counter(map(tuple, found)) == Counter((i, *w) for (i, _), w in zip(rows, wanted, strict=True))
+    assert made[0].where("first > 0 and data is not null").count() and made[0].where("first > 0 and pairs is not null").count()
+
+
 def test_segments_of_random_texts():
     """Segments give what both libraries give for whole texts."""
     draw, alphabet = random.Random(5), "ab Z9.'\t\n\r\x0b\x0c\x1c\x85\u00a0\u2003\u3000});éß漢🙂_s"

@@ -13,11 +13,11 @@ product's symbolic step and written out in blocks of rows only on demand.
 The corpus' matrices are block diagonal, with equal blocks for equal segments: texts are cut
 before white space, which no token of either vocabulary crosses. A task multiplies each
 distinct segment of a block of documents once, in stretches of rows, so memory does not grow
-with the length of a text, and writes one row per block: the documents' results, their
-segments by number, the segments' links, and the distinct id pairs with their counts. Pair
-counts are summed over the corpus (combined before the shuffle) and stored; each block gets
-the counts of its own pairs back. No text is shuffled, and a pair that all documents hold has
-one row per block.
+with the length of a text, and writes each block in rows of at most 128 KB: the documents'
+results, their segments by number and the segments' links, cut into chunks, and the distinct id
+pairs with their counts. Pair counts are summed over the corpus (combined before the shuffle) and
+stored; each block gets its chunks and the counts of its own pairs together. No text is shuffled,
+and a pair that all documents hold has one row per block.
 
 Tokenizers: (A) a byte-level BPE from a `tokenizers` file, read into the faster `tiktoken`
 library, whose ids are the same (tests compare them); texts with very long runs of white
@@ -54,6 +54,9 @@ SEGMENTS = 1 << 17  # of a block
 SEGMENT_BYTES = 1 << 24
 REFERENCES = 1 << 21
 BLOCK_DOCS = 1 << 16
+CHUNK = 1 << 17  # bytes of a stored row of a block
+# Rows of a row group and of a page: readers and writers hold 4 MB of blocks, however many blocks a file has.
+ROW_GROUPS = {"parquet.block.row.count.limit": "32", "parquet.page.row.count.limit": "8"}
 LONG_BLANK = 1000
 ID_BITS = 16  # both vocabularies are smaller
 
@@ -338,7 +341,7 @@ class _Block:
     def __bool__(self) -> bool:
         return bool(self._ids)
 
-    def row(self, block: int) -> pa.RecordBatch:
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         strings = list(self._slots)
         part, size, parts = [], 0, []
         for string in [*strings, None]:
@@ -387,16 +390,10 @@ class _Block:
         first = np.cumsum(links) - links
         at = np.repeat(first[used] - (np.cumsum(links[used]) - links[used]), links[used]) + np.arange(links[used].sum())
         packed = _ipc(head), _planes(rank[refs]), links[used].astype("<u4").tobytes(), _planes(pair_rank[place[at]])
-        one = lambda values: pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, pa.int64()))
-        return pa.RecordBatch.from_arrays(
-            [
-                pa.array([block], pa.int64()),
-                *(pa.array([p], pa.binary()) for p in packed),
-                one(pairs[by_count]),
-                one(counts[by_count]),
-            ],
-            ["block", "head", "refs", "sizes", "places", "pairs", "counts"],
-        )
+        yield from _chunks(block, packed)
+        for start in range(0, len(by_count), CHUNK // 16):
+            part = by_count[start : start + CHUNK // 16]
+            yield _row(block, first=start, pairs=pairs[part], counts=counts[part])
 
     def _segments(self, strings: list[str]) -> tuple[np.ndarray, list[bytes], np.ndarray]:
         """(good and the numbers of HEAD, group text, pairs of all links) of some segments."""
@@ -418,6 +415,30 @@ class _Block:
         return stats, group_texts(found, a, b, self._words), keys
 
 
+ROW = pa.schema(
+    [
+        ("block", pa.int64()),
+        ("part", pa.int32()),
+        ("first", pa.int64()),
+        ("data", pa.binary()),
+        ("pairs", pa.list_(pa.int64())),
+        ("counts", pa.list_(pa.int64())),
+    ]
+)
+BLOCKS = "block long, part int, first long, data binary, pairs array<long>, counts array<long>"
+PARTS = ("head", "refs", "sizes", "places")
+
+
+def _row(block: int, **values: object) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([{"block": block, **values}], ROW)
+
+
+def _chunks(block: int, parts: tuple[bytes, ...]) -> Iterator[pa.RecordBatch]:
+    for part, data in enumerate(parts):
+        for first in range(0, len(data), CHUNK):
+            yield _row(block, part=part, first=first, data=data[first : first + CHUNK])
+
+
 def _ipc(table: pa.Table) -> bytes:
     sink = pa.BufferOutputStream()
     with pa.ipc.new_stream(sink, table.schema) as stream:
@@ -445,23 +466,23 @@ def _blocks(a_path: str, b_path: str, id_type: pa.DataType) -> Callable:
         for batch in pieces(batches, 1, TEXT_BYTES):
             block.add(batch.column(0).cast(id_type), batch.column(1).to_pylist())
             if block.full():
-                yield block.row(number)
+                yield from block.rows(number)
                 block, number = _Block(tokenizers, words), number + 1
         if block:
-            yield block.row(number)
+            yield from block.rows(number)
 
     return run
 
 
-BLOCKS = "block long, head binary, refs binary, sizes binary, places binary, pairs array<long>, counts array<long>"
-
-
 def _per_document(blocks: pa.Table, found: pa.Table) -> pa.Table:
     """A block's documents with the sums over their links."""
-    row = blocks.to_pylist()[0]
-    head = pa.ipc.open_stream(row["head"]).read_all()
-    refs, places = _numbers(row["refs"]), _numbers(row["places"])
-    segment_ends = np.cumsum(np.frombuffer(row["sizes"], "<u4").astype(np.int64))
+    chunks: list[list[bytes]] = [[] for _ in PARTS]
+    for row in blocks.sort_by([("part", "ascending"), ("first", "ascending")]).to_pylist():
+        chunks[row["part"]].append(row["data"])
+    stream, refs, sizes, places = map(b"".join, chunks)
+    head = pa.ipc.open_stream(stream).read_all()
+    refs, places = _numbers(refs), _numbers(places)
+    segment_ends = np.cumsum(np.frombuffer(sizes, "<u4").astype(np.int64))
     segment_starts = np.concatenate([[0], segment_ends[:-1]]) if len(segment_ends) else segment_ends
     at = found["pos"].to_numpy()
     total, best = np.zeros((2, len(at)), np.int64)
@@ -478,7 +499,7 @@ def _per_document(blocks: pa.Table, found: pa.Table) -> pa.Table:
 
 def pair_counts(blocks: DataFrame) -> DataFrame:
     """(pair, total, best): links of every id pair, and whether no other pair of its B id has more."""
-    posted = blocks.select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).select("x.pairs", "x.counts")
+    posted = blocks.where("pairs is not null").select(F.explode(F.arrays_zip("pairs", "counts")).alias("x")).select("x.pairs", "x.counts")
     totals = stored(posted.groupBy(F.col("pairs").alias("pair")).agg(F.sum("counts").alias("total")), "pair-totals")
     b_id = F.col("pair").bitwiseAND((1 << ID_BITS) - 1)
     top = totals.groupBy(b_id.alias("b_id")).agg(F.max("total").alias("top"))
@@ -496,11 +517,11 @@ def token_alignment(documents: DataFrame, a_path: str, b_path: str, id_col: str
     kind = type_of(documents, id_col)
     arrow = to_arrow_type(documents.schema[id_col].dataType)
     texts = documents.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    blocks = stored(texts.mapInArrow(_blocks(a_path, b_path, arrow), BLOCKS), "token-pairs")
+    blocks = stored(texts.mapInArrow(_blocks(a_path, b_path, arrow), BLOCKS), "token-pairs", **ROW_GROUPS)
     counts = stored(pair_counts(blocks), "pair-counts")
-    places = blocks.select("block", F.posexplode("pairs").alias("pos", "pair"))
-    found = places.join(counts, "pair").select("block", "pos", "total", "best")
-    heads = blocks.select(F.col("block").alias("of"), "head", "refs", "sizes", "places")
+    places = blocks.where("pairs is not null").select("block", "first", F.posexplode("pairs").alias("pos", "pair"))
+    found = places.join(counts, "pair").select("block", (F.col("first") + F.col("pos")).alias("pos"), "total", "best")
+    heads = blocks.where("data is not null").select(F.col("block").alias("of"), "part", "first", "data")
     made = ", ".join(f"{n} {'string' if t == pa.string() else 'long'}" for n, t in HEAD)
     return (
         heads.groupBy("of")
